@@ -198,7 +198,8 @@ def _bucketed(tagged: DataFrame, groups: list[str], order: list[Key], wanted: in
     same = F.col("__hot")
     combos = 1
     for i, (name, (_, _, descending)) in enumerate(zip(names, parts)):
-        splits = sorted(set(found[name] or []))
+        marks = found[name] or []
+        splits = sorted(set(marks))
         if not splits:
             break
         index = f"__at{i}"
@@ -219,6 +220,8 @@ def _bucketed(tagged: DataFrame, groups: list[str], order: list[Key], wanted: in
         buckets.append(bucket)
         added.append(index)
         combos += 2 * len(splits) + 2
+        if len(splits) == len(marks):
+            break  # no value fills a whole bucket, so nothing is left to split
     return Layout(tagged, groups, order, buckets, added, hot_count * combos)
 
 

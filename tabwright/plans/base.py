@@ -39,6 +39,7 @@ def view(spark: SparkSession, sf_dir: str, text: str) -> DataFrame:
     """Run one of the shared view texts over the tables it names."""
     names = ("events", "customer", "orders", "lineitem", "conversations", "documents", "supplier", "part", "labels")
     used = {n: table(spark, sf_dir, n) for n in names if f"from {n}" in text}
+    text = text.replace("{", "{{").replace("}", "}}")
     for n in used:
         text = text.replace(f"from {n}", f"from {{{n}}}")
     return spark.sql(text, **used)

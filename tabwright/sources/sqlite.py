@@ -1,0 +1,85 @@
+"""A data source over SQLite files: one partition per file, the limit pushed into the query."""
+
+from __future__ import annotations
+
+import glob
+import os
+import sqlite3
+from collections.abc import Iterator
+
+from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+
+
+class _File(InputPartition):
+    def __init__(self, path: str) -> None:
+        self.path = path
+
+
+def _files(path: str) -> list[str]:
+    if os.path.isdir(path):
+        path = os.path.join(path, "*")
+    return sorted(f for f in glob.glob(path) if os.path.isfile(f))
+
+
+def _quoted(name: str) -> str:
+    return '"' + name.replace('"', '""') + '"'
+
+
+def _first_table(con: sqlite3.Connection) -> str:
+    row = con.execute("select name from sqlite_master where type = 'table' order by name limit 1").fetchone()
+    if row is None:
+        raise ValueError("no table in the SQLite file")
+    return row[0]
+
+
+def _affinity(declared: str) -> str:
+    kind = (declared or "").upper()
+    if "INT" in kind:
+        return "bigint"
+    if any(k in kind for k in ("REAL", "FLOA", "DOUB", "NUM", "DEC")):
+        return "double"
+    return "binary" if "BLOB" in kind else "string"
+
+
+class SqliteSource(DataSource):
+    """``spark.read.format('sqlite_files').option('path', file, folder or glob)``."""
+
+    @classmethod
+    def name(cls) -> str:
+        return "sqlite_files"
+
+    def schema(self) -> str:
+        files = _files(self.options["path"])
+        if not files:
+            raise ValueError(f"no SQLite files in {self.options['path']}")
+        con = sqlite3.connect(f"file:{files[0]}?mode=ro", uri=True)
+        try:
+            table = self.options.get("table") or _first_table(con)
+            columns = con.execute(f"pragma table_info({_quoted(table)})").fetchall()
+        finally:
+            con.close()
+        return ", ".join(f"`{c[1]}` {_affinity(c[2])}" for c in columns)
+
+    def reader(self, schema) -> DataSourceReader:
+        return _Reader(schema, self.options)
+
+
+class _Reader(DataSourceReader):
+    def __init__(self, schema, options) -> None:
+        self.fields = [(f.name, f.dataType.simpleString()) for f in schema.fields]
+        self.path, self.table, self.limit = options["path"], options.get("table"), options.get("limit")
+
+    def partitions(self) -> list[InputPartition]:
+        return [_File(f) for f in _files(self.path)]
+
+    def read(self, partition: _File) -> Iterator[tuple]:
+        con = sqlite3.connect(f"file:{partition.path}?mode=ro", uri=True)
+        try:
+            table = self.table or _first_table(con)
+            columns = ", ".join(_quoted(n) for n, _ in self.fields)
+            text = f"select {columns} from {_quoted(table)}" + (f" limit {int(self.limit)}" if self.limit else "")
+            kinds = [{"bigint": int, "double": float, "string": str, "binary": bytes}[k] for _, k in self.fields]
+            for row in con.execute(text):
+                yield tuple(None if v is None else k(v) for k, v in zip(kinds, row))
+        finally:
+            con.close()

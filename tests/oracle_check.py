@@ -54,8 +54,9 @@ def compare(spark, con, sf_dir, name, fn, sql):
     mine, theirs = canonical(rows, df.columns), canonical(other, names)
     if mine == theirs:
         return True, f"{len(rows)} rows"
-    only = [m for m in mine if m not in set(theirs)][:3]
-    missing = [t for t in theirs if t not in set(mine)][:3]
+    left, right = set(mine), set(theirs)
+    only = [m for m in mine if m not in right][:3]
+    missing = [t for t in theirs if t not in left][:3]
     return False, f"{len(mine)} / {len(theirs)} rows; spark {only}; duckdb {missing}"
 
 
