@@ -1,6 +1,206 @@
-"""placeholder"""
-from pyspark.sql import DataFrame, functions as F
-from collections.abc import Sequence
+"""Model registry: search spaces and the Spark estimators they build."""
+
+from __future__ import annotations
+
+import math
+import random
+from collections.abc import Callable, Sequence
+from dataclasses import dataclass, field
+from typing import Any
+
+from pyspark.ml import classification as MC
+from pyspark.ml import regression as MR
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+CLASSIFICATION, REGRESSION = "classification", "regression"
+MAX_BUDGET_MINUTES = 60
+
+
+@dataclass(frozen=True)
+class Space:
+    kind: str
+    low: float = 0
+    high: float = 0
+    options: tuple = ()
+
+    def draw(self, rng: random.Random) -> Any:
+        if self.kind == "choice":
+            return rng.choice(self.options)
+        if self.kind == "int":
+            return rng.randint(int(self.low), int(self.high))
+        if self.kind == "log":
+            return math.exp(rng.uniform(math.log(self.low), math.log(self.high)))
+        return rng.uniform(self.low, self.high)
+
+
+def _int(low, high):
+    return Space("int", low, high)
+
+
+def _log(low, high):
+    return Space("log", low, high)
+
+
+def _float(low, high):
+    return Space("float", low, high)
+
+
+def _choice(*options):
+    return Space("choice", options=options)
+
+
+@dataclass(frozen=True)
+class Shape:
+    """What an estimator may depend on: row and class counts of the training data."""
+
+    rows: int
+    classes: int = 0
+    seed: int = 42
+
+
+@dataclass(frozen=True)
+class ModelSpec:
+    name: str
+    display: str
+    category: str
+    space: dict[str, Space]
+    build: Callable[[dict, Shape], Any]
+    defaults: dict[str, Any] = field(default_factory=dict)
+
+
+def _tree_args(p: dict, shape: Shape) -> dict:
+    out = {"maxDepth": p["max_depth"], "seed": shape.seed}
+    if "min_samples_leaf" in p:
+        out["minInstancesPerNode"] = p["min_samples_leaf"]
+    return out
+
+
+def _boosted(p: dict, shape: Shape, classify: bool):
+    args = {
+        "maxIter": p.get("n_estimators") or p.get("iterations"),
+        "stepSize": p["learning_rate"],
+        "maxDepth": p.get("max_depth") or p.get("depth"),
+        "subsamplingRate": p.get("subsample", 1.0),
+        "seed": shape.seed,
+    }
+    if "colsample_bytree" in p:
+        args["featureSubsetStrategy"] = str(round(p["colsample_bytree"], 3))
+    if not classify:
+        return MR.GBTRegressor(**args)
+    one = MC.GBTClassifier(**args)
+    return one if shape.classes <= 2 else MC.OneVsRest(classifier=one)
+
+
+def _svm(p: dict, shape: Shape):
+    one = MC.LinearSVC(regParam=1.0 / (p["C"] * max(shape.rows, 1)), maxIter=100, standardization=False)
+    return one if shape.classes <= 2 else MC.OneVsRest(classifier=one)
+
+
+_BOOST_SPACE = {"n_estimators": _int(50, 200), "learning_rate": _log(0.01, 0.3), "max_depth": _int(3, 10)}
+_XGB_SPACE = {
+    "n_estimators": _int(50, 300), "learning_rate": _log(0.01, 0.3), "max_depth": _int(3, 12),
+    "subsample": _float(0.6, 1.0), "colsample_bytree": _float(0.6, 1.0),
+}
+_CAT_SPACE = {"iterations": _int(100, 500), "learning_rate": _log(0.01, 0.3), "depth": _int(4, 10)}
+_FOREST_SPACE = {"n_estimators": _int(50, 300), "max_depth": _int(3, 20), "min_samples_leaf": _int(1, 10)}
+_TREE_SPACE = {"max_depth": _int(3, 20), "min_samples_leaf": _int(1, 10)}
+_KNN_SPACE = {"n_neighbors": _int(3, 25), "weights": _choice("uniform", "distance")}
+_ADA_SPACE = {"n_estimators": _int(50, 300), "learning_rate": _log(0.01, 2.0)}
+
+
+def _linear(p: dict, shape: Shape, l1: float, scaled: bool):
+    strength = p["alpha"] / max(shape.rows, 1) if scaled else p["alpha"]
+    return MR.LinearRegression(
+        regParam=strength, elasticNetParam=l1, standardization=False, maxIter=200, solver="l-bfgs" if l1 else "auto"
+    )
+
+
+def _specs() -> dict[str, dict[str, ModelSpec]]:
+    def knn(classify):
+        from tabwright.operators.ensembles import KnnEstimator
+
+        return lambda p, s: KnnEstimator(p["n_neighbors"], p["weights"], classify)
+
+    def ada(classify):
+        from tabwright.operators.ensembles import AdaBoost
+
+        return lambda p, s: AdaBoost(p["n_estimators"], p["learning_rate"], classify, s)
+
+    both = [
+        ("knn", "KNN", "instance", _KNN_SPACE, knn(True), knn(False)),
+        ("adaboost", "AdaBoost", "boosting", _ADA_SPACE, ada(True), ada(False)),
+        ("gradient_boosting", "Gradient Boosting", "boosting", _BOOST_SPACE, lambda p, s: _boosted(p, s, True), lambda p, s: _boosted(p, s, False)),
+        ("xgboost", "XGBoost", "boosting", _XGB_SPACE, lambda p, s: _boosted(p, s, True), lambda p, s: _boosted(p, s, False)),
+        ("lightgbm", "LightGBM", "boosting", _XGB_SPACE, lambda p, s: _boosted(p, s, True), lambda p, s: _boosted(p, s, False)),
+        ("catboost", "CatBoost", "boosting", _CAT_SPACE, lambda p, s: _boosted(p, s, True), lambda p, s: _boosted(p, s, False)),
+        (
+            "random_forest", "Random Forest", "tree", _FOREST_SPACE,
+            lambda p, s: MC.RandomForestClassifier(numTrees=p["n_estimators"], **_tree_args(p, s)),
+            lambda p, s: MR.RandomForestRegressor(numTrees=p["n_estimators"], **_tree_args(p, s)),
+        ),
+    ]
+    classify = {n: ModelSpec(n, d, c, sp, b) for n, d, c, sp, b, _ in both}
+    regress = {n: ModelSpec(n, d, c, sp, b) for n, d, c, sp, _, b in both}
+    for spec in (
+        ModelSpec(
+            "logistic_regression", "Logistic Regression", "linear", {"C": _log(1e-4, 10)},
+            lambda p, s: MC.LogisticRegression(regParam=1.0 / (p["C"] * max(s.rows, 1)), standardization=False, maxIter=200),
+        ),
+        ModelSpec(
+            "decision_tree", "Decision Tree", "tree", {**_TREE_SPACE, "criterion": _choice("gini", "entropy")},
+            lambda p, s: MC.DecisionTreeClassifier(impurity=p["criterion"], **_tree_args(p, s)),
+        ),
+        ModelSpec("svm", "SVM", "instance", {"C": _log(0.1, 10)}, _svm),
+        ModelSpec("naive_bayes", "Naive Bayes", "probabilistic", {}, lambda p, s: MC.NaiveBayes(modelType="gaussian")),
+    ):
+        classify[spec.name] = spec
+    for spec in (
+        ModelSpec("ridge", "Ridge", "linear", {"alpha": _log(1e-4, 10)}, lambda p, s: _linear(p, s, 0.0, True)),
+        ModelSpec("lasso", "Lasso", "linear", {"alpha": _log(1e-4, 10)}, lambda p, s: _linear(p, s, 1.0, False)),
+        ModelSpec(
+            "elastic_net", "Elastic Net", "linear", {"alpha": _log(1e-4, 10), "l1_ratio": _float(0.0, 1.0)},
+            lambda p, s: _linear(p, s, p["l1_ratio"], False),
+        ),
+        ModelSpec(
+            "decision_tree", "Decision Tree", "tree", _TREE_SPACE,
+            lambda p, s: MR.DecisionTreeRegressor(**_tree_args(p, s)),
+        ),
+        ModelSpec(
+            "svr", "SVR", "instance", {"C": _log(0.1, 10), "epsilon": _float(0.1, 0.5)},
+            lambda p, s: MR.LinearRegression(
+                loss="huber", epsilon=1.0 + p["epsilon"], regParam=1.0 / (p["C"] * max(s.rows, 1)), standardization=False
+            ),
+        ),
+    ):
+        regress[spec.name] = spec
+    return {CLASSIFICATION: classify, REGRESSION: regress}
+
+
+_CACHE: dict[str, dict[str, ModelSpec]] = {}
+
+
+def registry(problem: str) -> dict[str, ModelSpec]:
+    if not _CACHE:
+        _CACHE.update(_specs())
+    if problem not in _CACHE:
+        raise ValueError("problem type must be 'classification' or 'regression'")
+    return _CACHE[problem]
+
+
+def registry_table(spark, problem: str) -> DataFrame:
+    rows = [(s.name, s.display, s.category) for s in sorted(registry(problem).values(), key=lambda s: s.name)]
+    return spark.createDataFrame(rows, "id string, name string, category string")
+
+
+def validate_request(df: DataFrame, target: str, problem: str, names: Sequence[str], budget_minutes: float) -> None:
+    if target not in df.columns:
+        raise ValueError(f"target column {target!r} not found")
+    unknown = sorted(set(names) - set(registry(problem)))
+    if unknown:
+        raise ValueError(f"models not valid for {problem}: {', '.join(unknown)}")
+    if not 0 < budget_minutes <= MAX_BUDGET_MINUTES:
+        raise ValueError(f"the time budget must be above 0 and at most {MAX_BUDGET_MINUTES} minutes")
 
 
 def class_statistics(df: DataFrame, label: str, columns: Sequence[str]) -> DataFrame:
@@ -9,3 +209,18 @@ def class_statistics(df: DataFrame, label: str, columns: Sequence[str]) -> DataF
     for c in columns:
         aggs += [F.avg(c).alias(f"{c}_mean"), F.var_pop(c).alias(f"{c}_variance")]
     return df.groupBy(label).agg(*aggs)
+
+
+def importances(model: Any, names: Sequence[str]) -> dict[str, float]:
+    """Tree importances, else absolute coefficients (the first class of a multi-class model)."""
+    values = None
+    if hasattr(model, "featureImportances"):
+        values = model.featureImportances.toArray()
+    elif isinstance(model, MC.LogisticRegressionModel):
+        values = abs(model.coefficientMatrix.toArray()[0])
+    elif hasattr(model, "coefficients"):
+        values = abs(model.coefficients.toArray())
+    if values is None:
+        return {}
+    return {n: float(v) for n, v in zip(names, values)}
+

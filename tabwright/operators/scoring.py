@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
+import importlib
+import json
 from collections.abc import Callable, Sequence
+from dataclasses import dataclass
+from typing import Any
 
-from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tabwright.functions.convert import blank_to_null
+from tabwright.operators.features import FeaturePrep, TargetLabels
+
 SMALL_RANGE = 15
 OPTION_BINS = 8
 
@@ -41,3 +48,83 @@ def probability_columns(df: DataFrame, classes: int, probability: str = "probabi
     return df.select(
         "*", *[p[i].alias(f"prob_class_{i}") for i in range(classes)], F.array_max(p).alias("confidence")
     )
+
+
+def blank_inputs(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Empty form values count as missing."""
+    texts = {f.name for f in df.schema.fields if f.dataType.simpleString() == "string"}
+    return df.select(*[blank_to_null(F.col(c)).alias(c) if c in columns and c in texts else F.col(c) for c in df.columns])
+
+
+@dataclass
+class Bundle:
+    """Feature preparation, fitted model and class labels: everything scoring needs.
+
+    ``score`` is one lazy DataFrame step, so the same call serves a file, a table and, for Spark ML
+    models, a stream.
+    """
+
+    prep: FeaturePrep
+    model: Any
+    problem: str
+    labels: TargetLabels | None = None
+    algorithm: str = ""
+
+    def score(self, df: DataFrame) -> DataFrame:
+        """Input columns plus ``prediction`` (decoded), ``prob_class_i`` and ``confidence`` where known."""
+        inputs = df.select("*", *[F.col(c).alias(f"__in_{c}") for c in self.prep.inputs if c in df.columns])
+        ready = assemble(self.prep.transform(_as_fitted(blank_inputs(inputs, self.prep.inputs), self.prep)), self.prep)
+        out = self.model.transform(ready)
+        has_probability = "probability" in out.columns
+        if has_probability:
+            out = probability_columns(out, len(self.labels.labels) if self.labels else 2)
+        value = self.labels.decode(F.col("prediction")) if self.labels else F.col("prediction")
+        shown = []
+        for c in df.columns:
+            shown.append(F.col(f"__in_{c}").alias(c) if c in self.prep.inputs else F.col(c))
+        extra = [c for c in out.columns if c.startswith("prob_class_") or c == "confidence"]
+        return out.select(*shown, value.alias("prediction"), *extra)
+
+    def save(self, spark: SparkSession, path: str) -> None:
+        self.prep.save(spark, f"{path}/prep")
+        kind = f"{type(self.model).__module__}:{type(self.model).__name__}"
+        if hasattr(self.model, "write"):
+            self.model.write().overwrite().save(f"{path}/model")
+        else:
+            self.model.save(f"{path}/model")
+        meta = {
+            "kind": kind, "problem": self.problem, "algorithm": self.algorithm,
+            "labels": list(self.labels.labels) if self.labels else None,
+        }
+        text = spark.createDataFrame([(json.dumps(meta),)], "value string").coalesce(1)
+        text.write.mode("overwrite").text(f"{path}/bundle")
+
+    @staticmethod
+    def load(spark: SparkSession, path: str) -> Bundle:
+        meta = json.loads(spark.read.text(f"{path}/bundle").first()[0])
+        module, name = meta["kind"].split(":")
+        if module not in _LOADABLE:
+            raise ValueError(f"not a known model: {meta['kind']}")
+        cls = getattr(importlib.import_module(module), name)
+        model = cls.load(spark, f"{path}/model") if module == _LOADABLE[-1] else cls.load(f"{path}/model")
+        labels = TargetLabels(tuple(meta["labels"])) if meta["labels"] is not None else None
+        return Bundle(FeaturePrep.load(spark, f"{path}/prep"), model, meta["problem"], labels, meta["algorithm"])
+
+
+_LOADABLE = ("pyspark.ml.classification", "pyspark.ml.regression", "tabwright.operators.ensembles")
+
+
+def _as_fitted(df: DataFrame, prep: FeaturePrep) -> DataFrame:
+    """Text that arrives for a numeric input becomes a number where it can."""
+    kinds = dict(df.dtypes)
+    return df.select(
+        *[F.col(c).try_cast("double").alias(c) if c in prep.medians and kinds[c] == "string" else F.col(c) for c in df.columns]
+    )
+
+
+def assemble(df: DataFrame, prep: FeaturePrep) -> DataFrame:
+    if not prep.feature_names:
+        raise ValueError("no usable features")
+    # names with dots or blanks are no problem for an array
+    array = F.array(*[F.col(f"`{n}`") for n in prep.feature_names])
+    return df.withColumn("features", array_to_vector(array))
