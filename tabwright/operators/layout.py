@@ -70,17 +70,18 @@ class Layout:
     added: list[str] = field(default_factory=list)
     carry_rows: int = 0
 
-    def window(self) -> WindowSpec:
+    def window(self, backwards: bool = False) -> WindowSpec:
+        """In order inside a bucket. Looking ahead uses the reverse order with a preceding frame,
+        because Spark recomputes a following frame for every row."""
         cols = [F.col(c) for c in [*self.groups, *self.buckets]]
-        return Window.partitionBy(*cols).orderBy(*[k.sort() for k in self.order])
+        order = [k.reverse() for k in self.order] if backwards else self.order
+        return Window.partitionBy(*cols).orderBy(*[k.sort() for k in order])
 
-    def across(self) -> WindowSpec:
-        """Over the one-row-per-bucket table: earlier buckets of the same group."""
+    def before(self, backwards: bool = False) -> WindowSpec:
+        """Over the one-row-per-bucket table: the earlier (or later) buckets of the same group."""
         base = Window.partitionBy(*[F.col(g) for g in self.groups]) if self.groups else Window.partitionBy(F.lit(0))
-        return base.orderBy(*[F.col(b) for b in self.buckets])
-
-    def before(self) -> WindowSpec:
-        return self.across().rowsBetween(Window.unboundedPreceding, -1)
+        order = [F.col(b).desc() if backwards else F.col(b).asc() for b in self.buckets]
+        return base.orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
 
     def attach(self, main: DataFrame, carry: DataFrame, values: list[str]) -> DataFrame:
         """Add the carried ``values`` of each bucket to its rows."""
@@ -351,22 +352,21 @@ def neighbours(
     known = F.when(F.col("__v").isNotNull(), F.struct(F.col("__v").alias("v"), F.col("__at").alias("at")))
     placed = placed.withColumn("__known", known)
     back = w.rowsBetween(Window.unboundedPreceding, 0)
-    ahead = w.rowsBetween(0, Window.unboundedFollowing)
+    ahead = lay.window(backwards=True).rowsBetween(Window.unboundedPreceding, 0)
     local = placed.select(
         "*",
         F.last("__known", ignorenulls=True).over(back).alias("__lo"),
-        F.first("__known", ignorenulls=True).over(ahead).alias("__hi"),
+        F.last("__known", ignorenulls=True).over(ahead).alias("__hi"),
     )
     if lay.buckets:
         ends = placed.groupBy(*lay.groups, *lay.buckets).agg(
             F.max_by("__known", F.when(F.col("__v").isNotNull(), F.col("__at"))).alias("__last"),
             F.min_by("__known", F.when(F.col("__v").isNotNull(), F.col("__at"))).alias("__first"),
         )
-        after = lay.across().rowsBetween(1, Window.unboundedFollowing)
         carry = ends.select(
             "*",
             F.last("__last", ignorenulls=True).over(lay.before()).alias("__c_lo"),
-            F.first("__first", ignorenulls=True).over(after).alias("__c_hi"),
+            F.last("__first", ignorenulls=True).over(lay.before(backwards=True)).alias("__c_hi"),
         )
         local = lay.attach(local, carry, ["__c_lo", "__c_hi"])
         local = local.withColumn("__lo", F.coalesce("__lo", "__c_lo")).withColumn("__hi", F.coalesce("__hi", "__c_hi"))

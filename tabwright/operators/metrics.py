@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tabwright.operators import layout
+from tabwright.session import cut_lineage
 
 
 def accuracy(df: DataFrame, label: str, prediction: str) -> DataFrame:
@@ -59,6 +60,8 @@ def roc_auc(df: DataFrame, label: str, score: str, target_rows: int | None = Non
     per = df.filter(F.col(score).isNotNull() & F.col(label).isNotNull()).groupBy(score).agg(
         F.count_if(F.col(label) == 1).alias("pos"), F.count_if(F.col(label) == 0).alias("neg")
     )
+    # the ordered steps need several passes: aggregate the rows only once
+    per = cut_lineage(per)
     run = layout.running_sums(per, {"neg_upto": "neg"}, score, (), target_rows)
     below = F.col("neg_upto") - F.col("neg")
     won = F.sum(F.col("pos") * (below + F.col("neg") / 2.0))

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-SMALL_ROWS = 1_000_000
+SMALL_ROWS = 50_000
 _ACCURACY = 10_000
 
 
@@ -78,45 +78,62 @@ def order_statistics(
 
 
 def _narrow(df: DataFrame, searches: list[_Search]) -> None:
-    pivots = df.agg(
+    """One round: pivots for all open searches in one job, their row counts in another."""
+    same: dict[tuple, list[_Search]] = {}
+    for s in searches:
+        same.setdefault((s.column, s.above, s.below), []).append(s)
+    groups = list(same.values())
+    found = df.agg(
         *[
-            F.percentile_approx(F.when(s.inside(), F.col(s.column)), s.shares(), _ACCURACY).alias(f"p{i}")
-            for i, s in enumerate(searches)
+            F.percentile_approx(
+                F.when(g[0].inside(), F.col(g[0].column)), [p for s in g for p in s.shares()], _ACCURACY
+            ).alias(f"p{i}")
+            for i, g in enumerate(groups)
         ]
     ).first()
     tallies = []
-    for i, s in enumerate(searches):
-        for j, pivot in enumerate(pivots[f"p{i}"]):
-            c, ok = F.col(s.column), s.inside()
+    marks: list[list[Any]] = []
+    for i, g in enumerate(groups):
+        c, ok = F.col(g[0].column), g[0].inside()
+        marks.append(sorted(set(found[f"p{i}"])))
+        for j, pivot in enumerate(marks[i]):
             tallies.append(F.count_if(ok & (c < F.lit(pivot))).alias(f"lt{i}_{j}"))
             tallies.append(F.count_if(ok & (c <= F.lit(pivot))).alias(f"le{i}_{j}"))
     seen = df.agg(*tallies).first()
-    for i, s in enumerate(searches):
-        above, below, low, high = s.above, s.below, 0, s.size
-        place = s.rank - s.base
-        for j, pivot in enumerate(pivots[f"p{i}"]):
-            lt, le = seen[f"lt{i}_{j}"], seen[f"le{i}_{j}"]
-            if lt <= place < le:
-                s.answer, s.done = float(pivot), True
-                break
-            if le <= place and le >= low:
-                above, low = pivot, le
-            if place < lt and lt <= high:
-                below, high = pivot, lt
-        if not s.done:
-            s.above, s.below, s.base, s.size = above, below, s.base + low, high - low
+    for i, g in enumerate(groups):
+        for s in g:
+            _step(s, [(p, seen[f"lt{i}_{j}"], seen[f"le{i}_{j}"]) for j, p in enumerate(marks[i])])
+
+
+def _step(s: _Search, counted: list[tuple[Any, int, int]]) -> None:
+    """Keep the open interval between two pivots that holds the rank, or take the pivot itself."""
+    above, below, low, high = s.above, s.below, 0, s.size
+    place = s.rank - s.base
+    for pivot, lt, le in counted:
+        if lt <= place < le:
+            s.answer, s.done = float(pivot), True
+            return
+        if le <= place:
+            above, low = pivot, le
+        elif place < lt:
+            below, high = pivot, lt
+            break
+    s.above, s.below, s.base, s.size = above, below, s.base + low, high - low
 
 
 def _finish(df: DataFrame, searches: list[_Search]) -> None:
     if not searches:
         return
-    picks = []
+    # the bracket conditions reach the scan, so only the few candidate rows are read
+    any_inside = searches[0].inside()
+    for s in searches[1:]:
+        any_inside = any_inside | s.inside()
+    values, picks = [], []
     for i, s in enumerate(searches):
         share = (s.rank - s.base + 0.5) / s.size
-        value = F.when(s.inside(), F.col(s.column)).cast("double")
-        disc = F.expr(f"percentile_disc({share!r}D) within group (order by __x{i})")
-        picks.append((value.alias(f"__x{i}"), disc.alias(f"a{i}")))
-    row = df.select(*[v for v, _ in picks]).agg(*[d for _, d in picks]).first()
+        values.append(F.when(s.inside(), F.col(s.column)).cast("double").alias(f"__x{i}"))
+        picks.append(F.expr(f"percentile_disc({share!r}D) within group (order by __x{i})").alias(f"a{i}"))
+    row = df.filter(any_inside).select(*values).agg(*picks).first()
     for i, s in enumerate(searches):
         s.answer, s.done = row[f"a{i}"], True
 

@@ -25,24 +25,44 @@ def numeric_columns(df: DataFrame) -> list[str]:
     return [f.name for f in df.schema.fields if is_numeric(f.dataType)]
 
 
+def _is_nested(dtype: T.DataType) -> bool:
+    return isinstance(dtype, (T.ArrayType, T.MapType, T.StructType, T.VariantType))
+
+
 def _as_text(field: T.StructField) -> Column:
     c = F.col(field.name)
     if isinstance(field.dataType, (T.DoubleType, T.FloatType)):
         return (c + F.lit(0.0)).cast("string")  # -0.0 and 0.0 are one value
-    if isinstance(field.dataType, (T.ArrayType, T.MapType, T.StructType, T.VariantType)):
+    if _is_nested(field.dataType):
         return F.to_json(c)
     return c.cast("string")
 
 
 def value_counts(df: DataFrame) -> DataFrame:
-    """(column, value, n) over all columns in one shuffle; null is a value.
+    """(column, value, n) over all columns; null is a value.
 
-    Map-side combine reduces each frequent value to one row per task before the shuffle.
+    Each column is counted on its own with its own type: the scan of a branch reads just that
+    column, and map-side combine reduces a frequent value to one row per task before the shuffle.
+    If ``df`` is an expensive plan rather than a table, write it first (``cut_lineage``).
     """
-    pairs = F.array(
-        *[F.struct(F.lit(f.name).alias("column"), _as_text(f).alias("value")) for f in df.schema.fields]
-    )
-    return df.select(F.inline(pairs)).groupBy("column", "value").agg(F.count(F.lit(1)).alias("n"))
+    parts = None
+    for f in df.schema.fields:
+        key = _as_text(f) if _is_nested(f.dataType) else F.col(f.name)
+        counts = df.groupBy(key.alias(f.name)).agg(F.count(F.lit(1)).alias("n"))
+        one = counts.select(F.lit(f.name).alias("column"), (F.col(f.name) if _is_nested(f.dataType) else _as_text(f)).alias("value"), "n")
+        parts = one if parts is None else parts.unionByName(one)
+    return parts
+
+
+def distinct_counts(df: DataFrame) -> DataFrame:
+    """(column, unique_values): grouped values, counted without turning them into text."""
+    parts = None
+    for f in df.schema.fields:
+        key = _as_text(f) if _is_nested(f.dataType) else F.col(f.name)
+        one = df.select(key.alias("v")).distinct().agg(F.count(F.lit(1)).alias("unique_values"))
+        one = one.select(F.lit(f.name).alias("__c"), "unique_values")
+        parts = one if parts is None else parts.unionByName(one)
+    return parts
 
 
 def scalar_stats(df: DataFrame) -> DataFrame:
@@ -91,21 +111,21 @@ def column_stats(df: DataFrame, approx: bool = False) -> DataFrame:
         joined = stats.join(F.broadcast(uniq), F.col("column") == F.col("__c"), "left").drop("__c")
         some_null = (F.col("nulls") > 0).cast("long")
         return joined.withColumn("unique_values", F.coalesce("unique_values", F.lit(0)) + some_null)
-    uniq = value_counts(df).groupBy(F.col("column").alias("__c")).agg(F.count(F.lit(1)).alias("unique_values"))
+    uniq = distinct_counts(df)
     joined = stats.join(F.broadcast(uniq), F.col("column") == F.col("__c"), "left").drop("__c")
     return joined.withColumn("unique_values", F.coalesce("unique_values", F.lit(0).cast("long")))
 
 
 def top_values(df: DataFrame, k: int = TOP_VALUES) -> DataFrame:
     """The ``k`` most frequent values of text columns and of columns with few values."""
-    counts = value_counts(df)
     text = [f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType)]
-    sizes = counts.groupBy(F.col("column").alias("__c")).agg(F.count(F.lit(1)).alias("__u"))
-    chosen = sizes.filter(F.col("__c").isin(text) | (F.col("__u") < FEW_VALUES)).select("__c")
-    kept = counts.join(F.broadcast(chosen), F.col("column") == F.col("__c"), "left_semi")
+    # the distinct counts decide which columns qualify; only those are counted by value
+    few = distinct_counts(df.drop(*text)).filter(F.col("unique_values") < FEW_VALUES) if len(text) < len(df.columns) else None
+    chosen = set(text) | ({r["__c"] for r in few.collect()} if few is not None else set())  # one row per column
+    counts = value_counts(df.select(*[c for c in df.columns if c in chosen]))
     # the rank filter keeps k rows per column in each task before the shuffle
     w = Window.partitionBy("column").orderBy(F.desc("n"), F.asc_nulls_last("value"))
-    return kept.withColumn("position", F.row_number().over(w)).filter(F.col("position") <= k)
+    return counts.withColumn("position", F.row_number().over(w)).filter(F.col("position") <= k)
 
 
 def sample_values(df: DataFrame, order_by: Sequence[str], k: int = 5) -> DataFrame:
@@ -206,13 +226,17 @@ def histogram(df: DataFrame, column: str, bins: int = 20) -> DataFrame:
     edges = [low + i * width for i in range(bins)] + [high]
     # the arithmetic guess can be one off at an edge, so it is corrected by comparing with the edges
     guess = F.greatest(F.lit(0), F.least(F.lit(bins - 1), F.floor((c - F.lit(low)) / F.lit(width)).cast("int")))
-    at = F.lit(edges)
-    start, end = F.element_at(at, guess + 1), F.element_at(at, guess + 2)
+    start = F.lit(low) + guess * F.lit(width)
+    end = F.lit(low) + (guess + 1) * F.lit(width)
     place = F.when(c < start, guess - 1).when((c >= end) & (guess < bins - 1), guess + 1).otherwise(guess)
     counts = df.filter(c.isNotNull()).groupBy(place.alias("bin")).agg(F.count(F.lit(1)).alias("n"))
-    frame = spark.createDataFrame([(i, edges[i], edges[i + 1]) for i in range(bins)], "bin int, bin_start double, bin_end double")
+    at = F.lit(edges)
+    frame = spark.range(bins).select(F.col("id").cast("int").alias("bin"))
     return frame.join(F.broadcast(counts), "bin", "left").select(
-        "bin", "bin_start", "bin_end", F.coalesce("n", F.lit(0).cast("long")).alias("n")
+        "bin",
+        F.element_at(at, F.col("bin") + 1).alias("bin_start"),
+        F.element_at(at, F.col("bin") + 2).alias("bin_end"),
+        F.coalesce("n", F.lit(0).cast("long")).alias("n"),
     )
 
 

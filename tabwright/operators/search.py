@@ -14,6 +14,7 @@ from dataclasses import dataclass, field
 from typing import Any
 
 from pyspark import inheritable_thread_target
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -142,16 +143,18 @@ def cv_score(data: TrainingSet, folds: Sequence[Split], name: str, params: dict[
 
 
 def evaluate(scored: DataFrame, problem: str, classes: int) -> dict[str, float]:
-    """All metrics of a model on held-out rows."""
+    """All metrics of a model on held-out rows; the model scores them only once."""
+    kept = ["label", "prediction"]
+    if problem == CLASSIFICATION and classes == 2 and "probability" in scored.columns:
+        scored = scored.withColumn("score", vector_to_array("probability")[1])
+        kept.append("score")
+    scored = cut_lineage(scored.select(*kept))
     if problem != CLASSIFICATION:
         return metrics.regression_scores(scored, "label", "prediction").first().asDict()
     out = metrics.weighted_scores(scored, "label", "prediction").first().asDict()
     out["accuracy"] = metrics.accuracy(scored, "label", "prediction").first()[0]
-    if classes == 2 and "probability" in scored.columns:
-        from pyspark.ml.functions import vector_to_array
-
-        score = scored.select("label", vector_to_array("probability")[1].alias("score"))
-        out["auc"] = metrics.roc_auc(score, "label", "score").first()[0]
+    if "score" in kept:
+        out["auc"] = metrics.roc_auc(scored, "label", "score").first()[0]
     return {k: v for k, v in out.items() if v is not None}
 
 
@@ -242,5 +245,5 @@ def search(
             return Outcome(name, error=str(e))
 
     with ThreadPoolExecutor(max(1, parallel)) as pool:
-        outcomes = list(pool.map(inheritable_thread_target(run), list(models)))
+        outcomes = list(pool.map(inheritable_thread_target(df.sparkSession)(run), list(models)))
     return SearchResult(problem, outcomes, job_id, time.time() - start)

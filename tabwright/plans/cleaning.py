@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tabwright.functions import convert
 from tabwright.operators import cleaning as C
 from tabwright.operators import profiling
+from tabwright.session import cut_lineage
 from tabwright.plans.base import CUSTOMER_DIRTY, EVENTS_DIRTY, ORDERS_DUP, query, table, view
 
 
@@ -517,5 +518,5 @@ def _(spark, sf):
         C.DropDuplicates(("user_id", "event_type"), "first", ("ts", "event_id")),
         C.RemoveOutliers("value", "iqr", 0.25),
     ]
-    stats = profiling.column_stats(C.clean(view(spark, sf, EVENTS_DIRTY), ops))
+    stats = profiling.column_stats(cut_lineage(C.clean(view(spark, sf, EVENTS_DIRTY), ops)))
     return _round(stats.drop("is_numeric"), "mean", "std", digits=3)

@@ -11,6 +11,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tabwright.session import spread
+
 # Field names of the formats.
 OFX_FIELDS = ("TRNTYPE", "DTPOSTED", "TRNAMT", "FITID", "NAME", "MEMO", "CHECKNUM")
 QIF_FIELDS = {"D": "date", "P": "payee", "M": "memo", "C": "cleared", "N": "number", "L": "category"}
@@ -44,7 +46,7 @@ def ofx(df: DataFrame, text: str, keep: Sequence[str] = ()) -> DataFrame:
     closed = F.regexp_extract_all(c, F.lit(r"(?is)<STMTTRN>(.*?)</STMTTRN>"), F.lit(1))
     opened = F.regexp_extract_all(c, F.lit(r"(?is)<STMTTRN>(.*?)(?=<STMTTRN>|</BANKTRANLIST>|$)"), F.lit(1))
     blocks = F.when(F.size(closed) > 0, closed).otherwise(opened)
-    rows = df.select(*keep, F.posexplode(blocks).alias("position", "__block"))
+    rows = spread(df).select(*keep, F.posexplode(blocks).alias("position", "__block"))
     b = F.col("__block")
 
     def field(name: str) -> Column:
@@ -82,7 +84,7 @@ def _starts(letter: str):
 def qif(df: DataFrame, text: str, keep: Sequence[str] = ()) -> DataFrame:
     """Records ended by a caret line; a repeated field keeps its last value."""
     records = F.split(F.concat(F.lit("\n"), F.col(text)), r"\n\s*\^[^\n]*")
-    rows = df.select(*keep, F.posexplode(records).alias("position", "__record"))
+    rows = spread(df).select(*keep, F.posexplode(records).alias("position", "__record"))
     rows = rows.withColumn("__lines", _lines(F.col("__record")))
     lines = F.col("__lines")
     cols = []
@@ -107,7 +109,7 @@ def _blocks(df: DataFrame, text: str, kind: str, keep: Sequence[str]) -> DataFra
     """One row per BEGIN/END block with its property lines as (prop, value) pairs."""
     joined = F.array_join(_lines(F.col(text)), "\n")
     found = F.regexp_extract_all(joined, F.lit(rf"(?ms)^BEGIN:{kind}$(.*?)^END:{kind}$"), F.lit(1))
-    rows = df.select(*keep, F.posexplode(found).alias("position", "__body"))
+    rows = spread(df).select(*keep, F.posexplode(found).alias("position", "__body"))
     # a block that starts again inside drops what came before
     body = F.substring_index(F.col("__body"), f"\nBEGIN:{kind}\n", -1)
     lines = F.filter(F.split(body, "\n"), lambda x: x.contains(":"))
