@@ -199,7 +199,7 @@ def _bucketed(tagged: DataFrame, groups: list[str], order: list[Key], wanted: in
     same = F.col("__hot")
     combos = 1
     for i, (name, (_, _, descending)) in enumerate(zip(names, parts)):
-        marks = found[name] or []
+        marks = [m for m in found[name] or [] if math.isfinite(m)]
         splits = sorted(set(marks))
         if not splits:
             break
@@ -209,7 +209,7 @@ def _bucketed(tagged: DataFrame, groups: list[str], order: list[Key], wanted: in
         ).transform(tagged)
         at = F.col(index).cast("int")
         value = F.col(name)
-        on_split = (at >= 1) & (F.element_at(F.lit(splits), F.greatest(at, F.lit(1))) == value) & ~F.isnan(value)
+        on_split = (at >= 1) & (F.try_element_at(F.lit(splits), F.greatest(at, F.lit(1))) == value) & ~F.isnan(value)
         on_split = F.coalesce(on_split, F.lit(False))
         place = F.when(value.isNull(), F.lit(-1)).when(on_split, at * 2 - 1).otherwise(at * 2)
         if descending:

@@ -122,6 +122,8 @@ def top_values(df: DataFrame, k: int = TOP_VALUES) -> DataFrame:
     # the distinct counts decide which columns qualify; only those are counted by value
     few = distinct_counts(df.drop(*text)).filter(F.col("unique_values") < FEW_VALUES) if len(text) < len(df.columns) else None
     chosen = set(text) | ({r["__c"] for r in few.collect()} if few is not None else set())  # one row per column
+    if not chosen:
+        return df.sparkSession.createDataFrame([], "column string, value string, n long, position int")
     counts = value_counts(df.select(*[c for c in df.columns if c in chosen]))
     # the rank filter keeps k rows per column in each task before the shuffle
     w = Window.partitionBy("column").orderBy(F.desc("n"), F.asc_nulls_last("value"))
@@ -189,6 +191,13 @@ def dataset_totals(df: DataFrame) -> DataFrame:
     )
 
 
+def _pearson(a: Column, b: Column) -> Column:
+    """Correlation over the rows where both are known; null for a constant column, where ``corr`` raises."""
+    a, b = a.cast("double"), b.cast("double")
+    spread = F.stddev_pop(F.when(b.isNotNull(), a)) * F.stddev_pop(F.when(a.isNotNull(), b))
+    return F.try_divide(F.covar_pop(a, b), spread)
+
+
 def correlation_matrix(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """Long form (column_x, column_y, value) from one aggregate over the upper triangle."""
     chosen = list(columns or numeric_columns(df))[:CORRELATION_COLUMNS]
@@ -196,9 +205,7 @@ def correlation_matrix(df: DataFrame, columns: Sequence[str] | None = None) -> D
     if len(chosen) < 2:
         return df.sparkSession.createDataFrame([], schema)
     pairs = [(i, j) for i in range(len(chosen)) for j in range(i, len(chosen))]
-    row = df.agg(
-        *[F.corr(F.col(chosen[i]).cast("double"), F.col(chosen[j]).cast("double")).alias(f"c{i}_{j}") for i, j in pairs]
-    )
+    row = df.agg(*[_pearson(F.col(chosen[i]), F.col(chosen[j])).alias(f"c{i}_{j}") for i, j in pairs])
     cells = []
     for i, j in pairs:
         raw = F.col(f"c{i}_{j}")

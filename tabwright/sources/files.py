@@ -111,9 +111,8 @@ def read_csv(spark: SparkSession, path: str, options: ReadOptions) -> DataFrame:
 
 
 def _skipped(spark: SparkSession, path: str, sep: str, options: ReadOptions) -> DataFrame:
-    """Drop the first lines of every file, by the byte order Spark reads one file in."""
-    rows = spark.read.option("wholetext", True).option("encoding", options.encoding).text(path)
-    lines = rows.select(F.posexplode(F.split("value", "\r?\n")).alias("pos", "line"))
+    """Drop the first lines of every file; the files are numbered line by line, one task per file."""
+    lines = _documents(spark, path, options).select(F.posexplode(F.split("value", "\r?\n")).alias("pos", "line"))
     head = lines.filter(F.col("pos") == options.skip_rows).select("line").first()
     if head is None:
         return spark.createDataFrame([], T.StructType())
@@ -237,7 +236,7 @@ def read_health(spark: SparkSession, path: str, tag: str = "Record") -> DataFram
 
 
 def _documents(spark: SparkSession, path: str, options: ReadOptions) -> DataFrame:
-    return spark.read.option("wholetext", True).option("encoding", options.encoding).text(path)
+    return spark.read.format("text").option("wholetext", True).option("encoding", options.encoding).load(path)
 
 
 def _record_reader(extract):
