@@ -172,14 +172,15 @@ def worker_queues(has_gpu: Column, vram: Column) -> Column:
     return F.filter(F.array(*entries), lambda q: q.isNotNull())
 
 
-def group_collect(df: DataFrame, group: str, item: str, order: Sequence[str]) -> DataFrame:
-    """The distinct items of each group as a sorted list, groups numbered in the given order."""
+def group_in_order(df: DataFrame, group: str, item: str, order: Sequence[str]) -> DataFrame:
+    """The distinct items of each group as rows, with the place of the group in the given order.
+
+    Sorting by (position, item) shows the groups one after the other; no list is collected.
+    """
     position = F.lit(len(order))
     for i, g in reversed(list(enumerate(order))):
         position = F.when(F.col(group) == g, F.lit(i)).otherwise(position)
-    pairs = df.select(group, item).distinct()
-    lists = pairs.groupBy(group).agg(F.array_sort(F.collect_list(item)).alias("items"))
-    return lists.withColumn("position", position)
+    return df.select(group, item).distinct().withColumn("position", position)
 
 
 def timeline(jobs: DataFrame, key: str, moments: Sequence[tuple[str, str, str]]) -> DataFrame:

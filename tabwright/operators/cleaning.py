@@ -110,8 +110,10 @@ def category_index(df: DataFrame, column: str, skip_null: bool = False) -> Dicti
     values = df.select(F.col(column).alias("value")).distinct()
     if skip_null:
         values = values.filter(F.col("value").isNotNull())
+    # ordering takes several passes and the table is joined later: collect the distinct values once
+    values = cut_lineage(values)
     indexed = layout.row_numbers(values, "position", "value")
-    indexed = indexed.select("value", (F.col("position") - 1).alias("position"))
+    indexed = cut_lineage(indexed.select("value", (F.col("position") - 1).alias("position")))
     return Dictionary(indexed, values.count())
 
 

@@ -34,10 +34,7 @@ class Roles:
 
 
 def column_roles(df: DataFrame, columns: Sequence[str] | None = None, limit: int = MAX_ONEHOT) -> Roles:
-    """Numeric (booleans count as numbers), low- and high-cardinality text; dates are unsupported.
-
-    The distinct counts are only needed up to ``limit``, so each stops at ``limit + 1`` values.
-    """
+    """Numeric (booleans count as numbers), low- and high-cardinality text; dates are unsupported."""
     numeric, text, other = [], [], []
     for f in df.schema.fields:
         if columns is not None and f.name not in columns:
@@ -58,9 +55,13 @@ def column_roles(df: DataFrame, columns: Sequence[str] | None = None, limit: int
 
 
 def _value_counts(df: DataFrame, text: Sequence[str]) -> DataFrame:
-    pairs = F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).alias("value")) for c in text])
-    rows = df.select(F.inline(pairs)).filter(F.col("value").isNotNull())
-    return rows.groupBy("column", "value").agg(F.count(F.lit(1)).alias("n"))
+    """(column, value, n) of the non-null values; each branch scans one column."""
+    parts = None
+    for c in text:
+        one = df.filter(F.col(c).isNotNull()).groupBy(F.col(c).alias("value")).agg(F.count(F.lit(1)).alias("n"))
+        one = one.select(F.lit(c).alias("column"), "value", "n")
+        parts = one if parts is None else parts.unionByName(one)
+    return parts
 
 
 def roles_table(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:

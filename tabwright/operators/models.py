@@ -8,6 +8,7 @@ from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
 from typing import Any
 
+from pyspark import SparkContext
 from pyspark.ml import classification as MC
 from pyspark.ml import regression as MR
 from pyspark.sql import DataFrame
@@ -203,6 +204,18 @@ def validate_request(df: DataFrame, target: str, problem: str, names: Sequence[s
         raise ValueError(f"the time budget must be above 0 and at most {MAX_BUDGET_MINUTES} minutes")
 
 
+def without_summary(model: Any) -> Any:
+    """Drop the training summary of a fitted model.
+
+    The summary holds the training data and the session, which then travel with every task that
+    scores rows and cannot be serialized once the session has observed metrics.
+    """
+    for part in getattr(model, "models", None) or [model]:
+        if getattr(part, "hasSummary", False):
+            part._java_obj.setSummary(SparkContext._active_spark_context._jvm.scala.Option.empty())
+    return model
+
+
 def class_statistics(df: DataFrame, label: str, columns: Sequence[str]) -> DataFrame:
     """Count, mean and population variance per class: what a Gaussian naive Bayes learns."""
     aggs = [F.count(F.lit(1)).alias("n")]

@@ -29,7 +29,7 @@ from tabwright.operators.features import (
     target_labels,
     TEST_PERCENT,
 )
-from tabwright.operators.models import CLASSIFICATION, Shape, importances, registry, validate_request
+from tabwright.operators.models import CLASSIFICATION, Shape, importances, registry, validate_request, without_summary
 from tabwright.operators.scoring import Bundle, assemble
 from tabwright.session import cut_lineage
 
@@ -132,7 +132,7 @@ def cv_score(data: TrainingSet, folds: Sequence[Split], name: str, params: dict[
     """Mean accuracy, or mean negative squared error, over the folds."""
     total = 0.0
     for fold in folds:
-        model = registry(data.problem)[name].build(params, data.shape).fit(fold.train)
+        model = without_summary(registry(data.problem)[name].build(params, data.shape).fit(fold.train))
         scored = model.transform(fold.valid)
         if data.problem == CLASSIFICATION:
             value = F.avg((F.col("prediction") == F.col("label")).cast("double"))
@@ -164,13 +164,13 @@ def train_single(data: TrainingSet, name: str, params: dict[str, Any], refit: bo
     spec = registry(data.problem)[name]
     test = data.df.filter("part = 'test'")
     split = _split(data, data.df.filter("part = 'train'"), test)
-    model = spec.build(params, data.shape).fit(split.train)
+    model = without_summary(spec.build(params, data.shape).fit(split.train))
     scores = evaluate(model.transform(split.valid), data.problem, data.shape.classes)
     out = Outcome(name, scores, dict(params))
     if refit:
         prep = fit_features(data.df, data.features)
         ready = assemble(prep.transform(data.df), prep).select("features", "label")
-        final = spec.build(params, data.shape).fit(ready)
+        final = without_summary(spec.build(params, data.shape).fit(ready))
         out.bundle = Bundle(prep, final, data.problem, data.labels, name)
         out.importance = importances(final, prep.feature_names)
     out.seconds = time.time() - start

@@ -251,13 +251,12 @@ def _(spark, sf):
 
 
 @query(
-    "group_collect",
-    """select event_type, list(user_id order by user_id) as items,
-              case event_type when 'purchase' then 0 when 'click' then 1 else 2 end as position
-       from (select distinct event_type, user_id from events) group by event_type""",
+    "group_in_order",
+    """select distinct event_type, user_id, case event_type when 'purchase' then 0 when 'click' then 1 else 2 end as position
+       from events""",
 )
 def _(spark, sf):
-    return K.group_collect(table(spark, sf, "events"), "event_type", "user_id", ["purchase", "click"])
+    return K.group_in_order(table(spark, sf, "events"), "event_type", "user_id", ["purchase", "click"])
 
 
 @query(

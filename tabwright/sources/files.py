@@ -398,9 +398,12 @@ def write_json(df: DataFrame, path: str, options: WriteOptions) -> None:
 
         first = True
         for pdf in batches:
-            for text in pdf["value"]:
-                yield pd.DataFrame({"value": [("[" if first else ",") + text]})
-                first = False
+            if len(pdf):
+                lines = "," + pdf["value"]
+                if first:
+                    lines.iloc[0] = "[" + pdf["value"].iloc[0]
+                    first = False
+                yield pd.DataFrame({"value": lines})
         yield pd.DataFrame({"value": ["[]" if first else "]"]})
 
     rows = df.select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("value"))

@@ -117,7 +117,8 @@ def liveness(df: DataFrame, key: str, at: str, seconds: int = LIVE_SECONDS, late
 def change_relay(df: DataFrame, key: str, value: str, order: str, output: str) -> DataFrame:
     """Only the rows whose value differs from the last one relayed for the key.
 
-    ``output`` is the schema of (key, order, value), all taken in ``order`` inside a batch.
+    ``output`` is the schema of (key, order, value), all taken in ``order`` inside a batch. A task holds
+    the rows of one key in one micro-batch, so limit the batch at the source (``max_files``).
     """
 
     def relay(who: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:

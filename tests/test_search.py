@@ -46,7 +46,7 @@ def test_search_and_bundle(spark, passengers, tmp_path):
     assert one["confidence"] == pytest.approx(max(one["prob_class_0"], one["prob_class_1"]))
 
 
-@pytest.mark.parametrize("name", ["knn", "adaboost", "svm", "gradient_boosting"])
+@pytest.mark.parametrize("name", ["knn", "adaboost", "gradient_boosting"])
 def test_three_classes(spark, passengers, tmp_path, name):
     df = passengers.withColumn("y", F.element_at(F.array(F.lit("a"), F.lit("b"), F.lit("c")), (F.col("id") % 60 / 20).cast("int") + 1))
     data = S.TrainingSet.prepare(df, "y", ["id"], ["fare"], CLASSIFICATION, 2, 42)
@@ -95,3 +95,17 @@ def test_registry_and_validation(spark, passengers):
         with pytest.raises(ValueError):
             validate_request(passengers, *args)
     assert S.draw_params(CLASSIFICATION, "knn", 3) == S.draw_params(CLASSIFICATION, "knn", 3)
+
+
+@pytest.mark.parametrize("problem,name", [(CLASSIFICATION, "logistic_regression"), (REGRESSION, "ridge")])
+def test_scoring_after_observed_metrics(spark, passengers, problem, name):
+    """A session that has observed metrics cannot serialize training summaries."""
+    from pyspark.sql import Observation
+
+    seen = Observation()
+    passengers.observe(seen, F.count(F.lit(1)).alias("n")).collect()
+    assert seen.get["n"] == 240
+    target = "survived" if problem == CLASSIFICATION else "fare"
+    data = S.TrainingSet.prepare(passengers, target, ["id"], ["sex", "alone"], problem, 2, 42)
+    params = S.draw_params(problem, name, 0, space=spaces(problem, [name])[name])
+    assert S.train_single(data, name, params).bundle.score(passengers).count() == 240
