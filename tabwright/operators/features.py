@@ -261,22 +261,19 @@ def stratified_folds(
     The first hash digits are a ready-made bucket in sort order: windows work per (label, bucket)
     and a table of bucket sizes gives the offsets, so a label with most rows stays parallel.
     """
-    groups = [label] if label else []
     h = hash_text(key, seed)
     digits = _bucket_digits(df)
     tagged = df.withColumn("__h", h).withColumn("__p", F.substring("__h", 1, digits))
-    on = [*groups, "__p"]
+    # a key without nulls lets the join use the partitioning of the window
+    text = F.concat(F.lit("="), F.col(label).cast("string")) if label else F.lit("")
+    tagged = tagged.withColumn("__g", F.coalesce(text, F.lit("null")))
+    on = ["__g", "__p"]
     w = Window.partitionBy(*on).orderBy("__h", *key)
     local = tagged.withColumn("__r", F.row_number().over(w).cast("long"))
     sizes = tagged.groupBy(*on).agg(F.count(F.lit(1)).alias("__n"))
-    across = Window.partitionBy(*(groups or [F.lit(0)])).orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sizes.withColumn("__before", F.coalesce(F.sum("__n").over(across), F.lit(0)))
-    right = starts.select(*[F.col(c).alias(f"__s_{c}") for c in on], "__before")
-    cond = None
-    for c in on:
-        part = F.col(c).eqNullSafe(F.col(f"__s_{c}"))
-        cond = part if cond is None else cond & part
-    joined = local.join(right, cond, "left")
+    across = Window.partitionBy("__g").orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.withColumn("__before", F.coalesce(F.sum("__n").over(across), F.lit(0))).drop("__n")
+    joined = local.join(starts, on)
     fold = ((F.col("__r") + F.col("__before") - 1) % k).cast("int")
     return joined.select(*df.columns, fold.alias(into))
 

@@ -57,6 +57,7 @@ class ReadOptions:
     log_pattern: str | None = None
     sqlite_table: str | None = None
     infer: bool = True
+    multiline: bool = False  # quoted line breaks; such files cannot be split
 
 
 @dataclass(frozen=True)
@@ -98,7 +99,7 @@ def read_csv(spark: SparkSession, path: str, options: ReadOptions) -> DataFrame:
     """All columns as text, then null markers, then the narrowest type that fits every row."""
     sep = options.delimiter or detect_delimiter(spark, path)
     reader = spark.read.option("sep", sep).option("encoding", options.encoding).option("mode", "PERMISSIVE")
-    reader = reader.option("multiLine", False).option("quote", '"').option("escape", '"')
+    reader = reader.option("multiLine", options.multiline).option("quote", '"').option("escape", '"')
     reader = reader.option("header", options.has_header and not options.skip_rows)
     if options.schema is not None:
         if options.skip_rows:
@@ -375,6 +376,8 @@ def _writer(df: DataFrame, options: WriteOptions, default: str | None = None):
 def write_csv(df: DataFrame, path: str, options: WriteOptions) -> None:
     # a quote inside a field is doubled, as the reader expects
     writer = _writer(df, options).option("sep", options.delimiter).option("header", options.include_header)
+    # blanks at the ends of a value belong to it
+    writer = writer.option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False)
     writer.option("escape", '"').option("emptyValue", "").csv(path)
 
 
