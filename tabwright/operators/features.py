@@ -201,10 +201,8 @@ class TargetLabels:
     labels: tuple[Any, ...]
 
     def encode(self, df: DataFrame, column: str, into: str) -> DataFrame:
-        value = F.lit(None).cast("double")
-        for i, v in enumerate(self.labels):
-            value = F.when(F.col(column) == F.lit(v), F.lit(float(i))).otherwise(value)
-        return df.withColumn(into, value)
+        at = F.array_position(F.array(*[F.lit(v) for v in self.labels]), F.col(column))
+        return df.withColumn(into, F.when(at > 0, (at - 1).cast("double")))
 
     def decode(self, index: Column) -> Column:
         return F.element_at(F.array(*[F.lit(v) for v in self.labels]), index.cast("int") + 1)

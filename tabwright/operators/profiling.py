@@ -130,6 +130,12 @@ def top_values(df: DataFrame, k: int = TOP_VALUES) -> DataFrame:
     return counts.withColumn("position", F.row_number().over(w)).filter(F.col("position") <= k)
 
 
+def _per_column(values: dict[str, float | None]) -> Column:
+    """The learned value of the column a row describes."""
+    known = [x for c, v in values.items() if v is not None for x in (F.lit(c), F.lit(float(v)))]
+    return F.try_element_at(F.create_map(*known), F.col("column")) if known else F.lit(None).cast("double")
+
+
 def sample_values(df: DataFrame, order_by: Sequence[str], k: int = 5) -> DataFrame:
     """The first ``k`` non-null values of each column: one bounded top-k per column."""
     parts = None
@@ -153,10 +159,7 @@ def profile(df: DataFrame, order_by: Sequence[str] | None = None) -> DataFrame:
     stats = column_stats(df)
     numeric = numeric_columns(df)
     middle = order_stats.medians(df, numeric) if numeric else {}
-    median = F.lit(None).cast("double")
-    for c, value in middle.items():
-        if value is not None:
-            median = F.when(F.col("column") == c, F.lit(float(value))).otherwise(median)
+    median = _per_column(middle)
     share = F.when(F.col("rows") > 0, F.col("nulls") * 100.0 / F.col("rows")).otherwise(F.lit(0.0))
     out = stats.select(
         "position",
@@ -263,10 +266,7 @@ def feature_stats(df: DataFrame, columns: Sequence[str] | None = None) -> DataFr
     """Min, max, mean, median and std of each numeric column; std is 0 below two values."""
     chosen = list(columns or numeric_columns(df))
     middle = order_stats.medians(df, chosen)
-    median = F.lit(None).cast("double")
-    for c, value in middle.items():
-        if value is not None:
-            median = F.when(F.col("column") == c, F.lit(float(value))).otherwise(median)
+    median = _per_column(middle)
     stats = scalar_stats(df.select(*chosen))
     return stats.select(
         "column",
