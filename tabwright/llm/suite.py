@@ -1,6 +1,10 @@
 """Queries of the training-data operators and their check SQL."""
 
-from tabwright.llm import exact_dedup
+from tabwright.llm import exact_dedup, langid, minhash
 
-QUERIES = {"op3_exact_dedup": exact_dedup.op3_exact_dedup}
-ORACLES = {"op3_exact_dedup": exact_dedup.OP3_SQL}
+QUERIES = {
+    "op1_language_id": langid.op1_language_id,
+    "op2_minhash_dedup": minhash.op2_minhash_dedup,
+    "op3_exact_dedup": exact_dedup.op3_exact_dedup,
+}
+ORACLES = {"op2_minhash_dedup": minhash.OP2_SQL, "op3_exact_dedup": exact_dedup.OP3_SQL}
