@@ -1,10 +1,16 @@
 """Queries of the training-data operators and their check SQL."""
 
-from tabwright.llm import exact_dedup, langid, minhash
+from tabwright.llm import bpe, exact_dedup, langid, minhash, mixture
 
 QUERIES = {
     "op1_language_id": langid.op1_language_id,
     "op2_minhash_dedup": minhash.op2_minhash_dedup,
     "op3_exact_dedup": exact_dedup.op3_exact_dedup,
+    "op4_source_mix": mixture.op4_source_mix,
+    "op8_bpe": bpe.op8_bpe,
+}
+ORACLES = {
+    "op2_minhash_dedup": minhash.OP2_SQL,
+    "op3_exact_dedup": exact_dedup.OP3_SQL,
+    "op4_source_mix": mixture.OP4_SQL,
 }
-ORACLES = {"op2_minhash_dedup": minhash.OP2_SQL, "op3_exact_dedup": exact_dedup.OP3_SQL}
