@@ -1,16 +1,19 @@
 """Queries of the training-data operators and their check SQL."""
 
-from tabwright.llm import bpe, exact_dedup, langid, minhash, mixture
+from tabwright.llm import bpe, exact_dedup, langid, minhash, mixture, token_files, url_filter
 
 QUERIES = {
     "op1_language_id": langid.op1_language_id,
     "op2_minhash_dedup": minhash.op2_minhash_dedup,
     "op3_exact_dedup": exact_dedup.op3_exact_dedup,
     "op4_source_mix": mixture.op4_source_mix,
+    "op6_url_filter": url_filter.op6_url_filter,
     "op8_bpe": bpe.op8_bpe,
+    "op10_token_files": token_files.op10_token_files,
 }
 ORACLES = {
     "op2_minhash_dedup": minhash.OP2_SQL,
     "op3_exact_dedup": exact_dedup.OP3_SQL,
     "op4_source_mix": mixture.OP4_SQL,
+    "op6_url_filter": url_filter.OP6_SQL,
 }
