@@ -1,6 +1,6 @@
 """Queries of the training-data operators and their check SQL."""
 
-from tabwright.llm import bpe, exact_dedup, langid, minhash, mixture, token_files, url_filter
+from tabwright.llm import bpe, embedding_dedup, exact_dedup, langid, minhash, mixture, token_files, url_filter
 
 QUERIES = {
     "op1_language_id": langid.op1_language_id,
@@ -9,6 +9,7 @@ QUERIES = {
     "op4_source_mix": mixture.op4_source_mix,
     "op6_url_filter": url_filter.op6_url_filter,
     "op8_bpe": bpe.op8_bpe,
+    "op9_embedding_dedup": embedding_dedup.op9_embedding_dedup,
     "op10_token_files": token_files.op10_token_files,
 }
 ORACLES = {
@@ -16,4 +17,5 @@ ORACLES = {
     "op3_exact_dedup": exact_dedup.OP3_SQL,
     "op4_source_mix": mixture.OP4_SQL,
     "op6_url_filter": url_filter.OP6_SQL,
+    "op9_embedding_dedup": embedding_dedup.OP9_SQL,
 }
