@@ -1,12 +1,13 @@
 """Queries of the training-data operators and their check SQL."""
 
-from tabwright.llm import bpe, embedding_dedup, exact_dedup, langid, minhash, mixture, token_files, url_filter
+from tabwright.llm import bpe, embedding_dedup, exact_dedup, langid, minhash, mixture, substring_dedup, token_files, url_filter
 
 QUERIES = {
     "op1_language_id": langid.op1_language_id,
     "op2_minhash_dedup": minhash.op2_minhash_dedup,
     "op3_exact_dedup": exact_dedup.op3_exact_dedup,
     "op4_source_mix": mixture.op4_source_mix,
+    "op5_substring_dedup": substring_dedup.op5_substring_dedup,
     "op6_url_filter": url_filter.op6_url_filter,
     "op8_bpe": bpe.op8_bpe,
     "op9_embedding_dedup": embedding_dedup.op9_embedding_dedup,
@@ -16,6 +17,7 @@ ORACLES = {
     "op2_minhash_dedup": minhash.OP2_SQL,
     "op3_exact_dedup": exact_dedup.OP3_SQL,
     "op4_source_mix": mixture.OP4_SQL,
+    "op5_substring_dedup": substring_dedup.OP5_SQL,
     "op6_url_filter": url_filter.OP6_SQL,
     "op9_embedding_dedup": embedding_dedup.OP9_SQL,
 }
