@@ -1,6 +1,6 @@
 """Queries of the training-data operators and their check SQL."""
 
-from tabwright.llm import bpe, embedding_dedup, exact_dedup, langid, minhash, mixture, substring_dedup, token_files, url_filter
+from tabwright.llm import bpe, embedding_dedup, exact_dedup, langid, minhash, mixture, pii, substring_dedup, token_files, url_filter
 
 QUERIES = {
     "op1_language_id": langid.op1_language_id,
@@ -9,6 +9,7 @@ QUERIES = {
     "op4_source_mix": mixture.op4_source_mix,
     "op5_substring_dedup": substring_dedup.op5_substring_dedup,
     "op6_url_filter": url_filter.op6_url_filter,
+    "op7_private_data": pii.op7_private_data,
     "op8_bpe": bpe.op8_bpe,
     "op9_embedding_dedup": embedding_dedup.op9_embedding_dedup,
     "op10_token_files": token_files.op10_token_files,
