@@ -21,8 +21,6 @@ from tabwright.functions.text import STRING_OPS, apply_string_ops
 from tabwright.operators import layout, order_stats
 from tabwright.session import cut_lineage
 
-MAX_ONEHOT = 50
-BROADCAST_CATEGORIES = 200_000
 
 FILL_STRATEGIES = ("mean", "median", "mode", "forward", "backward", "constant", "interpolate")
 OUTLIER_METHODS = ("iqr", "zscore", "percentile")
@@ -89,9 +87,8 @@ def collect_needs(df: DataFrame, needs: Sequence[Need]) -> dict[Need, Any]:
         if n.kind == "mode":
             found[n] = order_stats.modes(df, [n.column])[n.column]
         elif n.kind == "categories":
-            rows = df.select(n.column).distinct().limit(MAX_ONEHOT + 1).collect()
-            if len(rows) > MAX_ONEHOT:
-                raise CleaningError(f"{n.column} has more than {MAX_ONEHOT} categories: use label encoding")
+            # every category becomes a column of the schema, which the driver has to know
+            rows = df.select(n.column).distinct().collect()
             found[n] = sorted((r[0] for r in rows), key=lambda v: (v is not None, v))
         elif n.kind == "dictionary":
             found[n] = category_index(df, n.column)
@@ -118,10 +115,8 @@ def category_index(df: DataFrame, column: str, skip_null: bool = False) -> Dicti
 
 
 def look_up(df: DataFrame, column: str, book: Dictionary, into: str, unseen: int | None = None) -> DataFrame:
-    """Add ``into``: the index of ``column``; the table is broadcast only below the checked size."""
+    """Add ``into``: the index of ``column``. Spark picks the join by the size of the written table."""
     right = book.table.select(F.col("value").alias("__value"), F.col("position").alias("__position"))
-    if book.size <= BROADCAST_CATEGORIES:
-        right = F.broadcast(right)
     joined = df.join(right, F.col(column).eqNullSafe(F.col("__value")), "left")
     found = F.col("__position") if unseen is None else F.coalesce(F.col("__position"), F.lit(unseen).cast("long"))
     return joined.withColumn("__index", found).select(

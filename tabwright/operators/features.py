@@ -208,9 +208,11 @@ class TargetLabels:
         return F.element_at(F.array(*[F.lit(v) for v in self.labels]), index.cast("int") + 1)
 
 
-def target_labels(df: DataFrame, column: str, limit: int = 1000) -> TargetLabels:
-    rows = df.filter(F.col(column).isNotNull()).select(column).distinct().limit(limit + 1).collect()
-    if len(rows) > limit:
+def target_labels(df: DataFrame, column: str, limit: int | None = None) -> TargetLabels:
+    """All labels, as a model needs its classes; ``limit`` refuses more than so many."""
+    found = df.filter(F.col(column).isNotNull()).select(column).distinct()
+    rows = (found if limit is None else found.limit(limit + 1)).collect()
+    if limit is not None and len(rows) > limit:
         raise ValueError(f"{column} has more than {limit} classes")
     return TargetLabels(tuple(sorted(r[0] for r in rows)))
 

@@ -1,32 +1,29 @@
 """Skew-proof ordered computations.
 
 ``row_number``, running sums, carried values and ``lag`` over one large group (or over the
-whole table) would run in a single task if written as one window. Here a large group is cut
-into buckets that follow the sort order; a normal window works inside each bucket, and a small
-table with one row per bucket carries the state from one bucket to the next. Groups below the
-row target keep the plain window, so ordinary data pays only for one count.
+whole table) would run in a single task if written as one window. Here the rows of groups above
+the row target are dealt out by ranges of (group, sort keys) and written once with the number of
+their range; a normal window works inside each range, and a small table with one row per range
+carries the state from one to the next. Groups below the target keep the plain window, so
+ordinary data pays only for one count.
 
-The bucket of a row is a monotone function of its own sort key and of split points fitted
-from the data, so a recomputed task always produces the same buckets.
+Ranges are cut over the whole sort key of any type, and there are as many as rows ask for.
 """
 
 from __future__ import annotations
 
 import math
-import os
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 
-from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
+from tabwright.session import cut_lineage
+
+#: Rows of a group, or of a range of a larger group, that one task puts in order.
 TARGET_ROWS = 2_000_000
-MAX_HOT_GROUPS = 10_000
-MAX_SPLITS = 4_000
-BROADCAST_ROWS = 500_000
-_STRING_CHUNKS = 4
+BUCKET = "__b0"
 
 
 @dataclass(frozen=True)
@@ -67,8 +64,6 @@ class Layout:
     groups: list[str]
     order: list[Key]
     buckets: list[str] = field(default_factory=list)
-    added: list[str] = field(default_factory=list)
-    carry_rows: int = 0
 
     def window(self, backwards: bool = False) -> WindowSpec:
         """In order inside a bucket. Looking ahead uses the reverse order with a preceding frame,
@@ -83,12 +78,14 @@ class Layout:
         order = [F.col(b).desc() if backwards else F.col(b).asc() for b in self.buckets]
         return base.orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
 
+    def per_bucket(self, df: DataFrame, *aggregates: Column) -> DataFrame:
+        """One row for each range of a large group; groups in a plain window need no carried state."""
+        return df.filter(F.col(BUCKET) >= 0).groupBy(*self.groups, *self.buckets).agg(*aggregates)
+
     def attach(self, main: DataFrame, carry: DataFrame, values: list[str]) -> DataFrame:
-        """Add the carried ``values`` of each bucket to its rows."""
+        """Add the carried ``values`` of each bucket to its rows; Spark picks the join by size."""
         on = [*self.groups, *self.buckets]
         right = carry.select(*[F.col(c).alias(f"__r_{c}") for c in on], *values)
-        if self.carry_rows <= BROADCAST_ROWS:
-            right = F.broadcast(right)
         cond = None
         for c in on:
             part = F.col(c).eqNullSafe(F.col(f"__r_{c}"))
@@ -96,48 +93,7 @@ class Layout:
         return main.join(right, cond, "left").drop(*[f"__r_{c}" for c in on])
 
     def clean(self, df: DataFrame) -> DataFrame:
-        return df.drop(*self.buckets, *self.added)
-
-
-def _target() -> int:
-    return int(os.environ.get("TABWRIGHT_TARGET_ROWS", TARGET_ROWS))
-
-
-def _codes(df: DataFrame, key: Key) -> list[tuple[Column, bool]]:
-    """Monotone double codes of one key, most significant first.
-
-    The flag says whether equal codes (so far) mean equal key values, which is what allows the
-    next code to split them further.
-    """
-    dtype = df.schema[key.name].dataType
-    c = F.col(key.name)
-    if isinstance(dtype, T.BooleanType):
-        return [(c.cast("int").cast("double"), True)]
-    if isinstance(dtype, T.LongType):
-        high = F.floor(c / F.lit(2**32)).cast("double")
-        return [(high, False), (F.pmod(c, F.lit(2**32)).cast("double"), True)]
-    if isinstance(dtype, T.DecimalType):
-        return [(c.cast("double"), False)]
-    if isinstance(dtype, T.NumericType):
-        # adding zero turns -0.0 into 0.0, which Spark sorts as equal
-        return [(c.cast("double") + F.lit(0.0), True)]
-    if isinstance(dtype, T.DateType):
-        return [(F.unix_date(c).cast("double"), True)]
-    if isinstance(dtype, T.TimestampType):
-        return [(F.unix_micros(c).cast("double"), True)]
-    if isinstance(dtype, T.TimestampNTZType):
-        seconds = F.datediff(c.cast("date"), F.lit("1970-01-01").cast("date")) * F.lit(86400.0)
-        seconds = seconds + F.hour(c) * 3600 + F.minute(c) * 60 + F.second(c)
-        micros = F.date_format(c, "SSSSSS").cast("double")
-        return [(seconds.cast("double"), False), (micros, True)]
-    if isinstance(dtype, T.StringType):
-        raw = c.cast("binary")
-        out = []
-        for i in range(_STRING_CHUNKS):
-            piece = F.rpad(F.hex(F.substring(raw, 6 * i + 1, 6)), 12, "0")
-            out.append((F.conv(piece, 16, 10).cast("double"), False))
-        return out
-    raise TypeError(f"cannot order by {key.name}: {dtype.simpleString()}")
+        return df.drop(*self.buckets)
 
 
 def build(
@@ -146,84 +102,33 @@ def build(
     partition_by: Sequence[str] = (),
     target_rows: int | None = None,
 ) -> Layout:
-    """Fit the buckets: one count job, and for large groups one approximate-quantile job."""
+    """One count job; tables with a group above the target are written once in ranges."""
     order, groups = keys(order_by), list(partition_by)
-    target = target_rows or _target()
-    hot: DataFrame | None = None
+    target = target_rows or TARGET_ROWS
     if groups:
         counts = df.groupBy(*groups).agg(F.count(F.lit(1)).alias("__rows"))
-        head = counts.agg(F.sum("__rows"), F.max("__rows")).first()
-        total, largest = int(head[0] or 0), int(head[1] or 0)
-        floor = max(target, total // MAX_HOT_GROUPS)
-        if largest <= floor:
+        large = counts.filter(F.col("__rows") > target)
+        head = large.agg(F.sum("__rows")).first()
+        size = int(head[0] or 0)
+        if not size:
             return Layout(df, groups, order)
-        # at most total / floor <= MAX_HOT_GROUPS rows
-        rows = counts.filter(F.col("__rows") > floor).select(*groups).collect()
-        schema = T.StructType([T.StructField(f"__h_{g}", df.schema[g].dataType, True) for g in groups])
-        hot = df.sparkSession.createDataFrame([tuple(r) for r in rows], schema)
+        large = large.select(*[F.col(g).alias(f"__h_{g}") for g in groups], F.lit(True).alias("__hot"))
         cond = None
         for g in groups:
             part = F.col(g).eqNullSafe(F.col(f"__h_{g}"))
             cond = part if cond is None else cond & part
-        marked = hot.withColumn("__hot", F.lit(True))
-        tagged = df.join(F.broadcast(marked), cond, "left").drop(*[f"__h_{g}" for g in groups])
-        tagged = tagged.withColumn("__hot", F.coalesce(F.col("__hot"), F.lit(False)))
-        hot_count, size = len(rows), total
+        df = df.join(large, cond, "left").drop(*[f"__h_{g}" for g in groups])
+        hot = F.coalesce(F.col("__hot"), F.lit(False))
     else:
         size = df.count()
-        if size == 0:
+        if size <= target:
             return Layout(df, groups, order)
-        tagged = df.withColumn("__hot", F.lit(True))
-        hot_count = 1
-    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    wanted = max(2, min(MAX_SPLITS, max(math.ceil(size / target), parts)))
-    return _bucketed(tagged, groups, order, wanted, hot_count)
-
-
-def _bucketed(tagged: DataFrame, groups: list[str], order: list[Key], wanted: int, hot_count: int) -> Layout:
-    parts: list[tuple[Column, bool, bool]] = []
-    for key in order:
-        codes = _codes(tagged, key)
-        parts += [(code, exact, key.descending) for code, exact in codes]
-        if not codes[-1][1]:
-            break
-    names = [f"__code{i}" for i in range(len(parts))]
-    for name, (code, _, _) in zip(names, parts):
-        tagged = tagged.withColumn(name, code)
-    grid = [i / wanted for i in range(1, wanted)]
-    fits = [
-        F.percentile_approx(F.when(~F.isnan(n), F.col(n)), grid, min(20 * wanted, 100_000)).alias(n) for n in names
-    ]
-    found = tagged.filter("__hot").agg(*fits).first()
-    buckets, added = [], ["__hot", *names]
-    same = F.col("__hot")
-    combos = 1
-    for i, (name, (_, _, descending)) in enumerate(zip(names, parts)):
-        marks = [m for m in found[name] or [] if math.isfinite(m)]
-        splits = sorted(set(marks))
-        if not splits:
-            break
-        index = f"__at{i}"
-        tagged = Bucketizer(
-            splits=[-math.inf, *splits, math.inf], inputCol=name, outputCol=index, handleInvalid="keep"
-        ).transform(tagged)
-        at = F.col(index).cast("int")
-        value = F.col(name)
-        on_split = (at >= 1) & (F.try_element_at(F.lit(splits), F.greatest(at, F.lit(1))) == value) & ~F.isnan(value)
-        on_split = F.coalesce(on_split, F.lit(False))
-        place = F.when(value.isNull(), F.lit(-1)).when(on_split, at * 2 - 1).otherwise(at * 2)
-        if descending:
-            place = -place
-        bucket = f"__b{i}"
-        tagged = tagged.withColumn(bucket, F.when(same, place).otherwise(F.lit(0)))
-        # rows exactly on a split share one code value, so the next code may split them
-        same = same & on_split
-        buckets.append(bucket)
-        added.append(index)
-        combos += 2 * len(splits) + 2
-        if len(splits) == len(marks):
-            break  # no value fills a whole bucket, so nothing is left to split
-    return Layout(tagged, groups, order, buckets, added, hot_count * combos)
+        hot = F.lit(True)
+    # rows with the same keys may be parted anywhere, so a value that fills many ranges is no hot spot
+    by = [*[F.when(hot, F.col(g)) for g in groups], *[k.sort() for k in order]]
+    ranged = df.repartitionByRange(max(2, math.ceil(size / target)), *by, F.monotonically_increasing_id())
+    ranged = ranged.withColumn(BUCKET, F.when(hot, F.spark_partition_id()).otherwise(F.lit(-1)))
+    return Layout(cut_lineage(ranged.drop("__hot")), groups, order, [BUCKET])
 
 
 def row_numbers(
@@ -238,10 +143,10 @@ def row_numbers(
     local = lay.df.withColumn(name, F.row_number().over(lay.window()).cast("long"))
     if not lay.buckets:
         return lay.clean(local)
-    sizes = lay.df.groupBy(*lay.groups, *lay.buckets).agg(F.count(F.lit(1)).alias("__n"))
+    sizes = lay.per_bucket(lay.df, F.count(F.lit(1)).alias("__n"))
     carry = sizes.withColumn("__before", F.coalesce(F.sum("__n").over(lay.before()), F.lit(0)))
     out = lay.attach(local, carry, ["__before"])
-    return lay.clean(out.withColumn(name, F.col(name) + F.col("__before")).drop("__before"))
+    return lay.clean(out.withColumn(name, F.col(name) + F.coalesce("__before", F.lit(0))).drop("__before"))
 
 
 def running_sums(
@@ -257,9 +162,7 @@ def running_sums(
     local = lay.df.select("*", *[F.sum(c).over(upto).alias(n) for n, c in sums.items()])
     if not lay.buckets:
         return lay.clean(local)
-    totals = lay.df.groupBy(*lay.groups, *lay.buckets).agg(
-        *[F.sum(c).alias(f"__t_{n}") for n, c in sums.items()]
-    )
+    totals = lay.per_bucket(lay.df, *[F.sum(c).alias(f"__t_{n}") for n, c in sums.items()])
     carry = totals.select("*", *[F.sum(f"__t_{n}").over(lay.before()).alias(f"__c_{n}") for n in sums])
     out = lay.attach(local, carry, [f"__c_{n}" for n in sums])
     for n in sums:
@@ -296,9 +199,7 @@ def carry_forward(
     local = lay.df.select("*", *[F.last(f"__v_{n}", ignorenulls=True).over(upto).alias(n) for n in fills])
     if not lay.buckets:
         return lay.clean(local).drop(*temp)
-    ends = lay.df.groupBy(*lay.groups, *lay.buckets).agg(
-        *[_last_known(lay, f"__v_{n}").alias(f"__e_{n}") for n in fills]
-    )
+    ends = lay.per_bucket(lay.df, *[_last_known(lay, f"__v_{n}").alias(f"__e_{n}") for n in fills])
     carry = ends.select(
         "*", *[F.last(f"__e_{n}", ignorenulls=True).over(lay.before()).alias(f"__c_{n}") for n in fills]
     )
@@ -345,10 +246,10 @@ def neighbours(
     w = lay.window()
     placed = lay.df.withColumn("__at", F.row_number().over(w).cast("long"))
     if lay.buckets:
-        sizes = lay.df.groupBy(*lay.groups, *lay.buckets).agg(F.count(F.lit(1)).alias("__n"))
+        sizes = lay.per_bucket(lay.df, F.count(F.lit(1)).alias("__n"))
         starts = sizes.withColumn("__before", F.coalesce(F.sum("__n").over(lay.before()), F.lit(0)))
         placed = lay.attach(placed, starts, ["__before"])
-        placed = placed.withColumn("__at", F.col("__at") + F.col("__before")).drop("__before")
+        placed = placed.withColumn("__at", F.col("__at") + F.coalesce("__before", F.lit(0))).drop("__before")
     known = F.when(F.col("__v").isNotNull(), F.struct(F.col("__v").alias("v"), F.col("__at").alias("at")))
     placed = placed.withColumn("__known", known)
     back = w.rowsBetween(Window.unboundedPreceding, 0)
@@ -359,7 +260,8 @@ def neighbours(
         F.last("__known", ignorenulls=True).over(ahead).alias("__hi"),
     )
     if lay.buckets:
-        ends = placed.groupBy(*lay.groups, *lay.buckets).agg(
+        ends = lay.per_bucket(
+            placed,
             F.max_by("__known", F.when(F.col("__v").isNotNull(), F.col("__at"))).alias("__last"),
             F.min_by("__known", F.when(F.col("__v").isNotNull(), F.col("__at"))).alias("__first"),
         )

@@ -10,7 +10,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tabwright.operators.catalog import moment
-from tabwright.session import spread
 
 # The line formats that are recognised, in the order they are tried.
 APP_LINE = r"(\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2}\.\d+)\s*\|\s*(\w+)\s*\|\s*([^|]+)\s*-\s*(.*)"
@@ -40,7 +39,7 @@ def parse_app_log(df: DataFrame, line: str, keep: Sequence[str] = ()) -> DataFra
         return F.trim(F.regexp_extract(text, pattern, i))
 
     at = F.try_to_timestamp(F.substring(part(1), 1, 19), F.lit("yyyy-MM-dd HH:mm:ss")).cast("timestamp_ntz")
-    out = spread(df).filter(text.rlike(pattern)).select(
+    out = df.filter(text.rlike(pattern)).select(
         *keep, at.alias("timestamp"), part(2).alias("level"), part(3).alias("source"), part(4).alias("message")
     )
     return out.filter(F.col("timestamp").isNotNull())
@@ -51,7 +50,7 @@ def named_groups(df: DataFrame, line: str, pattern: str, keep: Sequence[str] = (
     names = re.compile(pattern).groupindex
     java, text = _java(pattern), F.trim(F.col(line))
     cols = [F.nullif(F.regexp_extract(text, java, i), F.lit("")).alias(n) for n, i in names.items()]
-    return spread(df).filter(text.rlike(java)).select(*keep, *cols)
+    return df.filter(text.rlike(java)).select(*keep, *cols)
 
 
 def detect_format(sample: DataFrame, line: str) -> str | None:
@@ -111,7 +110,7 @@ def log_stats(df: DataFrame) -> DataFrame:
 
 
 def log_recent(df: DataFrame, n: int = 50, level: str | None = None, tie: Sequence[str] = ()) -> DataFrame:
-    return filter_log(df, level=level).orderBy(F.desc("timestamp"), *tie).limit(max(1, min(n, 200)))
+    return filter_log(df, level=level).orderBy(F.desc("timestamp"), *tie).limit(n)
 
 
 def log_sources(df: DataFrame) -> DataFrame:

@@ -225,12 +225,12 @@ def class_statistics(df: DataFrame, label: str, columns: Sequence[str]) -> DataF
 
 
 def importances(model: Any, names: Sequence[str]) -> dict[str, float]:
-    """Tree importances, else absolute coefficients (the first class of a multi-class model)."""
+    """Tree importances, else absolute coefficients; of several classes the norm over them."""
     values = None
     if hasattr(model, "featureImportances"):
         values = model.featureImportances.toArray()
     elif isinstance(model, MC.LogisticRegressionModel):
-        values = abs(model.coefficientMatrix.toArray()[0])
+        values = (model.coefficientMatrix.toArray() ** 2).sum(axis=0) ** 0.5
     elif hasattr(model, "coefficients"):
         values = abs(model.coefficients.toArray())
     if values is None:

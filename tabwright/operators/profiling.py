@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import math
 from collections.abc import Sequence
 
@@ -13,7 +14,8 @@ from tabwright.operators import order_stats
 
 TOP_VALUES = 5
 FEW_VALUES = 20
-CORRELATION_COLUMNS = 15
+#: Column pairs of one correlation aggregate; more pairs take more passes.
+CORRELATION_PAIRS = 200
 CATEGORICAL_SHARE = 0.05
 
 
@@ -202,12 +204,17 @@ def _pearson(a: Column, b: Column) -> Column:
 
 
 def correlation_matrix(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
-    """Long form (column_x, column_y, value) from one aggregate over the upper triangle."""
-    chosen = list(columns or numeric_columns(df))[:CORRELATION_COLUMNS]
+    """Long form (column_x, column_y, value) of all columns; the upper triangle in aggregates of bounded width."""
+    chosen = list(columns or numeric_columns(df))
     schema = "column_x string, column_y string, value double"
     if len(chosen) < 2:
         return df.sparkSession.createDataFrame([], schema)
     pairs = [(i, j) for i in range(len(chosen)) for j in range(i, len(chosen))]
+    parts = [pairs[at : at + CORRELATION_PAIRS] for at in range(0, len(pairs), CORRELATION_PAIRS)]
+    return functools.reduce(DataFrame.unionByName, [_correlations(df, chosen, part) for part in parts])
+
+
+def _correlations(df: DataFrame, chosen: Sequence[str], pairs: Sequence[tuple[int, int]]) -> DataFrame:
     row = df.agg(*[_pearson(F.col(chosen[i]), F.col(chosen[j])).alias(f"c{i}_{j}") for i, j in pairs])
     cells = []
     for i, j in pairs:
@@ -309,4 +316,4 @@ def outlier_counts(df: DataFrame, columns: Sequence[str], factor: float = 1.5) -
 
 
 def preview(df: DataFrame, order_by: Sequence[str], n: int = 20) -> DataFrame:
-    return df.orderBy(*order_by).limit(min(n, 500))
+    return df.orderBy(*order_by).limit(n)

@@ -7,7 +7,6 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-MAX_OPERATIONS = 5
 MISSING_PERCENT = 5.0
 
 OPERATION = (
@@ -29,11 +28,13 @@ def fenced(text: Column) -> Column:
     return F.regexp_replace(F.get(F.split(inner, "```", 2), F.lit(0)), r"(?U)^\s+|\s+$", "")
 
 
-def reply_operations(df: DataFrame, reply: str, keep: Sequence[str]) -> DataFrame:
-    """One row per operation of the first five of each reply that has all required fields."""
+def reply_operations(df: DataFrame, reply: str, keep: Sequence[str], most: int | None = None) -> DataFrame:
+    """One row per operation of each reply, or of its first ``most``, that has all required fields."""
     body = fenced(F.col(reply))
     as_list = F.when(F.startswith(body, F.lit("{")), F.concat(F.lit("["), body, F.lit("]"))).otherwise(body)
-    parsed = F.slice(F.from_json(as_list, OPERATION), 1, MAX_OPERATIONS)
+    parsed = F.from_json(as_list, OPERATION)
+    if most is not None:
+        parsed = F.slice(parsed, 1, most)
     rows = df.select(*keep, F.inline(parsed))
     return rows.filter(
         F.col("operation").isNotNull() & F.col("description").isNotNull() & F.col("confidence").isNotNull()
@@ -54,8 +55,8 @@ def reply_explanation(df: DataFrame, reply: str, keep: Sequence[str]) -> DataFra
     return df.select(*keep, summary.alias("summary"), *lists, parsed["threshold_suggestion"].alias("threshold_suggestion"))
 
 
-def suggest_operations(profile: DataFrame, duplicate_rows: int, outliers: DataFrame | None = None) -> DataFrame:
-    """At most five operations the profile calls for, in the form the cleaning chain takes.
+def suggest_operations(profile: DataFrame, duplicate_rows: int, outliers: DataFrame | None = None, most: int | None = None) -> DataFrame:
+    """The operations the profile calls for, or the first ``most``, in the form the cleaning chain takes.
 
     Rules: more than 5 % missing, duplicates present, text that is all numbers or padded, values
     outside the fences. The profile has one row per column, so this stays small.
@@ -104,7 +105,8 @@ def suggest_operations(profile: DataFrame, duplicate_rows: int, outliers: DataFr
             "column string, rule int, operation string, parameter string, weight double",
         )
         rows = rows.unionByName(extra)
-    return rows.orderBy("rule", F.desc("weight"), F.asc_nulls_first("column")).limit(MAX_OPERATIONS)
+    ordered = rows.orderBy("rule", F.desc("weight"), F.asc_nulls_first("column"))
+    return ordered if most is None else ordered.limit(most)
 
 
 def profile_text(profile: DataFrame) -> DataFrame:

@@ -127,6 +127,25 @@ def _(spark, sf):
     return P.correlation_matrix(table(spark, sf, "lineitem"), _CORR)
 
 
+_WIDE = "select " + ", ".join(f"l_quantity * {i % 5} + l_extendedprice * {i % 3} + l_discount * {i * 1000} as c{i}" for i in range(1, 18)) + " from lineitem"
+
+
+@query(
+    "correlation_wide",
+    "select x.column_x, x.column_y, x.value from (select unnest(["
+    + ", ".join(
+        f"{{'column_x': 'c{i}', 'column_y': 'c{j}', 'value': round(coalesce(corr(c{i}, c{j}), 0), 3)}}"
+        for i in range(1, 18)
+        for j in range(1, 18)
+    )
+    + "]) as x from wide)",
+    wide=_WIDE,
+)
+def _(spark, sf):
+    """More columns than one aggregate takes."""
+    return P.correlation_matrix(view(spark, sf, _WIDE))
+
+
 @query(
     "histogram",
     """select cast(b.i as integer) as bin, low + b.i * w as bin_start,
@@ -193,7 +212,7 @@ def _(spark, sf):
     return P.outlier_counts(view(spark, sf, EVENTS_DIRTY), ["value"], 0.5)
 
 
-@query("preview", "select * from lineitem order by l_orderkey, l_linenumber limit 500")
+@query("preview", "select * from lineitem order by l_orderkey, l_linenumber limit 1000")
 def _(spark, sf):
     return P.preview(table(spark, sf, "lineitem"), ["l_orderkey", "l_linenumber"], 1000)
 

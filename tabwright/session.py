@@ -58,12 +58,3 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     path = f"{scratch_dir(spark).rstrip('/')}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
-
-
-def spread(df: DataFrame) -> DataFrame:
-    """Give text-heavy work at least one partition per core when the input is a single small split.
-
-    Large inputs already have more partitions than cores and are left alone.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

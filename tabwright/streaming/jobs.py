@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -65,11 +66,11 @@ def latest_state(df: DataFrame, key: Sequence[str], at: str, tie: str) -> DataFr
 
 
 def upsert_sink(path: str, key: Sequence[str], order_by: Sequence[str]) -> Callable[[DataFrame, int], None]:
-    """A ``foreachBatch`` function that merges each batch into the newest version of a table.
+    """A ``foreachBatch`` function that merges each batch, the first one too, into the newest version of a table.
 
     A batch that is replayed after a failure writes the same version again.
     """
-    from tabwright.operators.catalog import upsert
+    from tabwright.operators.catalog import latest_by_key, upsert
 
     def merge(batch: DataFrame, epoch: int) -> None:
         spark = batch.sparkSession
@@ -77,6 +78,8 @@ def upsert_sink(path: str, key: Sequence[str], order_by: Sequence[str]) -> Calla
         if epoch:
             current = spark.read.parquet(f"{path.rstrip('/')}/v={epoch - 1}")
             batch = upsert(current, batch, key, order_by)
+        else:
+            batch = latest_by_key(batch, key, order_by)
         batch.write.mode("overwrite").parquet(target)
 
     return merge
@@ -88,7 +91,8 @@ LIVENESS_OUTPUT = "worker_id long, status string, at timestamp"
 def liveness(df: DataFrame, key: str, at: str, seconds: int = LIVE_SECONDS, late: str = "30 seconds") -> DataFrame:
     """``online`` when a worker's first beat arrives or it comes back, ``offline`` once none came for ``seconds``.
 
-    Expiry follows event time: it fires when the watermark passes the last beat plus the limit.
+    Beats of a batch are walked in order, so a gap inside it gives its ``offline`` and ``online`` as it would over
+    several batches. After the last beat expiry follows event time: it fires when the watermark passes the limit.
     """
 
     def track(who: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -99,14 +103,22 @@ def liveness(df: DataFrame, key: str, at: str, seconds: int = LIVE_SECONDS, late
                 {"worker_id": [who[0]], "status": ["offline"], "at": [pd.Timestamp(last + seconds * 1000, unit="ms")]}
             )
             return
-        newest = max(int(b["__ms"].max()) for b in batches)
+        # only the times of a worker's beats are held, eight bytes each
+        beats = np.sort(np.concatenate([b["__ms"].to_numpy() for b in batches]))
         known = state.getOption
-        fresh = known is None
-        last = newest if fresh else max(known[0], newest)
+        limit = seconds * 1000
+        if known is not None:
+            beats = np.r_[known[0], beats[beats > known[0]]]
+        gaps = np.flatnonzero(np.diff(beats) > limit)
+        times = [(int(beats[0]), "online")] if known is None else []
+        for i in gaps:
+            times += [(int(beats[i]) + limit, "offline"), (int(beats[i + 1]), "online")]
+        last = int(beats[-1])
         state.update((last,))
-        state.setTimeoutTimestamp(max(last + seconds * 1000, state.getCurrentWatermarkMs() + 1))
-        if fresh:
-            yield pd.DataFrame({"worker_id": [who[0]], "status": ["online"], "at": [pd.Timestamp(newest, unit="ms")]})
+        state.setTimeoutTimestamp(max(last + limit, state.getCurrentWatermarkMs() + 1))
+        if times:
+            at = [pd.Timestamp(t, unit="ms") for t, _ in times]
+            yield pd.DataFrame({"worker_id": [who[0]] * len(times), "status": [s for _, s in times], "at": at})
 
     rows = df.withWatermark(at, late).select(F.col(key).alias("worker_id"), at, F.unix_millis(at).alias("__ms"))
     return rows.groupBy("worker_id").applyInPandasWithState(

@@ -101,6 +101,33 @@ def test_small_groups_keep_the_plain_window(frame):
     assert not lay.buckets
 
 
+@pytest.mark.parametrize(
+    "order",
+    [["url"], ["day", "id"], ["a", "b", "id"], ["raw"], ["same"], ["wait", "id"]],
+)
+def test_as_many_ranges_as_rows_ask_for(spark, order):
+    """Long common prefixes, few values in front, binary and interval keys, and one value for all rows."""
+    n, target = 6000, 250
+    df = spark.range(n).select(
+        "id",
+        F.concat(F.lit("https://www.example.com/a/long/common/prefix/"), F.lpad(F.col("id").cast("string"), 9, "0")).alias("url"),
+        (F.col("id") * 7 % 30).alias("day"),
+        (F.col("id") % 9).alias("a"),
+        (F.col("id") * 11 % 13).alias("b"),
+        F.encode(F.lpad((F.col("id") * 31 % n).cast("string"), 6, "0"), "utf-8").alias("raw"),
+        F.lit(1).alias("same"),
+        F.make_dt_interval(secs=F.col("id") % 100).alias("wait"),
+    )
+    lay = layout.build(df, order, (), target)
+    sizes = [r["count"] for r in lay.df.groupBy(*lay.buckets).count().collect()]
+    assert len(sizes) <= 2 * math.ceil(n / target) and max(sizes) < 4 * target
+    got = layout.row_numbers(df, "n", order, (), target)
+    assert got.agg(F.sum("n"), F.count_distinct("n")).first()[:] == (n * (n + 1) // 2, n)
+    if order != ["same"]:
+        want = [r["id"] for r in df.orderBy(*[k.sort() for k in layout.keys(order)]).collect()]
+        assert [r["id"] for r in got.orderBy("n").collect()] == want
+
+
 def test_empty_and_missing_order(spark, frame):
     empty = frame.filter("false")
     assert layout.row_numbers(empty, "n", ["id"]).count() == 0

@@ -67,6 +67,14 @@ def test_feature_stats_single_row(spark):
     assert got["std"] == 0.0 and got["median"] == 2.0
 
 
+def test_correlation_and_preview_keep_everything(spark):
+    df = spark.range(700).select("id", *[(F.col("id") * (i + 1) % 97).alias(f"c{i}") for i in range(21)])
+    names = df.columns[1:]
+    got = {(r["column_x"], r["column_y"]) for r in P.correlation_matrix(df, names).collect()}
+    assert got == {(a, b) for a in names for b in names}
+    assert P.preview(df, ["id"], 650).count() == 650
+
+
 def test_suggestions(spark):
     rows = [(i, None if i % 3 else 1.0, "  a", 1000.0 if i == 5 else float(i % 4)) for i in range(60)]
     df = spark.createDataFrame(rows, "id long, m double, c string, x double")
@@ -84,6 +92,7 @@ def test_replies(spark):
     ]
     df = spark.createDataFrame(list(enumerate(texts)), "id long, reply string")
     got = R.reply_operations(df, "reply", ["id"]).groupBy("id").agg(F.count("*").alias("n"), F.min("operation").alias("o"))
-    assert {r["id"]: (r["n"], r["o"]) for r in got.collect()} == {0: (1, "a"), 1: (1, "b"), 2: (1, "c"), 4: (5, "n")}
+    assert {r["id"]: (r["n"], r["o"]) for r in got.collect()} == {0: (1, "a"), 1: (1, "b"), 2: (1, "c"), 4: (7, "n")}
+    assert R.reply_operations(df, "reply", ["id"], most=5).filter("id = 4").count() == 5
     explained = R.reply_explanation(df, "reply", ["id"]).orderBy("id").collect()
     assert explained[3]["summary"] == "no json at all" and explained[1]["summary"] == "No summary available"

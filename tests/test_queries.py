@@ -5,8 +5,8 @@ from oracle_check import compare, connect
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
-from tabwright.operators import catalog, cleaning
-from tabwright.operators.cleaning import DropDuplicates, FillMissing
+from tabwright.operators import catalog, cleaning, layout
+from tabwright.operators.cleaning import DropDuplicates
 
 QUERIES, ORACLES = entry.queries(), entry.oracle_sql()
 
@@ -35,13 +35,13 @@ def plan(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-def test_ordered_fill_has_no_single_partition(spark, sf):
+def test_ordered_fill_of_a_large_group_has_no_single_partition(spark, sf):
     df = spark.read.parquet(f"{sf}/events.parquet")
-    out = cleaning.clean_one(df, FillMissing("value", "forward", order_by=("ts", "event_id")))
+    out = layout.carry_forward(df, {"filled": F.col("value")}, ["ts", "event_id"], target_rows=100)
     window = plan(out).split("Window", 1)[1]
     assert "hashpartitioning(__b0" in window
     main = [line for line in plan(out).splitlines() if "SinglePartition" in line]
-    # only the table with one row per bucket is gathered
+    # only the table with one row per range is gathered
     assert all("__n" not in line for line in main)
 
 

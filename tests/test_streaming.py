@@ -70,6 +70,18 @@ def test_liveness(spark, tmp_path):
     assert seen == [(1, "online", at(0)), (2, "offline", at(90)), (2, "online", at(0))]
 
 
+def test_liveness_is_the_same_for_any_cut_into_batches(spark, tmp_path):
+    beats = [(i, at(s), 1, "a", 1.0) for i, s in enumerate([0, 60, 500, 560, 1200])] + [(9, at(1300), 2, "a", 1.0)]
+    cuts = {"one": [beats], "each": [[b] for b in beats], "two": [beats[:3], beats[3:]]}
+    seen = {}
+    for name, batches in cuts.items():
+        got = run(jobs.liveness(feed(spark, str(tmp_path / name), batches), "user_id", "ts"), f"live_{name}")
+        seen[name] = sorted((r["status"], r["at"]) for r in got if r["worker_id"] == 1)
+    want = sorted([("online", at(0)), ("offline", at(150)), ("online", at(500)), ("offline", at(650)), ("online", at(1200))])
+    assert seen["one"] == want and seen["two"] == want
+    assert seen["each"] == want
+
+
 def test_change_relay(spark, tmp_path):
     batches = [
         [(1, at(0), 1, "a", 1.0), (2, at(1), 1, "a", 1.0), (3, at(2), 1, "b", 1.0)],
@@ -89,6 +101,27 @@ def test_ingest_resumes(spark, tmp_path):
         assert spark.read.parquet(target).count() == i + 1
 
 
+def test_upsert_sink_merges_the_first_batch(spark, tmp_path):
+    path = str(tmp_path / "state")
+    stream = feed(spark, str(tmp_path / "src"), [[(1, at(0), 1, "a", 1.0), (2, at(5), 1, "b", 1.0)]])
+    stream.writeStream.foreachBatch(jobs.upsert_sink(path, ["user_id"], ["ts"])).trigger(availableNow=True).start().awaitTermination(60)
+    assert [r["event_id"] for r in spark.read.parquet(f"{path}/v=0").collect()] == [2]
+
+
+def test_log_lines_are_parsed_on_a_stream(spark, tmp_path):
+    from tabwright.operators import logs
+
+    lines = [f"2024-01-01 00:0{i % 3}:00.000 | {'ERROR' if i % 2 else 'INFO'} | mod:run:1 - x" for i in range(12)]
+    spark.createDataFrame([(x,) for x in lines], "line string").write.parquet(str(tmp_path / "in"))
+    raw = spark.readStream.schema("line string").parquet(str(tmp_path / "in"))
+    parsed = logs.parse_app_log(raw, "line").withColumn("timestamp", F.col("timestamp").cast("timestamp"))
+    counts = jobs.live_log_counts(parsed, "timestamp")
+    q = counts.writeStream.format("memory").queryName("loglines").outputMode("complete").trigger(availableNow=True).start()
+    q.awaitTermination(60)
+    rows = spark.table("loglines").collect()
+    assert sum(r["lines"] for r in rows) == 12 and sum(r["error"] for r in rows) == 6
+
+
 def test_upsert_sink(spark, tmp_path):
     batches = [[(1, at(0), 1, "a", 1.0)], [(2, at(5), 1, "b", 1.0), (3, at(1), 2, "c", 1.0)]]
     path = str(tmp_path / "state")
