@@ -15,6 +15,7 @@ import codecs
 import hashlib
 import re
 from collections.abc import Iterator
+from itertools import chain
 
 import pyarrow as pa
 import regex
@@ -23,10 +24,8 @@ from pyspark.sql import functions as F
 
 from tabwright.llm.common import slices, table
 
-#: A piece or word memory is begun anew beyond so many entries.
-MEMORY = 400_000
-#: States of a transducer beyond which it is begun anew.
-STATES = 200_000
+#: A memory of words is begun anew beyond so many entries, that of moves and seams beyond this many.
+WORDS, MOVES = 800_000, 300_000
 #: A space before a visible character always begins a piece, so words can be looked up whole.
 BEFORE_WORD = re.compile(r" (?=\S)")
 
@@ -63,10 +62,11 @@ class Transducer:
         self._clear()
 
     def _clear(self) -> None:
-        #: a state: the last emitted token, and (bytes since, tokens since) for each live prefix, the full one last
+        #: a state: the last emitted token, and for each live prefix the bytes since and its tokens since
         self.states: dict[tuple, int] = {}
         self.keys: list[tuple] = []
-        self.moves: list[dict[int, tuple[int, tuple]]] = []
+        #: (state, byte) as one number to the next state and what is emitted
+        self.moves: dict[int, tuple[int, tuple]] = {}
         self._state((None, ((b"", ()),)))
 
     def _state(self, key: tuple) -> int:
@@ -74,7 +74,6 @@ class Transducer:
         if found is None:
             found = self.states[key] = len(self.keys)
             self.keys.append(key)
-            self.moves.append({})
         return found
 
     def _edge(self, token: bytes, side: int, memory: dict) -> list[tuple[bytes, int]]:
@@ -93,98 +92,97 @@ class Transducer:
         """Whether the two tokens stay as they are side by side."""
         if (known := self.seams.get((first, second))) is not None:
             return known
-        ok = True
+        if len(self.seams) > MOVES:
+            self.seams.clear()
+        self.seams[first, second] = ok = self._stay(first, second)
+        return ok
+
+    def _stay(self, first: bytes, second: bytes) -> bool:
+        rank = self.ranks.get
+        left = self._edge(second, 0, self.left)
         for a, a_hidden in self._edge(first, 1, self.right):
-            for b, b_hidden in self._edge(second, 0, self.left):
+            for b, b_hidden in left:
                 # equal ranks merge from the left: the merge inside the first token wins, that inside the second loses
-                merge = self.ranks.get(a + b)
+                merge = rank(a + b)
                 if merge is not None and merge < a_hidden and merge <= b_hidden:
-                    ok = False
-        if len(self.seams) > 4 * MEMORY:
-            self.seams.clear()
-        self.seams[first, second] = ok
-        return ok
+                    return False
+        return True
 
     def _move(self, state: int, byte: int) -> tuple[int, tuple]:
         last, live = self.keys[state]
-        full = live[-1][0] + bytes([byte])
+        step = bytes((byte,))
         going, done = [], None
-        for text, tokens in live:
-            tail = full[len(text) :]
-            if tail in self.made and done is None:
+        for tail, tokens in live:
+            tail += step
+            if done is None and tail in self.made:
                 before = tokens[-1] if tokens else last
                 if before is None or self.apart(before, tail):
-                    done = (full, (*tokens, tail))
+                    done = (*tokens, tail)
             if tail in self.begun:
-                going.append((text, tokens))
-        going.append(done)
-        shared, n = going[-1][1], len(going[-1][1])
-        for _, tokens in going:
-            n = min(n, len(tokens))
-            while tokens[:n] != shared[:n]:
+                going.append((tail, tokens))
+        going.append((b"", done))
+        n = min(len(tokens) for _, tokens in going)
+        for _, tokens in going if n else ():
+            while tokens[:n] != done[:n]:
                 n -= 1
-        cut = sum(map(len, shared[:n]))
-        last = shared[n - 1] if n else last
-        key = (last, tuple((text[cut:], tokens[n:]) for text, tokens in going))
-        return self._state(key), shared[:n]
-
-    def encode(self, piece: bytes) -> Iterator[bytes]:
-        """Tokens of one piece, emitted as soon as they are certain."""
-        if len(self.keys) > STATES:
+        sure = done[:n]
+        if n:
+            last, going = sure[-1], [(tail, tokens[n:]) for tail, tokens in going]
+        # the last token matters only to a prefix that ends with it
+        return self._state((last if any(not tokens for _, tokens in going) else None, tuple(going))), sure
+
+    def encode(self, piece: bytes) -> list[bytes]:
+        """Tokens of one piece, each emitted as soon as it is certain."""
+        if len(self.moves) > MOVES:
             self._clear()
-        state = 0
+        state, moves, out = 0, self.moves, []
         for byte in piece:
-            move = self.moves[state].get(byte)
+            at = state << 8 | byte
+            move = moves.get(at)
             if move is None:
-                move = self.moves[state][byte] = self._move(state, byte)
+                move = moves[at] = self._move(state, byte)
             state, sure = move
-            yield from sure
-        yield from self.keys[state][1][-1][1]
+            if sure:
+                out += sure
+        out += self.keys[state][1][-1][1]
+        return out
+
+
+class Memory(dict):
+    """Ids of words by the text between two word breaks; a word that is missing is encoded."""
+
+    def __init__(self, encoder: Encoder, lead: str):
+        self.encoder, self.lead = encoder, lead
+
+    def __missing__(self, word: str) -> tuple[int, ...]:
+        encoder, found = self.encoder, []
+        for piece in encoder.pattern.findall(self.lead + word):
+            raw = piece.encode()
+            whole = encoder.ranks.get(raw)
+            if whole is not None:
+                found.append(whole)
+            else:
+                found += [encoder.ranks[t] for t in encoder.transducer.encode(raw)]
+        found = tuple(found)
+        if len(word) < 100:
+            if len(self) > WORDS:
+                self.clear()
+            self[word] = found
+        return found
 
 
 class Encoder:
-    """Texts to ids. Pieces met before are looked up, new ones go through the transducer."""
+    """Texts to ids. Words met before are looked up, new ones go piece by piece through the transducer."""
 
     def __init__(self, ranks: dict[bytes, int], pattern: str, made: dict | None = None):
         self.ranks = ranks
         self.pattern = regex.compile(pattern)
         self.transducer = Transducer(ranks, made or split_tokens(ranks))
-        self.pieces: dict[str, list[int]] = {}
-        self.words: dict[str, tuple[int, str, list[int]]] = {}
-
-    def piece(self, piece: str) -> list[int]:
-        if (ids := self.pieces.get(piece)) is None:
-            raw = piece.encode()
-            whole = self.ranks.get(raw)
-            ids = [whole] if whole is not None else [self.ranks[t] for t in self.transducer.encode(raw)]
-            if len(piece) < 100:
-                if len(self.pieces) > MEMORY:
-                    self.pieces.clear()
-                self.pieces[piece] = ids
-        return ids
-
-    def word(self, word: str) -> tuple[int, str, list[int]]:
-        """How many ids, the ids in decimal with a comma after each, and the ids of what stands between two word breaks."""
-        if (found := self.words.get(word)) is None:
-            ids = [i for piece in self.pattern.findall(word) for i in self.piece(piece)]
-            found = (len(ids), "".join(f"{i}," for i in ids), ids)
-            if len(word) < 100:
-                if len(self.words) > MEMORY:
-                    self.words.clear()
-                self.words[word] = found
-        return found
-
-    def encode_words(self, text: str) -> list[tuple[int, str, list[int]]]:
-        parts = BEFORE_WORD.split(text)
-        known, word = self.words, self.word
-        out = [word(parts[0])]
-        for part in parts[1:]:
-            part = " " + part
-            out.append(known.get(part) or word(part))
-        return out
+        self.begin, self.after_space = Memory(self, ""), Memory(self, " ")
 
     def encode(self, text: str) -> list[int]:
-        return [i for _, _, ids in self.encode_words(text) for i in ids]
+        first, *rest = BEFORE_WORD.split(text)
+        return [*self.begin[first], *chain.from_iterable(map(self.after_space.__getitem__, rest))]
 
 
 class Utf8Stream:
@@ -209,22 +207,25 @@ def _run(spark, path: str, pattern: str, with_ids: bool):
     # the vocabulary file is at most a few MB; it is read here, so the workers need no copy of it
     with open(path, "rb") as f:
         ranks = read_ranks(f.read())
-    shared = spark.sparkContext.broadcast((ranks, split_tokens(ranks)))
+    # a worker unpickles a broadcast value once and keeps it, so the encoder made from it serves all its tasks
+    shared = spark.sparkContext.broadcast({"ranks": ranks, "made": split_tokens(ranks)})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ranks, made = shared.value
-        encoder = Encoder(ranks, pattern, made)
-        tokens = {i: t for t, i in ranks.items()}
+        held = shared.value
+        if "encoder" not in held:
+            held["encoder"] = Encoder(held["ranks"], pattern, held["made"])
+            held["tokens"] = {i: t for t, i in held["ranks"].items()}
+            held["decimal"] = {i: str(i) for i in held["tokens"]}
+        encoder, tokens, decimal = held["encoder"], held["tokens"], held["decimal"]
         for batch in slices(batches, "text"):
             counts, id_hash, text_hash, all_ids = [], [], [], []
             for text in batch.column("text").to_pylist():
-                words = encoder.encode_words(text or "")
-                ids = [i for _, _, part in words for i in part]
+                ids = encoder.encode(text or "")
                 decoded = hashlib.sha256()
                 for chars in decode_stream(ids, tokens):
                     decoded.update(chars.encode())
                 counts.append(len(ids))
-                id_hash.append(hashlib.sha256("".join([w[1] for w in words])[:-1].encode()).hexdigest())
+                id_hash.append(hashlib.sha256(",".join(map(decimal.__getitem__, ids)).encode()).hexdigest())
                 text_hash.append(decoded.hexdigest())
                 if with_ids:
                     all_ids.append(ids)
