@@ -109,8 +109,9 @@ def windows(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
     filled = np.minimum(offsets[doc + 1] - begin, WINDOW)
     spots = begin[:, None] + np.arange(WINDOW)
     inside = np.arange(WINDOW) < filled[:, None]
-    x = np.where(inside, data[np.minimum(spots, max(0, len(data) - 1))] if len(data) else 0, PAD)
-    return x.astype(np.intp), doc, filled
+    x = np.full(spots.shape, PAD, np.intp)
+    x[inside] = data[spots[inside]]
+    return x, doc, filled
 
 
 def sample(docs: DataFrame, texts: int = SAMPLE_TEXTS, per_text: int = SAMPLE_WINDOWS) -> DataFrame:
