@@ -85,7 +85,7 @@ def plan(docs: DataFrame, labels: DataFrame | None = None) -> DataFrame:
     drawn = cut_lineage(_drawn(docs, labels, docs.count()))
     sums = cut_lineage(drawn.groupBy("source", "bucket").agg(F.sum("size").alias("n")))
     sources = _targets(sums.groupBy("source").agg(F.sum("n").alias("source_size")))
-    epochs = F.coalesce(F.floor(F.col("target") / F.col("source_size")), F.lit(0))
+    epochs = F.coalesce(F.floor(F.try_divide("target", "source_size")), F.lit(0))
     sources = sources.withColumn("epochs", epochs)
     sources = sources.withColumn("rest", F.floor("target") - F.col("epochs") * F.col("source_size"))
     sources = sources.select(F.col("source").alias("__source"), "source_size", "target", "epochs", "rest")
