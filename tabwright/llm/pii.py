@@ -1,11 +1,11 @@
 """Personal data by candidate gradient boosting, in DataFrame functions only.
 
-Strict rules give the base spans. Loose generators propose many more spans, overlapping ones too: every mail-like
-text, and every run of digits with separators as an ip, a card and a phone at once. Boosted trees judge a proposal
-by its format and context. They learn from all texts which proposals a base span confirms, without seeing what the
-rules check last (the plus sign, the check digit, the size of numbers), so they know what such data looks like
-where it breaks a rule. The counts of equal feature rows are all that training takes to the driver, 2**features of
-a kind at most. A threshold for each kind is calibrated to a precision on texts held out of training.
+Strict rules give the base spans. A loose generator for each kind proposes more spans, overlapping ones too: what
+looks like a mail address, an ip, a card or a phone by itself, also inside a longer run of digits that the rules
+reject as a whole. Boosted trees judge a proposal by its format and context. They learn from all texts which
+proposals a base span confirms, without seeing the plus sign, so they know what such data looks like where a rule
+misses it. The counts of equal feature rows are all that training takes to the driver, 2**features of a kind at
+most. A threshold for each kind is calibrated to a precision on texts held out of training.
 """
 
 from __future__ import annotations
@@ -28,7 +28,9 @@ CARD = r"(?<![0-9])(?<![0-9][ -])[0-9](?:[ -]?[0-9]){12,18}(?![ -]?[0-9])"
 PHONE = r"\+[0-9][ ().0-9-]+[0-9]"
 #: The loose generators.
 MAIL_LIKE = r"[^\s@<>\"(),;:\[\]]{1,64}(?:@| ?[\[(]at[\])] ?)[^\s@<>\"(),;:\[\]]{1,255}"
-NUMBER_LIKE = r"\+?\(?[0-9][0-9 ().-]{5,40}[0-9]"
+IP_LIKE = r"(?<![0-9.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![0-9])"
+CARD_LIKE = r"(?<![0-9])[0-9]{4}(?:[ -]?[0-9]{4}){2}[ -]?[0-9]{1,7}(?![0-9])"
+PHONE_LIKE = r"(?<![0-9])\+?(?:[0-9]{1,3}[ .-]?)?(?:\([0-9]{2,4}\)|[0-9]{2,4})[ .-][0-9]{3,4}[ .-][0-9]{3,4}(?![0-9])"
 
 #: Trees of an ensemble, shrinkage, ridge, and proposals that a leaf must hold.
 ROUNDS, RATE, RIDGE, LEAF = 30, 0.3, 1.0, 20
@@ -116,7 +118,8 @@ def _number_features(x: Column, left: Column, right: Column) -> dict[str, Column
         "paren": x.rlike(r"\([0-9]+\)"),
         "last4": x.rlike(r"[^0-9][0-9]{4}$"),
         "parts3": x.rlike(r"[0-9][^0-9]+[0-9]+[^0-9]+[0-9]"),
-        "quad": x.rlike(r"^[0-9]{1,3}(?:\.[0-9]{1,3}){3}$"),
+        "octets": ~x.rlike(r"(?:[3-9][0-9]|2[6-9]|25[6-9])[0-9]|25[6-9]|[0-9]{4}"),
+        "check": F.when(n.between(13, 19), _luhn(_digits(x))).otherwise(F.lit(False)),
         "n9": n >= 9,
         "n13": n >= 13,
         "n16": n == 16,
@@ -129,9 +132,15 @@ def _number_features(x: Column, left: Column, right: Column) -> dict[str, Column
 
 
 def _candidates(df: DataFrame) -> DataFrame:
-    """Adds ``mails`` and ``numbers``: arrays of (start, end, features)."""
+    """Adds ``email_like`` and so on: arrays of (start, end, features)."""
     t = F.col("t")
-    df = _located(df, {"mails": (MAIL_LIKE, t.rlike(r"@|[\[(]at[\])]")), "numbers": (NUMBER_LIKE, t.rlike("[0-9]"))})
+    found = {
+        "email_like": (MAIL_LIKE, t.rlike(r"@|[\[(]at[\])]")),
+        "ip_like": (IP_LIKE, t.rlike(r"[0-9]\.[0-9]+\.[0-9]")),
+        "card_like": (CARD_LIKE, t.rlike("[0-9]{4}[ -]?[0-9]{4}")),
+        "phone_like": (PHONE_LIKE, t.rlike("[0-9][ .-][0-9]{3,4}")),
+    }
+    df = _located(df, found)
 
     def judged(name: str, features) -> Column:
         def one(x: Column) -> Column:
@@ -143,7 +152,9 @@ def _candidates(df: DataFrame) -> DataFrame:
 
         return F.transform(name, one)
 
-    return df.withColumn("mails", judged("mails", _mail_features)).withColumn("numbers", judged("numbers", _number_features))
+    for name in found:
+        df = df.withColumn(name, judged(name, _mail_features if name == "email_like" else _number_features))
+    return df
 
 
 def prepare(docs: DataFrame) -> DataFrame:
@@ -151,7 +162,7 @@ def prepare(docs: DataFrame) -> DataFrame:
     df = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("t"))
     df = _candidates(_base(df)).withColumn("held", F.pmod(F.xxhash64("t"), F.lit(5)) == 0)
     slim = [F.transform(k, lambda x: F.struct(x["start"], x["end"])).alias(k) for k in KINDS]
-    return cut_lineage(df.select("doc_id", "held", *slim, "mails", "numbers"))
+    return cut_lineage(df.select("doc_id", "held", *slim, *[f"{k}_like" for k in KINDS]))
 
 
 def _overlaps(a: Column, b: Column) -> Column:
@@ -220,28 +231,30 @@ class Trees:
 def train(prepared: DataFrame, precision: float = PRECISION) -> dict[str, tuple[Trees, float]]:
     """For each kind an ensemble and the least score that reaches ``precision`` on held-out texts (infinite if none does)."""
     out = {}
-    for source, kinds in (("mails", ("email",)), ("numbers", ("ip", "card", "phone"))):
-        rows = prepared.select("held", *KINDS, F.explode(source).alias("c"))
-        labels = [F.exists(k, lambda b: _overlaps(F.col("c"), b)).alias(k) for k in kinds]
-        rows = rows.select("held", *labels, "c.f.*")
-        names = rows.columns[1 + len(kinds) :]
-        counts = rows.groupBy(*rows.columns).count().collect()
-        for kind in kinds:
-            cells: dict[tuple, np.ndarray] = {}
-            for r in counts:
-                cells.setdefault(tuple(bool(r[c]) for c in names), np.zeros(4))[2 * bool(r["held"]) + bool(r[kind])] += r["count"]
-            keys = sorted(cells)
-            x = np.array(keys, bool).reshape(len(keys), len(names))
-            n = np.array([cells[k] for k in keys]).reshape(len(keys), 4)
-            trees = Trees(names).fit(x, n[:, 1], n[:, 0])
-            out[kind] = (trees, _calibrate(trees.score(x), n[:, 3], n[:, 2], precision))
+    for kind in KINDS:
+        rows = prepared.select("held", kind, F.explode(f"{kind}_like").alias("c"))
+        rows = rows.select("held", F.exists(kind, lambda b: _overlaps(F.col("c"), b)).alias("yes"), "c.f.*")
+        names = rows.columns[2:]
+        cells: dict[tuple, np.ndarray] = {}
+        for r in rows.groupBy(*rows.columns).count().collect():
+            cells.setdefault(tuple(bool(r[c]) for c in names), np.zeros(4))[2 * bool(r["held"]) + bool(r["yes"])] += r["count"]
+        keys = sorted(cells)
+        x = np.array(keys, bool).reshape(len(keys), len(names))
+        n = np.array([cells[k] for k in keys]).reshape(len(keys), 4)
+        trees = Trees(names).fit(x, n[:, 1], n[:, 0])
+        out[kind] = (trees, _calibrate(trees.score(x), n[:, 3], n[:, 2], precision))
     return out
 
 
 def _calibrate(score: np.ndarray, yes: np.ndarray, no: np.ndarray, precision: float) -> float:
-    """The least score at and above which held-out proposals reach the precision, one doubtful proposal added."""
-    best, good, bad = math.inf, 0.0, 1.0
+    """The least score at and above which held-out proposals reach the precision, one doubtful proposal added.
+
+    A proposal that is itself less likely than that stays out, however good those above it are.
+    """
+    best, good, bad, sure = math.inf, 0.0, 1.0, math.log(precision / (1 - precision))
     for s in sorted(set(score.tolist()), reverse=True):
+        if s < sure:
+            break
         at = score == s
         good, bad = good + yes[at].sum(), bad + no[at].sum()
         if good / (good + bad) >= precision:
@@ -252,41 +265,24 @@ def _calibrate(score: np.ndarray, yes: np.ndarray, no: np.ndarray, precision: fl
 def detect(prepared: DataFrame, models: dict[str, tuple[Trees, float]]) -> DataFrame:
     """One row per document: doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans.
 
-    Counts and ``base_sha256`` are of base spans, which all stay. A proposal is added for the kind with the highest
-    score above its threshold if it meets no base span, and a number only if it meets no added mail address.
+    Counts and ``base_sha256`` are of base spans, which all stay. A proposal above its kind's threshold is added
+    if it meets no base span and none added before: mail addresses come first, then cards, phones and ips.
     """
-    df = prepared.withColumn("base", F.concat(*KINDS))
-
-    def chosen(source: str, kinds: tuple[str, ...]) -> Column:
-        use = [k for k in kinds if math.isfinite(models[k][1])]
-        none = F.array().cast("array<struct<start:int,end:int,kind:int>>")
-        if not use:
-            return none
-
-        def judged(c: Column) -> Column:
-            options = [
-                F.when(models[k][0].column(c["f"]) >= models[k][1] - 1e-9, F.struct(models[k][0].column(c["f"]).alias("s"), F.lit(KINDS.index(k)).alias("k")))
-                for k in use
-            ]
-            best = F.array_max(F.array(*options))
-            return F.struct(c["start"].alias("start"), c["end"].alias("end"), best["k"].alias("kind"))
-
-        free = F.filter(source, lambda c: ~F.exists("base", lambda b: _overlaps(c, b)))
-        return F.filter(F.transform(free, judged), lambda c: c["kind"].isNotNull())
-
-    df = df.withColumn("more_mails", chosen("mails", ("email",))).withColumn("more_numbers", chosen("numbers", ("ip", "card", "phone")))
-    numbers = F.filter("more_numbers", lambda c: ~F.exists("more_mails", lambda b: _overlaps(c, b)))
-    df = df.withColumn("more", F.concat("more_mails", numbers))
+    df = prepared.withColumn("taken", F.concat(*KINDS))
+    for kind in ("email", "card", "phone", "ip"):
+        trees, least = models[kind]
+        if math.isfinite(least):
+            free = F.filter(f"{kind}_like", lambda c: (trees.column(c["f"]) >= least - 1e-9) & ~F.exists("taken", lambda b: _overlaps(c, b)))  # noqa: B023
+            slim = F.transform(free, lambda c: F.struct(c["start"].alias("start"), c["end"].alias("end")))
+        else:
+            slim = F.array().cast("array<struct<start:int,end:int>>")
+        df = df.withColumn(f"{kind}_more", slim)
+        df = df.withColumn("taken", F.concat("taken", f"{kind}_more"))
 
     def said(kind: str, spans: Column) -> Column:
         return F.transform(spans, lambda x: F.concat_ws(":", F.lit(kind), x["start"].cast("string"), x["end"].cast("string")))
 
-    def with_added(kind: str) -> Column:
-        own = F.filter("more", lambda c: c["kind"] == KINDS.index(kind))
-        added = F.transform(own, lambda c: F.struct(c["start"].alias("start"), c["end"].alias("end")))
-        return said(kind, F.array_sort(F.concat(F.col(kind), added)))
-
-    everything = [with_added(k) for k in KINDS]
+    everything = [said(k, F.array_sort(F.concat(k, f"{k}_more"))) for k in KINDS]
     base = F.array_join(F.concat(*[said(k, F.col(k)) for k in KINDS]), ",")
     return df.select(
         "doc_id",

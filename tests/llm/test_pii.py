@@ -66,11 +66,11 @@ def test_trees_add_what_looks_the_same(spark):
     rows = []
     for i in range(600):
         phone = f"({rng.randrange(100, 999)}) {rng.randrange(100, 999)}-{rng.randrange(1000, 9999)}"
-        rows.append((i, f"some words {'+1 ' if i % 20 else ''}{phone} and {rng.randrange(1900, 2030)} to {rng.randrange(100)} years", "en", "s"))
+        rows.append((i, f"some words {'+1 ' if i % 50 else ''}{phone} and {rng.randrange(1900, 2030)} to {rng.randrange(100)} years", "en", "s"))
     got = pii.find_private(documents(spark, rows)).collect()
-    bare = [r.spans for r in got if r.doc_id % 20 == 0]
+    bare = [r.spans for r in got if r.doc_id % 50 == 0]
     assert all(s.startswith("phone:11:") for s in bare)
-    assert all(r.n_phone == 0 for r in got if r.doc_id % 20 == 0)
+    assert all(r.n_phone == 0 for r in got if r.doc_id % 50 == 0)
 
 
 def test_scores_are_the_same_in_sql(spark):
