@@ -14,8 +14,8 @@ from tabwright.operators import order_stats
 
 TOP_VALUES = 5
 FEW_VALUES = 20
-#: Column pairs of one correlation aggregate; more pairs take more passes.
-CORRELATION_PAIRS = 200
+#: Column pairs of one correlation aggregate: wide ones outgrow generated code and take far longer.
+CORRELATION_PAIRS = 8
 CATEGORICAL_SHARE = 0.05
 
 

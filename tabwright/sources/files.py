@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import uuid
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field, replace
 
@@ -29,7 +30,6 @@ EXTENSIONS = {
     "qif": ("qif",),
     "ical": ("ics", "ical"),
     "vcard": ("vcf", "vcard"),
-    "sqlite": ("sqlite", "db", "sqlite3"),
     "log": ("log",),
     "excel": ("xlsx", "xls"),
     "yaml": ("yaml", "yml"),
@@ -55,7 +55,6 @@ class ReadOptions:
     record_key: str | None = None
     xml_record_tag: str | None = None
     log_pattern: str | None = None
-    sqlite_table: str | None = None
     infer: bool = True
     multiline: bool = False  # quoted line breaks; such files cannot be split
 
@@ -89,9 +88,11 @@ def read_any(spark: SparkSession, path: str, fmt: str | None = None, options: Re
 
 
 def detect_delimiter(spark: SparkSession, path: str) -> str:
-    """The most frequent candidate in the first bytes of one file; the earlier one on ties."""
-    lines = spark.read.text(path).limit(500).collect()
-    sample = "\n".join(r[0] for r in lines)[:DETECTION_BYTES]
+    """The most frequent candidate in the first bytes of the first file by name; the earlier one on ties."""
+    files = sorted(spark.read.text(path).inputFiles())
+    # as many lines as these bytes can hold at most
+    lines = spark.read.text(files[0]).limit(DETECTION_BYTES).select(F.substring("value", 1, DETECTION_BYTES)) if files else None
+    sample = "\n".join(r[0] for r in (lines.collect() if files else []))[:DETECTION_BYTES]
     return max(DELIMITERS, key=sample.count)
 
 
@@ -107,15 +108,23 @@ def read_csv(spark: SparkSession, path: str, options: ReadOptions) -> DataFrame:
         # the markers are not valid numbers, so PERMISSIVE parsing already turns them into nulls
         return convert.null_markers(reader.schema(options.schema).csv(path), markers=options.null_values)
     df = _skipped(spark, path, sep, options) if options.skip_rows else reader.option("inferSchema", False).csv(path)
+    if options.sample_rows:
+        df = df.limit(options.sample_rows)
     df = convert.null_markers(df, markers=options.null_values)
     return convert.infer_types(df) if options.infer else df
 
 
 def _skipped(spark: SparkSession, path: str, sep: str, options: ReadOptions) -> DataFrame:
-    """Drop the first lines of every file; the files are numbered line by line, one task per file."""
-    lines = _documents(spark, path, options).select(F.posexplode(F.split("value", "\r?\n")).alias("pos", "line"))
-    head = lines.filter(F.col("pos") == options.skip_rows).select("line").first()
-    if head is None:
+    """Drop the first lines of every file. Files are still split: only lines of a file's first block are counted."""
+    lines = spark.read.option("encoding", options.encoding).text(path)
+    lines = lines.select(F.col("value").alias("line"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"))
+    # consecutive within a block, as a task reads it in order
+    lines = lines.withColumn("at", F.monotonically_increasing_id())
+    start_of = lines.groupBy("file").agg(F.min(F.when(F.col("block") == 0, F.col("at"))).alias("begin"))
+    place = F.when(F.col("block") == 0, F.col("at") - F.col("begin")).otherwise(F.lit(2**62))
+    lines = lines.join(start_of, "file").select("file", "line", place.alias("pos"))
+    head = lines.filter(F.col("pos") == options.skip_rows).agg(F.min_by("line", "file")).first()
+    if head is None or head[0] is None:
         return spark.createDataFrame([], T.StructType())
     first = head[0]
     names = next(iter(_split_line(first, sep)))
@@ -123,8 +132,8 @@ def _skipped(spark: SparkSession, path: str, sep: str, options: ReadOptions) ->
         names = [f"column_{i + 1}" for i in range(len(names))]
     start = options.skip_rows + (1 if options.has_header else 0)
     body = lines.filter((F.col("pos") >= start) & (F.length("line") > 0)).select("line")
-    schema = T.StructType([T.StructField(n, T.StringType()) for n in names])
-    parsed = F.from_csv("line", schema.simpleString()[7:-1].replace(":", " "), {"sep": sep, "escape": '"'})
+    quoted = ", ".join(f"`{n.replace('`', '``')}` string" for n in names)
+    parsed = F.from_csv("line", quoted, {"sep": sep, "escape": '"'})
     return body.select(parsed.alias("r")).select("r.*")
 
 
@@ -252,7 +261,7 @@ def read_log(spark: SparkSession, path: str, options: ReadOptions) -> DataFrame:
     lines = spark.read.option("encoding", options.encoding).text(path)
     if options.log_pattern:
         return logs.named_groups(lines, "value", options.log_pattern)
-    kind = logs.detect_format(lines.limit(logs.DETECTION_LINES), "value")
+    kind = logs.detect_format(lines, "value")
     if kind:
         return logs.parse_lines(lines, "value", kind)
     whole = _documents(spark, path, options)
@@ -261,18 +270,6 @@ def read_log(spark: SparkSession, path: str, options: ReadOptions) -> DataFrame:
     return numbered.select((F.col("pos") + 1).cast("long").alias("line_number"), F.trim("line").alias("content"))
 
 
-def read_sqlite(spark: SparkSession, path: str, options: ReadOptions) -> DataFrame:
-    from tabwright.sources.sqlite import SqliteSource
-
-    spark.dataSource.register(SqliteSource)
-    reader = spark.read.format("sqlite_files").option("path", path)
-    if options.sqlite_table:
-        reader = reader.option("table", options.sqlite_table)
-    if options.sample_rows:
-        reader = reader.option("limit", str(options.sample_rows))
-    return reader.load()
-
-
 READERS = {
     "csv": read_csv,
     "tsv": read_tsv,
@@ -286,7 +283,6 @@ READERS = {
     "ical": _record_reader(records.ical),
     "vcard": _record_reader(records.vcard),
     "log": read_log,
-    "sqlite": read_sqlite,
 }
 
 
@@ -395,6 +391,8 @@ def write_jsonl(df: DataFrame, path: str, options: WriteOptions) -> None:
 
 def write_json(df: DataFrame, path: str, options: WriteOptions) -> None:
     """One JSON array per output file: each task streams its own rows between brackets."""
+    if options.rows_per_file or options.partition_by:
+        raise ValueError("json writes one array for each task: repartition the table instead")
 
     def bracket(batches):
         import pandas as pd
@@ -410,7 +408,10 @@ def write_json(df: DataFrame, path: str, options: WriteOptions) -> None:
         yield pd.DataFrame({"value": ["[]" if first else "]"]})
 
     rows = df.select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("value"))
-    rows.mapInPandas(bracket, "value string").write.mode(options.mode).text(path)
+    writer = rows.mapInPandas(bracket, "value string").write.mode(options.mode).option("maxRecordsPerFile", 0)
+    if options.compression:
+        writer = writer.option("compression", options.compression)
+    writer.text(path)
 
 
 def write_feather(df: DataFrame, path: str, options: WriteOptions) -> None:
@@ -420,16 +421,15 @@ def write_feather(df: DataFrame, path: str, options: WriteOptions) -> None:
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
     target = jvm.org.apache.hadoop.fs.Path(path)
     fs = target.getFileSystem(conf)
-    if fs.exists(target):
-        if options.mode != "overwrite":
-            raise ValueError(f"{path} exists")
-        fs.delete(target, True)
-    fs.mkdirs(target)
-    schema = pa.schema([])
+    if fs.exists(target) and options.mode != "overwrite":
+        raise ValueError(f"{path} exists")
     from pyspark.sql.pandas.types import to_arrow_schema
 
     schema = to_arrow_schema(df.schema)
-    folder = path
+    # written aside: the old files go only when the new ones are whole, so a table may replace what it reads
+    folder = f"{path.rstrip('/')}.writing-{uuid.uuid4().hex}"
+    aside = jvm.org.apache.hadoop.fs.Path(folder)
+    fs.mkdirs(aside)
 
     def save(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyarrow import fs as arrow_fs
@@ -449,7 +449,17 @@ def write_feather(df: DataFrame, path: str, options: WriteOptions) -> None:
         files.move(temp, f"{base}/part-{part:05d}.arrow")
         yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([rows], pa.int64())], ["part", "rows"])
 
-    df.mapInArrow(save, "part int, rows long").agg(F.sum("rows")).collect()
+    try:
+        df.mapInArrow(save, "part int, rows long").agg(F.sum("rows")).collect()
+        for left in fs.listStatus(aside):
+            if left.getPath().getName().startswith("_part-"):
+                fs.delete(left.getPath(), False)
+    except BaseException:
+        fs.delete(aside, True)
+        raise
+    if fs.exists(target):
+        fs.delete(target, True)
+    fs.rename(aside, target)
 
 
 WRITERS = {

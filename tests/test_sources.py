@@ -1,5 +1,4 @@
 import datetime
-import sqlite3
 
 import pyarrow as pa
 import pyarrow.feather as feather
@@ -21,8 +20,8 @@ def rows(df):
 
 
 def test_dispatch():
-    assert [S.detect_format(f"/x/a.{e}") for e in ("CSV", "txt", "pq", "ndjson", "qfx", "vcf", "db")] == [
-        "csv", "csv", "parquet", "jsonl", "ofx", "vcard", "sqlite",
+    assert [S.detect_format(f"/x/a.{e}") for e in ("CSV", "txt", "pq", "ndjson", "qfx", "vcf")] == [
+        "csv", "csv", "parquet", "jsonl", "ofx", "vcard",
     ]
     with pytest.raises(ValueError):
         S.detect_format("a.bin")
@@ -76,22 +75,47 @@ def test_xml(spark, tmp_path):
     assert got["startDate"] == "2024-01-01 08:00:00" and got["value"] == "5"
 
 
-def test_feather_and_sqlite(spark, tmp_path):
+def test_feather(spark, tmp_path):
     folder = tmp_path / "f.feather"
     folder.mkdir()
     for i in range(2):
         feather.write_feather(pa.table({"a": [i, i + 10], "b": ["x", None]}), str(folder / f"{i}.feather"), compression="zstd")
     assert rows(S.read_any(spark, str(folder))) == rows(spark.createDataFrame([(0, "x"), (10, None), (1, "x"), (11, None)], "a long, b string"))
-    path = tmp_path / "t.sqlite"
-    con = sqlite3.connect(path)
-    con.execute("create table zz (q int)")
-    con.execute('create table aa ("a b" integer, c real, d text)')
-    con.executemany("insert into aa values (?, ?, ?)", [(1, 2.5, "x"), (2, None, None)])
-    con.commit()
-    con.close()
-    df = S.read_any(spark, str(path))
-    assert df.dtypes == [("a b", "bigint"), ("c", "double"), ("d", "string")] and rows(df) == [(1, 2.5, "x"), (2, None, None)]
-    assert S.read_any(spark, str(path), sample_rows=1).count() == 1
+
+
+def test_feather_writer_replaces_only_with_a_whole_table(spark, tmp_path):
+    path = str(tmp_path / "t.arrow")
+    S.write_any(spark.range(10), path)
+    S.write_any(S.read_any(spark, path).withColumn("id", F.col("id") + 1), path, mode="overwrite")
+    assert rows(S.read_any(spark, path)) == sorted(((i + 1,) for i in range(10)), key=repr)
+    with pytest.raises(Exception, match="fails here"):
+        S.write_any(spark.range(10).select(F.raise_error(F.lit("fails here")).cast("long").alias("id")), path, mode="overwrite")
+    assert S.read_any(spark, path).count() == 10 and [p.name for p in tmp_path.iterdir()] == ["t.arrow"]
+
+
+def test_skipped_lines_of_split_files(spark, tmp_path):
+    """Odd header names, several files, and more than one task for a file."""
+    for f in ("a", "b"):
+        body = "\n".join(f'{i},"x,{i}",{f}' for i in range(4000))
+        put(tmp_path, f"{f}.csv", f"made by hand\n\nfirst name,with:colon,last-name\n{body}\n")
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
+    try:
+        df = S.read_any(spark, str(tmp_path), "csv", skip_rows=2, delimiter=",")
+        assert df.columns == ["first name", "with:colon", "last-name"]
+        got = rows(df)
+        assert df.select(F.spark_partition_id()).distinct().count() > 2
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    assert got == sorted(((i, f"x,{i}", f) for f in "ab" for i in range(4000)), key=repr)
+
+
+def test_json_writer_options(spark, tmp_path):
+    with pytest.raises(ValueError):
+        S.write_any(spark.range(3), str(tmp_path / "p.json"), partition_by=("id",))
+    S.write_any(spark.range(3), str(tmp_path / "z.json"), compression="gzip")
+    assert any(p.name.endswith(".gz") for p in (tmp_path / "z.json").iterdir())
+    assert rows(S.read_any(spark, str(tmp_path / "z.json"))) == [(0,), (1,), (2,)]
 
 
 def test_bank_texts(spark, tmp_path):
