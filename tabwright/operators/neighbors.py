@@ -10,10 +10,12 @@ because no further copy can be among the k nearest.
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -22,8 +24,12 @@ from tabwright.session import cut_lineage
 
 CELL_ROWS = 50_000
 BLOCK_ROWS = 20_000
+ASSIGN_ROWS = 1000
 MIN_PIVOTS, MAX_PIVOTS = 8, 4096
 
+# functions of this module go to the workers by value: they need no copy of the package
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 
 def _vector(columns: Sequence[str]):
     # adding zero makes -0.0 and 0.0 one point
@@ -58,10 +64,12 @@ def nearest(
 
     def assign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            if len(pdf):
-                d = _distances(np.stack(pdf["v"].to_numpy()), centers)
+            # as many rows at once as keep the distances to all pivots small
+            for at in range(0, len(pdf), ASSIGN_ROWS):
+                some = pdf.iloc[at : at + ASSIGN_ROWS]
+                d = _distances(np.stack(some["v"].to_numpy()), centers)
                 cell = d.argmin(axis=1)
-                yield pdf.assign(cell=cell.astype("int32"), d=d[np.arange(len(pdf)), cell])
+                yield some.assign(cell=cell.astype("int32"), d=d[np.arange(len(some)), cell])
 
     cells = cut_lineage(
         points.mapInPandas(assign, f"train_id {key_kind}, payload {load_kind}, v array<double>, cell int, d double")

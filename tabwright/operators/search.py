@@ -99,6 +99,7 @@ class TrainingSet:
 
     @staticmethod
     def prepare(df: DataFrame, target: str, key: Sequence[str], features: Sequence[str] | None, problem: str | None, folds: int, seed: int) -> TrainingSet:
+        """Rows, label and split, written once. Without folds (0) their shuffle is spared."""
         problem = problem or problem_type(df, target)
         chosen = list(features or [c for c in df.columns if c != target and c not in key])
         rows = df.select(*key, *chosen, target).filter(F.col(target).isNotNull())
@@ -108,7 +109,10 @@ class TrainingSet:
             rows = labels.encode(rows, target, "label")
         else:
             rows = rows.withColumn("label", F.col(target).cast("double"))
-        rows = stratified_folds(rows, "label" if labels else None, key, folds, "fold", seed)
+        if folds:
+            rows = stratified_folds(rows, "label" if labels else None, key, folds, "fold", seed)
+        else:
+            rows = rows.withColumn("fold", F.lit(None).cast("int"))
         part = F.when(hash_percent(key, seed) < TEST_PERCENT, F.lit("test")).otherwise(F.lit("train"))
         rows = cut_lineage(rows.select(*chosen, "label", "fold", part.alias("part")))
         shape = Shape(rows.count(), len(labels.labels) if labels else 0, seed)
@@ -228,7 +232,9 @@ def search(
     problem = problem or problem_type(df, target)
     validate_request(df, target, problem, models, budget_minutes)
     data = TrainingSet.prepare(df, target, key, features, problem, folds, seed)
+    # every trial reads the folds: they are prepared once
     splits = [_split(data, data.df.filter(F.col("fold") != i), data.df.filter(F.col("fold") == i)) for i in range(folds)]
+    splits = [Split(cut_lineage(s.train), cut_lineage(s.valid)) for s in splits]
     context = df.sparkSession.sparkContext
     waiting = list(models)
 

@@ -19,7 +19,7 @@ from tabwright.plans.base import SCORED, query, table, view
 def _(spark, sf):
     df = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_quantity", "l_extendedprice")
     key = ["l_orderkey", "l_linenumber", "l_partkey"]
-    data = S.TrainingSet.prepare(df, "l_extendedprice", key, ["l_quantity"], REGRESSION, 5, 42)
+    data = S.TrainingSet.prepare(df, "l_extendedprice", key, ["l_quantity"], REGRESSION, 0, 42)
     bundle = S.train_single(data, "ridge", {"alpha": 1e-4}).bundle
     scored = bundle.score(df.select("l_quantity").distinct())
     return scored.select("l_quantity", F.round("prediction", 1).alias("prediction"))
@@ -34,7 +34,7 @@ def _(spark, sf):
 )
 def _(spark, sf):
     df = view(spark, sf, SCORED).select("event_id", "y", "score")
-    data = S.TrainingSet.prepare(df, "y", ["event_id"], ["score"], CLASSIFICATION, 5, 42)
+    data = S.TrainingSet.prepare(df, "y", ["event_id"], ["score"], CLASSIFICATION, 0, 42)
     bundle = S.train_single(data, "naive_bayes", {}).bundle
     return bundle.score(df.select("event_id", "score")).select("event_id", "prediction")
 
@@ -47,7 +47,7 @@ def _documents(spark, sf):
 @query("batch_score")
 def _(spark, sf):
     train = _documents(spark, sf).drop("toxic")
-    data = S.TrainingSet.prepare(train, "quality", ["doc_id"], None, CLASSIFICATION, 5, 42)
+    data = S.TrainingSet.prepare(train, "quality", ["doc_id"], None, CLASSIFICATION, 0, 42)
     outcome = S.train_single(data, "decision_tree", {"max_depth": 4, "min_samples_leaf": 5, "criterion": "gini"})
     return outcome.bundle.score(table(spark, sf, "documents").select("doc_id", "n_chars", "lang", "source"))
 
@@ -55,7 +55,7 @@ def _(spark, sf):
 @query("score_confidence")
 def _(spark, sf):
     train = _documents(spark, sf).drop("quality")
-    data = S.TrainingSet.prepare(train, "toxic", ["doc_id"], None, CLASSIFICATION, 5, 42)
+    data = S.TrainingSet.prepare(train, "toxic", ["doc_id"], None, CLASSIFICATION, 0, 42)
     bundle = S.train_single(data, "logistic_regression", {"C": 1.0}).bundle
     scored = bundle.score(table(spark, sf, "documents").select("doc_id", "n_chars", "lang", "source"))
     return scored.select("doc_id", "prediction", "confidence")
