@@ -28,7 +28,7 @@ from tabwright.session import cut_lineage, scratch_dir
 END_ID = 0
 PART_BYTES = 64 << 20
 #: A word memory is begun anew beyond so many entries.
-MEMORY = 400_000
+MEMORY = 800_000
 NO_ID = np.iinfo(np.int64).min
 BEFORE_WORD = re.compile(r" (?=\S)")
 
@@ -45,7 +45,7 @@ class WordEncoder:
     """Encodes with the tokenizers library; words met before are looked up.
 
     Byte-level pre-tokenizers cut before a space that a visible character follows, so what stands between two
-    such cuts has the same ids wherever it stands. The texts of new words are encoded together.
+    such cuts has the same ids wherever it stands. New words are encoded together.
     """
 
     def __init__(self, spec: str, dtype: str):
@@ -54,36 +54,43 @@ class WordEncoder:
         self.tokenizer = Tokenizer.from_str(spec)
         self.tokenizer.encode_special_tokens = True
         self.dtype = dtype
-        self.words: dict[str, bytes] = {}
+        self.end = np.array([END_ID], dtype).tobytes()
+        #: packed ids by word, of words that begin a text and of words after a space
+        self.begin: dict[str, bytes] = {}
+        self.after_space: dict[str, bytes] = {}
+
+    def _learn(self, known: dict[str, bytes], words: set[str], lead: str) -> list[str]:
+        if len(known) > MEMORY:
+            known.clear()
+        new = list(words.difference(known))
+        for at in range(0, len(new), 2000):
+            some = new[at : at + 2000]
+            for word, found in zip(some, self.tokenizer.encode_batch_fast([lead + w for w in some], add_special_tokens=False), strict=True):
+                known[word] = np.array(found.ids, self.dtype).tobytes()
+        return [w for w in new if len(w) >= 100]
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each text as packed integers, the end id after each."""
-        if len(self.words) > MEMORY:
-            self.words.clear()
-        known, split = self.words, []
-        fresh: dict[str, bytes] = {}
-        for text in texts:
-            first, *rest = BEFORE_WORD.split(text or "")
-            parts = [first, *[" " + x for x in rest]]
-            split.append(parts)
-            fresh.update((p, b"") for p in parts if p not in known)
-        names = list(fresh)
-        for at in range(0, len(names), 2000):
-            some = names[at : at + 2000]
-            for name, found in zip(some, self.tokenizer.encode_batch(some, add_special_tokens=False), strict=True):
-                fresh[name] = np.array(found.ids, self.dtype).tobytes()
-        end = np.array([END_ID], self.dtype).tobytes()
-        out = [b"".join([known.get(p) or fresh.get(p, b"") for p in parts]) + end for parts in split]
-        known.update((k, v) for k, v in fresh.items() if len(k) < 100)
+        split = [BEFORE_WORD.split(text or "") for text in texts]
+        # words of this slice are all in memory from here on
+        long = self._learn(self.begin, {parts[0] for parts in split}, "")
+        others = self._learn(self.after_space, set().union(*[parts[1:] for parts in split]), " ")
+        word = self.after_space.__getitem__
+        out = [b"".join([self.begin[parts[0]], *map(word, parts[1:]), self.end]) for parts in split]
+        for w in long:
+            del self.begin[w]
+        for w in others:
+            del self.after_space[w]
         return out
 
 
-def _writer(spec: str, folder: str, dtype: str):
+def _writer(shared, folder: str, dtype: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = TaskContext.get().partitionId()
         fs, root = _filesystem(folder)
         name = f"{part:05d}-{uuid.uuid4().hex}.bin"
-        encoder, width = WordEncoder(spec, dtype), np.dtype(dtype).itemsize
+        held, width = shared.value, np.dtype(dtype).itemsize
+        encoder = held.get("encoder") or held.setdefault("encoder", WordEncoder(held["spec"], dtype))
         offsets, docs, total = [np.zeros(1, "<u8")], [], 0
         with fs.open_output_stream(f"{root}/tokens-{name}") as out:
             for batch in slices(batches, "text"):
@@ -126,7 +133,9 @@ def write(docs: DataFrame, tokenizer: str, folder: str | None = None, part_bytes
     parts = max(1, -(-total // part_bytes))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("tie"))
     rows = rows.repartitionByRange(parts, F.col("doc_id").asc_nulls_first(), "tie").sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "tie")
-    written = cut_lineage(rows.select("doc_id", "text").mapInArrow(_writer(spec, folder, dtype), _PART))
+    # the file of a vocabulary is a few MB; a worker unpickles it once and keeps the encoder for all its tasks
+    shared = spark.sparkContext.broadcast({"spec": spec})
+    written = cut_lineage(rows.select("doc_id", "text").mapInArrow(_writer(shared, folder, dtype), _PART))
     # one row for each part
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     manifest = written.withColumn("base", F.coalesce(F.sum("ids").over(before), F.lit(0))).withColumn("dtype", F.lit(dtype))
