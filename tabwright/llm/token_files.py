@@ -11,9 +11,12 @@ executor leaves an unlisted file at most.
 
 from __future__ import annotations
 
+import os
 import re
+import sys
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -49,6 +52,8 @@ class WordEncoder:
     """
 
     def __init__(self, spec: str, dtype: str):
+        # a task has one core; threads of the library would only compete with other tasks
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(spec)
@@ -59,6 +64,12 @@ class WordEncoder:
         self.begin: dict[str, bytes] = {}
         self.after_space: dict[str, bytes] = {}
 
+    def _packed(self, ids: list[int]) -> bytes:
+        packed = array("H" if self.dtype == "<u2" else "I", ids)
+        if sys.byteorder == "big":
+            packed.byteswap()
+        return packed.tobytes()
+
     def _learn(self, known: dict[str, bytes], words: set[str], lead: str) -> list[str]:
         if len(known) > MEMORY:
             known.clear()
@@ -66,7 +77,7 @@ class WordEncoder:
         for at in range(0, len(new), 2000):
             some = new[at : at + 2000]
             for word, found in zip(some, self.tokenizer.encode_batch_fast([lead + w for w in some], add_special_tokens=False), strict=True):
-                known[word] = np.array(found.ids, self.dtype).tobytes()
+                known[word] = self._packed(found.ids)
         return [w for w in new if len(w) >= 100]
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
