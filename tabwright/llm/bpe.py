@@ -24,8 +24,10 @@ from pyspark.sql import functions as F
 
 from tabwright.llm.common import slices, table
 
-#: A memory of words is begun anew beyond so many entries, that of moves and seams beyond this many.
+#: A memory of words is begun anew beyond so many entries, that of moves and seams beyond this many:
+#: about 430 MB in a worker. ``SMALL`` takes 160 MB where a worker also has other things to hold.
 WORDS, MOVES = 800_000, 300_000
+SMALL = (200_000, 100_000)
 #: A space before a visible character always begins a piece, so words can be looked up whole.
 BEFORE_WORD = re.compile(r" (?=\S)")
 
@@ -53,8 +55,8 @@ def split_tokens(ranks: dict[bytes, int]) -> dict[bytes, tuple[bytes, bytes] | N
 
 
 class Transducer:
-    def __init__(self, ranks: dict[bytes, int], made: dict[bytes, tuple[bytes, bytes] | None]):
-        self.ranks, self.made = ranks, made
+    def __init__(self, ranks: dict[bytes, int], made: dict[bytes, tuple[bytes, bytes] | None], most: int = MOVES):
+        self.ranks, self.made, self.most = ranks, made, most
         self.begun = {token[:i] for token in made for i in range(len(token))}
         self.seams: dict[tuple[bytes, bytes], bool] = {}
         self.right: dict[bytes, list] = {}
@@ -92,7 +94,7 @@ class Transducer:
         """Whether the two tokens stay as they are side by side."""
         if (known := self.seams.get((first, second))) is not None:
             return known
-        if len(self.seams) > MOVES:
+        if len(self.seams) > self.most:
             self.seams.clear()
         self.seams[first, second] = ok = self._stay(first, second)
         return ok
@@ -133,7 +135,7 @@ class Transducer:
 
     def encode(self, piece: bytes) -> list[bytes]:
         """Tokens of one piece, each emitted as soon as it is certain."""
-        if len(self.moves) > MOVES:
+        if len(self.moves) > self.most:
             self._clear()
         state, moves, out = 0, self.moves, []
         for byte in piece:
@@ -165,7 +167,7 @@ class Memory(dict):
                 found += [encoder.ranks[t] for t in encoder.transducer.encode(raw)]
         found = tuple(found)
         if len(word) < 100:
-            if len(self) > WORDS:
+            if len(self) > encoder.most:
                 self.clear()
             self[word] = found
         return found
@@ -174,10 +176,10 @@ class Memory(dict):
 class Encoder:
     """Texts to ids. Words met before are looked up, new ones go piece by piece through the transducer."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str, made: dict | None = None):
-        self.ranks = ranks
+    def __init__(self, ranks: dict[bytes, int], pattern: str, made: dict | None = None, memory: tuple[int, int] = (WORDS, MOVES)):
+        self.ranks, self.most = ranks, memory[0]
         self.pattern = regex.compile(pattern)
-        self.transducer = Transducer(ranks, made or split_tokens(ranks))
+        self.transducer = Transducer(ranks, made or split_tokens(ranks), memory[1])
         self.begin, self.after_space = Memory(self, ""), Memory(self, " ")
 
     def encode(self, text: str) -> list[int]:
@@ -203,7 +205,7 @@ def decode_stream(ids: list[int], tokens: dict[int, bytes], block: int = 4096) -
     yield stream.feed(b"", True)
 
 
-def _run(spark, path: str, pattern: str, with_ids: bool):
+def _run(spark, path: str, pattern: str, with_ids: bool, memory: tuple[int, int]):
     # the vocabulary file is at most a few MB; it is read here, so the workers need no copy of it
     with open(path, "rb") as f:
         ranks = read_ranks(f.read())
@@ -213,7 +215,7 @@ def _run(spark, path: str, pattern: str, with_ids: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = shared.value
         if "encoder" not in held:
-            held["encoder"] = Encoder(held["ranks"], pattern, held["made"])
+            held["encoder"] = Encoder(held["ranks"], pattern, held["made"], memory)
             held["tokens"] = {i: t for t, i in held["ranks"].items()}
             held["decimal"] = {i: str(i) for i in held["tokens"]}
         encoder, tokens, decimal = held["encoder"], held["tokens"], held["decimal"]
@@ -242,15 +244,16 @@ def _run(spark, path: str, pattern: str, with_ids: bool):
     return run
 
 
-def tokenize(docs: DataFrame, path: str, pattern: str, with_ids: bool = True) -> DataFrame:
+def tokenize(docs: DataFrame, path: str, pattern: str, with_ids: bool = True, memory: tuple[int, int] = (WORDS, MOVES)) -> DataFrame:
     """One row per document: doc_id, n_tokens, ids_sha256, decoded_sha256 and the ids.
 
     ``path`` is a rank file, ``pattern`` cuts texts into pieces. A null text is empty and has no ids. The ids
-    are decoded again as a stream; ``decoded_sha256`` is that of the decoded text.
+    are decoded again as a stream; ``decoded_sha256`` is that of the decoded text. ``memory`` bounds what a worker
+    remembers (words, moves) and changes no result.
     """
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return source.mapInArrow(_run(docs.sparkSession, path, pattern, with_ids), schema)
+    return source.mapInArrow(_run(docs.sparkSession, path, pattern, with_ids, memory), schema)
 
 
 def op8_bpe(spark, sf_dir: str) -> DataFrame:

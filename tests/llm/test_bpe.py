@@ -36,6 +36,15 @@ def test_pieces_equal_the_library(ranks, reference):
         assert encoder.encode(text) == reference.encode_ordinary(text), repr(text)
 
 
+def test_a_small_memory_changes_nothing(ranks, reference):
+    encoder = bpe.Encoder(ranks, public.PATTERN, memory=(20, 30))
+    rng = random.Random(8)
+    for _ in range(300):
+        text = " ".join("".join(rng.choice("thereoing") for _ in range(rng.randrange(1, 9))) for _ in range(20))
+        assert encoder.encode(text) == reference.encode_ordinary(text)
+    assert len(encoder.after_space) <= 21
+
+
 def test_blanks_and_odd_characters(ranks, reference):
     encoder = bpe.Encoder(ranks, public.PATTERN)
     rng = random.Random(4)
