@@ -25,8 +25,8 @@ TABLE_BYTES = 32 << 20
 #: Parts of an oversized bucket, and tasks that a content's records are dealt to on the way.
 FAN, SALTS = 16, 8
 
-RECORD = "bucket string, hash long, content binary, bytes long, keep_id long, group_size long"
-GROUP = "text_sha256 string, keep_id long, group_size long"
+RECORD = "bucket string, hash long, content binary, bytes long, keep_id long, group_size long, keep_rows long"
+GROUP = "text_sha256 string, keep_id long, group_size long, keep_rows long"
 
 
 class ContentTable:
@@ -34,22 +34,24 @@ class ContentTable:
 
     def __init__(self):
         self.slots = np.full(1024, -1, np.int64)
-        self.rows: list[list] = []  # bucket, hash, content, bytes, largest id, count
+        self.rows: list[list] = []  # bucket, hash, content, bytes, largest id, count, rows of that id
         self.bytes = 0
 
-    def add(self, bucket: str, code: int, content: bytes, keep_id: int | None, n: int) -> None:
+    def add(self, bucket: str, code: int, content: bytes, keep_id: int | None, n: int, rows: int = 1) -> None:
         mask = len(self.slots) - 1
         at = code & mask
         while (row := self.slots[at]) >= 0:
             found = self.rows[row]
             if found[1] == code and found[2] == content:
-                if keep_id is not None and (found[4] is None or keep_id > found[4]):
-                    found[4] = keep_id
+                if keep_id == found[4]:
+                    found[6] += rows
+                elif keep_id is not None and (found[4] is None or keep_id > found[4]):
+                    found[4], found[6] = keep_id, rows
                 found[5] += n
                 return
             at = (at + 1) & mask
         self.slots[at] = len(self.rows)
-        self.rows.append([bucket, code, content, len(content), keep_id, n])
+        self.rows.append([bucket, code, content, len(content), keep_id, n, rows])
         self.bytes += len(content) + 200
         if 2 * len(self.rows) > len(self.slots):
             self._grow()
@@ -64,13 +66,13 @@ class ContentTable:
             self.slots[at] = i
 
     def fill(self, batch) -> None:
-        columns = (batch.column(c).to_pylist() for c in ("bucket", "hash", "content", "keep_id", "group_size"))
+        columns = (batch.column(c).to_pylist() for c in ("bucket", "hash", "content", "keep_id", "group_size", "keep_rows"))
         for record in zip(*columns, strict=True):
             self.add(*record)
 
     def records(self) -> Iterator[pa.RecordBatch]:
-        types = (pa.string(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64())
-        names = ["bucket", "hash", "content", "bytes", "keep_id", "group_size"]
+        types = (pa.string(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.int64())
+        names = ["bucket", "hash", "content", "bytes", "keep_id", "group_size", "keep_rows"]
         for at in range(0, len(self.rows), 1000):
             columns = zip(*self.rows[at : at + 1000], strict=True)
             arrays = [pa.array(c, t) for c, t in zip(columns, types, strict=True)]
@@ -101,12 +103,13 @@ def _settle(bucket: pa.Table) -> pa.Table:
             "text_sha256": pa.array([hashlib.sha256(r[2]).hexdigest() for r in held.rows], pa.string()),
             "keep_id": pa.array([r[4] for r in held.rows], pa.int64()),
             "group_size": pa.array([r[5] for r in held.rows], pa.int64()),
+            "keep_rows": pa.array([r[6] for r in held.rows], pa.int64()),
         }
     )
 
 
 def groups(docs: DataFrame, limit: int = TABLE_BYTES) -> DataFrame:
-    """One row for each distinct text: text_sha256, keep_id (the largest doc_id), group_size."""
+    """One row for each distinct text: text_sha256, keep_id (the largest doc_id), group_size, keep_rows (rows of keep_id)."""
     text = F.coalesce("text", F.lit(""))
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     width = max(4, int(2 * total / limit).bit_length())
@@ -117,6 +120,7 @@ def groups(docs: DataFrame, limit: int = TABLE_BYTES) -> DataFrame:
         F.octet_length(text).cast("long").alias("bytes"),
         F.col("doc_id").cast("long").alias("keep_id"),
         F.lit(1).cast("long").alias("group_size"),
+        F.lit(1).cast("long").alias("keep_rows"),
     )
     spill, shift, out = cut_lineage(rows.mapInArrow(_collapse(limit), RECORD)), width, None
     while True:
@@ -161,9 +165,12 @@ def exact_dedup(docs: DataFrame, limit: int = TABLE_BYTES) -> DataFrame:
 
 def keep_one(docs: DataFrame, limit: int = TABLE_BYTES) -> DataFrame:
     """The documents that stay, with all their columns; of fully repeated (doc_id, text) rows one stays."""
-    found = groups(docs, limit).select(F.col("text_sha256").alias("__sha"), F.col("keep_id").alias("__keep"))
+    found = groups(docs, limit).select(F.col("text_sha256").alias("__sha"), F.col("keep_id").alias("__keep"), F.col("keep_rows").alias("__rows"))
+    found = cut_lineage(found)
     joined = _hashed(docs).join(found, "__sha").where(F.col("doc_id").eqNullSafe(F.col("__keep")))
-    return joined.dropDuplicates(["doc_id", "__sha"]).select(*docs.columns)
+    # only rows that are repeated in full are shuffled once more
+    many = joined.where(F.col("__rows") > 1).dropDuplicates(["doc_id", "__sha"])
+    return joined.where(F.col("__rows") == 1).unionByName(many).select(*docs.columns)
 
 
 def op3_exact_dedup(spark, sf_dir: str) -> DataFrame:
