@@ -2,7 +2,8 @@
 
 Byte embeddings, filters of several widths, max pooling over a fixed-length window and a softmax layer are
 trained in numpy on a bounded sample of labelled texts. Every window of every text is then scored in batches
-and a text's windows are averaged by their length.
+and a text's windows are averaged by their length. The softmax always names one of the learned languages; byte
+pairs of that language decide whether the text is in it (``Pairs``).
 """
 
 from __future__ import annotations
@@ -24,8 +25,14 @@ SAMPLE_TEXTS, SAMPLE_WINDOWS = 600, 2
 EPOCHS, BATCH, RATE, SMOOTH = 8, 64, 0.004, 0.02
 PAD = 256
 UNKNOWN = "und"
-#: The stage of the pipeline rejects texts below this score: no better than chance between four languages.
-LEAST_SCORE = 0.25
+#: A language with fewer held-out windows than this rejects nothing: too few to tell what is usual.
+LEAST_HELD = 20
+#: The least familiarity lies so many times the way from the median to the lowest hundredth below that hundredth.
+FENCE = 4
+#: Byte pairs of a language are smoothed by so many draws of its single bytes.
+PRIOR = 20
+#: A text counts as if so many usual bytes stood before it: a few letters tell too little to reject it.
+USUAL = 16
 
 
 class ByteNet:
@@ -114,6 +121,54 @@ def windows(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return x, doc, filled
 
 
+class Pairs:
+    """Byte pairs of each language: the mean log probability of a text's bytes, and the least that is usual."""
+
+    def __init__(self, langs: list[str], rows: list[tuple[str, bytes]]):
+        counts = np.zeros((len(langs), 256, 256))
+        for lang, window in rows:
+            a = np.frombuffer(window, np.uint8)
+            np.add.at(counts[langs.index(lang)], (a[:-1], a[1:]), 1)
+        single = (counts.sum(1) + 0.5) / (counts.sum((1, 2)) + 128)[:, None]
+        pairs = (counts + PRIOR * single[:, None]) / (counts.sum(2) + PRIOR)[:, :, None]
+        self.first, self.next = np.log(single), np.log(pairs)
+        self.middle, self.least = np.zeros(len(langs)), np.full(len(langs), -np.inf)
+
+    def familiarity(self, data: np.ndarray, offsets: np.ndarray, lang: np.ndarray) -> np.ndarray:
+        """Of each text in the language given for it; texts hold a byte at least."""
+        sizes = np.diff(offsets)
+        of = np.repeat(lang, sizes)
+        terms = np.empty(len(data))
+        terms[1:] = self.next[of[1:], data[:-1], data[1:]]
+        begin = offsets[:-1]
+        terms[begin] = self.first[lang, data[begin]]
+        return np.add.reduceat(terms, begin) / sizes
+
+    def strange(self, data: np.ndarray, offsets: np.ndarray, lang: np.ndarray) -> np.ndarray:
+        """Whether each text is less familiar than the least."""
+        sizes = np.diff(offsets)
+        found = self.familiarity(data, offsets, lang)
+        return (sizes * found + USUAL * self.middle[lang]) / (sizes + USUAL) < self.least[lang]
+
+    def fence(self, net: ByteNet, rows: list[tuple[str, bytes]]) -> Pairs:
+        """Take the least familiarity from held-out windows whose language the network finds.
+
+        It lies far below the lowest hundredth, so usual texts stay however many there are.
+        """
+        if not rows:
+            return self
+        data = np.frombuffer(b"".join(w for _, w in rows), np.uint8)
+        offsets = np.cumsum([0] + [len(w) for _, w in rows])
+        best, _ = _score_slice(net, data, offsets)
+        found = self.familiarity(data, offsets, best)
+        for i, lang in enumerate(net.langs):
+            usual = found[[b == i and row[0] == lang for b, row in zip(best, rows, strict=True)]]
+            if len(usual) >= LEAST_HELD:
+                low, self.middle[i] = np.quantile(usual, [0.01, 0.5])
+                self.least[i] = low - FENCE * (self.middle[i] - low)
+        return self
+
+
 def sample(docs: DataFrame, texts: int = SAMPLE_TEXTS, per_text: int = SAMPLE_WINDOWS) -> DataFrame:
     """(lang, window): for each language the texts with the smallest hashes of their id, some windows of each.
 
@@ -137,10 +192,16 @@ def held_out(doc_id) -> F.Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % 5 == 0, F.lit(False))
 
 
+def _windows_of(docs: DataFrame, texts: int) -> list[tuple[str, bytes]]:
+    return sorted((r.lang, bytes(r.window)) for r in sample(docs, texts).collect())
+
+
 def train(docs: DataFrame, texts: int = SAMPLE_TEXTS) -> ByteNet | None:
     """Fit on documents outside the held-out fifth; ``None`` if none of them has a language and letters."""
-    usable = docs.where(F.crc32(F.col("doc_id").cast("string")) % 5 != 0)
-    rows = sorted((r.lang, bytes(r.window)) for r in sample(usable, texts).collect())
+    return _fit(_windows_of(docs.where(F.crc32(F.col("doc_id").cast("string")) % 5 != 0), texts))
+
+
+def _fit(rows: list[tuple[str, bytes]]) -> ByteNet | None:
     if not rows:
         return None
     langs = sorted({lang for lang, _ in rows})
@@ -165,8 +226,11 @@ def _score_slice(net: ByteNet, data: np.ndarray, offsets: np.ndarray) -> tuple[n
     return mean.argmax(1), mean.max(1)
 
 
-def predict(text: F.Column, net: ByteNet | None) -> F.Column:
-    """struct<lang_pred, score> of a whole text; ``und`` with score 0 for null or a text without letters."""
+def predict(text: F.Column, net: ByteNet | None, pairs: Pairs | None = None) -> F.Column:
+    """struct<lang_pred, score> of a whole text; ``und`` with score 0 for null or a text without letters.
+
+    With ``pairs`` also for a text less familiar than is usual in the language that the network names.
+    """
     nothing = F.struct(F.lit(UNKNOWN).alias("lang_pred"), F.lit(0.0).alias("score"))
     if net is None:
         return nothing
@@ -178,13 +242,18 @@ def predict(text: F.Column, net: ByteNet | None) -> F.Column:
             at, n = 0, len(column)
             while at < n:
                 to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + SLICE_BYTES, "right")) - 1)
-                b, t = _score_slice(net, data[offsets[at] : offsets[to]], offsets[at : to + 1] - offsets[at])
+                body, cuts = data[offsets[at] : offsets[to]], offsets[at : to + 1] - offsets[at]
+                b, t = _score_slice(net, body, cuts)
+                if pairs is not None and len(body):
+                    some = np.flatnonzero(np.diff(cuts))
+                    strange = some[pairs.strange(body, np.r_[cuts[some], cuts[-1]], b[some])]
+                    b[strange], t[strange] = -1, 0
                 best.append(b)
                 top.append(t)
                 at = to
             best = np.concatenate(best) if best else np.zeros(0, int)
             top = np.concatenate(top) if top else np.zeros(0)
-            names = pa.array([net.langs[i] for i in best], pa.string())
+            names = pa.array([net.langs[i] if i >= 0 else UNKNOWN for i in best], pa.string())
             yield pa.StructArray.from_arrays([names, pa.array(top, pa.float64())], ["lang_pred", "score"])
 
     run = arrow_udf(score, "lang_pred string, score double")
@@ -202,11 +271,20 @@ def identify(docs: DataFrame, net: ByteNet | None = None) -> DataFrame:
     return scored.select("doc_id", "held_out", "p.lang_pred", "p.score")
 
 
-def keep_known(docs: DataFrame, least: float = LEAST_SCORE, net: ByteNet | None = None) -> DataFrame:
-    """Documents whose language is recognised with at least ``least``, with all their columns."""
-    net = net or train(docs)
-    scored = docs.withColumn("__p", predict(F.col("text"), net))
-    return scored.where((F.col("__p.lang_pred") != UNKNOWN) & (F.col("__p.score") >= least)).select(*docs.columns)
+def keep_known(docs: DataFrame, net: ByteNet | None = None, pairs: Pairs | None = None) -> DataFrame:
+    """Documents in one of the languages of ``docs``, with all their columns.
+
+    Null texts, texts without letters, and texts that are unfamiliar in the language the network names go. What is
+    unfamiliar is learned from the held-out fifth; a language with under ``LEAST_HELD`` windows there rejects nothing.
+    """
+    if net is None:
+        rows = _windows_of(docs.where(F.crc32(F.col("doc_id").cast("string")) % 5 != 0), SAMPLE_TEXTS)
+        net = _fit(rows)
+        if net is not None:
+            held = _windows_of(docs.where(held_out(F.col("doc_id"))), SAMPLE_TEXTS)
+            pairs = Pairs(net.langs, rows).fence(net, held)
+    scored = docs.withColumn("__p", predict(F.col("text"), net, pairs))
+    return scored.where(F.col("__p.lang_pred") != UNKNOWN).select(*docs.columns)
 
 
 def op1_language_id(spark, sf_dir: str) -> DataFrame:

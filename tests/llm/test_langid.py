@@ -79,3 +79,17 @@ def test_stage_keeps_lettered_documents(spark):
     rows = texts(100) + [(500, "123", "aa", "s")]
     kept = L.keep_known(docs := documents(spark, rows))
     assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == set(range(100))
+
+
+def test_stage_rejects_what_is_in_no_learned_language(spark):
+    rows = texts(600)
+    strange = {
+        1000: "Все люди рождаются свободными и равными в своем достоинстве и правах. " * 3,
+        1001: "人人生而自由在尊严和权利上一律平等" * 5,
+        1002: "#$ 12 %% 8 &* 57 +=- 90 <> 3 " * 8 + "a",
+        1003: "Wszyscy ludzie rodzą się wolni i równi pod względem swej godności. " * 3,
+    }
+    rows += [(i, t, None, "s") for i, t in strange.items()] + [(2000, "ka", None, "s"), (2001, "", "aa", "s")]
+    for parts in (1, 5):
+        kept = {r.doc_id for r in L.keep_known(documents(spark, rows).repartition(parts)).collect()}
+        assert kept == set(range(600)) | {2000}
