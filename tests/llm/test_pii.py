@@ -73,6 +73,35 @@ def test_trees_add_what_looks_the_same(spark):
     assert all(r.n_phone == 0 for r in got if r.doc_id % 50 == 0)
 
 
+@pytest.mark.parametrize("times", [1, 4])
+def test_what_the_rules_often_miss_is_added_at_any_size(spark, times):
+    rng = random.Random(8)
+    rows, phones, mails = [], set(), set()
+    for i in range(1000 * times):
+        phone = f"({rng.randrange(100, 999)}) {rng.randrange(100, 999)}-{rng.randrange(1000, 9999)}"
+        sign = " [at] " if i % 10 == 1 else "@"
+        plus = "" if i % 10 < 3 else "+1 "
+        rows.append((i, f"call {plus}{phone} or write to ann{i}{sign}mail{i % 7}.example.com today, order 2{i % 10}-{i % 9}0-77 and x@{i}", "en", "s"))
+        phones |= {i} if not plus else set()
+        mails |= {i} if sign != "@" else set()
+    assert len(mails) == 100 * times and len(phones) == 300 * times
+    got = {r.doc_id: r for r in pii.find_private(documents(spark, rows)).collect()}
+    assert all(r.n_phone == (i not in phones) and r.n_email == (i not in mails) for i, r in got.items())
+    for i, text, *_ in rows:
+        spans = got[i].spans.split(",")
+        assert sum(s.startswith("phone:") for s in spans) == 1 and sum(s.startswith("email:") for s in spans) == 1, (text, spans)
+
+
+def test_what_the_rules_confirm_rarely_is_not_added(spark):
+    rng = random.Random(9)
+    rows = []
+    for i in range(800):
+        number = f"({rng.randrange(100, 999)}) {rng.randrange(100, 999)}-{rng.randrange(1000, 9999)}"
+        rows.append((i, f"some words {'' if i % 20 else '+1 '}{number} and more", "en", "s"))
+    got = pii.find_private(documents(spark, rows)).collect()
+    assert all((r.spans != "") == (r.doc_id % 20 == 0) for r in got)
+
+
 def test_scores_are_the_same_in_sql(spark):
     from pyspark.sql import functions as F
 
