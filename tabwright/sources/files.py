@@ -8,7 +8,7 @@ from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field, replace
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import from_arrow_schema
@@ -213,26 +213,67 @@ def read_xml(spark: SparkSession, path: str, options: ReadOptions) -> DataFrame:
 
 
 def detect_xml_tag(spark: SparkSession, path: str) -> str:
-    """The most frequent element directly under the root, from the opening lines of one file."""
-    lines = spark.read.text(path).limit(1000).collect()
-    text = "\n".join(r[0] for r in lines)
-    import re
+    """The most frequent element directly under the root, counted over the whole input.
 
-    depth, counts = 0, {}
-    for close, name, rest in re.findall(r"<(/?)([A-Za-z_][\w.\-:]*)([^>]*)>", text):
-        if close:
-            depth -= 1
-            continue
-        if depth == 1:
-            counts[name] = counts.get(name, 0) + 1
-        if not rest.endswith("/"):
-            depth += 1
+    Tasks read the pieces of files between ``<``, each with one whole tag, and report how many elements open at which depth within their
+    block; the depths of the blocks before it are added in Spark, so large files are split. A comment or CDATA
+    section that holds tags and runs over the border of two blocks is not recognised in the second.
+    """
+    pieces = spark.read.option("lineSep", "<").text(path)
+    # a task reads its blocks one after the other, each in order
+    pieces = pieces.select(
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), "value"
+    )
+    found = pieces.mapInArrow(_count_elements, "file string, block long, depth int, name string, n long, net int")
+    found = found.persist()
+    ends = found.where("name is null").select("file", "block", "net")
+    before = F.coalesce(F.sum("net").over(Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = ends.select("file", "block", before.alias("start"))
+    placed = found.where("name is not null").drop("net").join(starts, ["file", "block"]).withColumn("at", F.col("depth") + F.col("start"))
+    rows = placed.where("at between 0 and 1").groupBy("at", "name").agg(F.sum("n").alias("n")).collect()
+    found.unpersist()
+    counts = {r["name"]: r["n"] for r in rows if r["at"] == 1}
+    roots = {r["name"] for r in rows if r["at"] == 0}
     if not counts:
         raise ValueError("could not detect the record element: pass xml_record_tag")
     for health in ("Record", "Workout"):
-        if health in counts and (health == "Record" or "<HealthData" in text):
+        if health in counts and (health == "Record" or "HealthData" in roots):
             return health
-    return max(counts, key=lambda n: counts[n])
+    return min(counts, key=lambda n: (-counts[n], n))
+
+
+def _count_elements(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Elements opened by depth and name of each block, and a row without a name with the block's net depth."""
+    import re
+
+    tag = re.compile(r"(/?)([^\s<>/!?]+)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>")
+    ends = {"!--": "-->", "![CDATA[": "]]>", "?": "?>"}
+    names = ["file", "block", "depth", "name", "n", "net"]
+    types = [pa.string(), pa.int64(), pa.int32(), pa.string(), pa.int64(), pa.int32()]
+    here, depth, counts, until = None, 0, {}, ""
+
+    def rows():
+        out = [(*here, d, name, n, 0) for (d, name), n in counts.items()] + [(*here, 0, None, 0, depth)]
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names)
+
+    for batch in batches:
+        for file, block, value in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+            if (file, block) != here:
+                if here is not None:
+                    yield rows()
+                here, depth, counts, until = (file, block), 0, {}, ""
+            # inside a comment, a CDATA section or an instruction nothing counts
+            until = until or next((end for mark, end in ends.items() if value.startswith(mark)), "")
+            if until:
+                until = "" if until in value else until
+            elif found := tag.match(value):
+                if found[1]:
+                    depth -= 1
+                else:
+                    counts[depth, found[2]] = counts.get((depth, found[2]), 0) + 1
+                    depth += not found[3].endswith("/")
+    if here is not None:
+        yield rows()
 
 
 def read_health(spark: SparkSession, path: str, tag: str = "Record") -> DataFrame:

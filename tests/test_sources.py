@@ -75,6 +75,25 @@ def test_xml(spark, tmp_path):
     assert got["startDate"] == "2024-01-01 08:00:00" and got["value"] == "5"
 
 
+def test_xml_record_is_counted_over_the_whole_input(spark, tmp_path):
+    head = "".join(f'<meta id="{i}"/>\n' for i in range(1500))
+    body = "".join(f'<item id="{i}" note="a > b"><name>n{i}</name></item>\n' for i in range(5000))
+    odd = "<!-- <item> <deep> --><![CDATA[<x><y>]]><?note <z>?>\n"
+    path = put(tmp_path, "meta.xml", f'<?xml version="1.0"?>\n<root>\n{head}{odd}{body}</root>')
+    for size in ("128m", "16k"):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        try:
+            assert S.detect_xml_tag(spark, path) == "item"
+        finally:
+            spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert S.read_any(spark, path).count() == 5000
+    folder = tmp_path / "many.xml"
+    folder.mkdir()
+    for i in range(4):
+        put(folder, f"{i}.xml", f"<root><a/><b>{'<c/>' * 9}</b>" + ("<b x='1'/>" if i else "<a/>" * 2) + "</root>")
+    assert S.detect_xml_tag(spark, str(folder)) == "b"
+
+
 def test_feather(spark, tmp_path):
     folder = tmp_path / "f.feather"
     folder.mkdir()
