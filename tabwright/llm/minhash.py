@@ -101,6 +101,7 @@ def _signatures(k: int):
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("doc_id"),
+                    batch.column("text_hash"),
                     pa.array(n.astype(np.int64)),
                     pa.array((sums[first[1:]] - sums[first[:-1]]).view(np.int64)),
                     pa.array((more[first[1:]] - more[first[:-1]]).view(np.int64)),
@@ -108,7 +109,7 @@ def _signatures(k: int):
                     pa.array(bits[:, 1].copy()),
                     pa.ListArray.from_arrays(at, rows),
                 ],
-                ["doc_id", "n_shingles", "set_a", "set_b", "bits_a", "bits_b", "bands"],
+                ["doc_id", "text_hash", "n_shingles", "set_a", "set_b", "bits_a", "bits_b", "bands"],
             )
 
     return run
@@ -218,13 +219,14 @@ def near_duplicates(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -
     Null and blank texts have no shingles and link with nothing. Rows that share a doc_id are one node; a row
     without doc_id links with nothing, has a null component_id and stays. Repeated rows keep their rows.
     """
-    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    marks = cut_lineage(source.mapInArrow(_signatures(k), "doc_id long, n_shingles long, set_a long, set_b long, bits_a long, bits_b long, bands array<long>"))
-    # a class is one shingle set; its smallest document stands for it
+    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("text_hash"))
+    marks = cut_lineage(source.mapInArrow(_signatures(k), "doc_id long, text_hash long, n_shingles long, set_a long, set_b long, bits_a long, bits_b long, bands array<long>"))
+    # a class is one shingle set with a number of its own; one text of its smallest document stands for it, as
+    # that document may have other texts in other classes
     classes = marks.where("n_shingles > 0 and doc_id is not null").groupBy("set_a", "set_b").agg(
-        F.min("doc_id").alias("id"), F.first("n_shingles").alias("n"), F.first("bits_a").alias("bits_a"), F.first("bits_b").alias("bits_b"), F.first("bands").alias("bands")
+        F.min(F.struct("doc_id", "text_hash")).alias("least"), F.first("n_shingles").alias("n"), F.first("bits_a").alias("bits_a"), F.first("bits_b").alias("bits_b"), F.first("bands").alias("bands")
     )
-    classes = cut_lineage(classes)
+    classes = cut_lineage(classes.select("*", "least.*").drop("least").withColumn("id", F.monotonically_increasing_id()))
     members = classes.select("id", "n", "bits_a", "bits_b", F.explode("bands").alias("band")).distinct()
     lead = members.groupBy("band").agg(F.min(F.struct("id", "n", "bits_a", "bits_b")).alias("x"), F.count("*").alias("c")).where("c > 1")
     buckets = cut_lineage(members.join(lead, "band").select("band", "x", F.struct("id", "n", "bits_a", "bits_b").alias("y")))
@@ -232,8 +234,8 @@ def near_duplicates(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -
     stars = buckets.where(F.col("x.id") != F.col("y.id")).where(_alike(percent))
     stars = stars.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
     stars = cut_lineage(stars)
-    met = cut_lineage(buckets.select(F.col("y.id").alias("id")).distinct())
-    texts = cut_lineage(source.join(met, source.doc_id == met.id, "left_semi").groupBy(F.col("doc_id").alias("id")).agg(F.min("text").alias("text")))
+    met = cut_lineage(classes.join(buckets.select(F.col("y.id").alias("id")), "id", "left_semi").select("id", "doc_id", "text_hash"))
+    texts = cut_lineage(source.join(met, ["doc_id", "text_hash"]).groupBy("id").agg(F.min("text").alias("text")))
     links = _confirmed(stars, texts, k, percent)
     label = components(links)
     # then, in buckets that still hold several groups, every pair of different groups that has not been compared
@@ -252,9 +254,12 @@ def near_duplicates(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -
         links = links.unionByName(_confirmed(rest, texts, k, percent))
     if not large.isEmpty():
         links = links.unionByName(_tiled(large, texts, k, percent))
-    # the classes of one document id are one node as well: links by id already say so
-    same = marks.where("n_shingles > 0 and doc_id is not null").join(classes.select("set_a", "set_b", "id"), ["set_a", "set_b"])
-    same = same.select(F.col("doc_id").alias("a"), F.col("id").alias("b")).where("a <> b")
+    # from here on documents are linked, each class by its smallest; so the classes of one document are one node
+    names = classes.select("id", "doc_id")
+    links = links.join(names.select(F.col("id").alias("a"), F.col("doc_id").alias("x")), "a").join(names.select(F.col("id").alias("b"), F.col("doc_id").alias("y")), "b")
+    links = links.select(F.col("x").alias("a"), F.col("y").alias("b")).where("a <> b")
+    same = marks.where("n_shingles > 0 and doc_id is not null").join(classes.select("set_a", "set_b", F.col("doc_id").alias("least")), ["set_a", "set_b"])
+    same = same.select(F.col("doc_id").alias("a"), F.col("least").alias("b")).where("a <> b")
     label = components(links.unionByName(same))
     out = marks.select("doc_id", "n_shingles").join(label, marks.doc_id == label.node, "left")
     component = F.coalesce("component", "doc_id")

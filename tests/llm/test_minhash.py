@@ -87,3 +87,13 @@ def test_stage_and_empty_table(spark):
     want = sorted((r[0] for r in brute(rows, 5) if r[3]), key=repr)
     assert kept.columns == docs.columns and sorted((r.doc_id for r in kept.collect()), key=repr) == want
     assert M.near_duplicates(documents(spark, [])).count() == 0
+
+
+def test_texts_under_one_repeated_id_keep_their_links(spark):
+    one = " ".join(f"a{i}" for i in range(60))
+    for low, high in (("aa", "zz"), ("zz", "aa")):
+        other = " ".join(f"{low}{i}" for i in range(60))
+        shared = f"{high} {one}"
+        rows = [(5, shared, "en", "s"), (5, other, "en", "s"), (7, shared, "en", "s"), (9, shared + " end", "en", "s"), (11, other + " end", "en", "s")]
+        got = {r.doc_id: r.component_id for r in M.near_duplicates(documents(spark, rows)).collect()}
+        assert got == {5: 5, 7: 5, 9: 5, 11: 5}
