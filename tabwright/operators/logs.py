@@ -22,8 +22,6 @@ GENERIC_LINE = r"(?P<timestamp>[\d\-T:\.]+)\s*[\|\-]?\s*(?P<level>\w+)?\s*[\|\-]
 LINE_FORMATS = (("apache", ACCESS_LINE), ("syslog", SYSTEM_LINE), ("generic", GENERIC_LINE))
 LEVELS = ("DEBUG", "INFO", "WARNING", "ERROR")
 
-DETECTION_LINES = 100
-
 
 def _java(pattern: str) -> str:
     """A Python pattern as a Java one matching at the start, with Unicode classes."""
@@ -53,10 +51,10 @@ def named_groups(df: DataFrame, line: str, pattern: str, keep: Sequence[str] = (
     return df.filter(text.rlike(java)).select(*keep, *cols)
 
 
-def detect_format(sample: DataFrame, line: str) -> str | None:
-    """The first format that more than half of the sample lines match."""
+def detect_format(df: DataFrame, line: str) -> str | None:
+    """The first format that more than half of all lines match."""
     text = F.trim(F.col(line))
-    row = sample.agg(
+    row = df.agg(
         F.count(F.lit(1)).alias("n"), *[F.count_if(text.rlike(_java(p))).alias(name) for name, p in LINE_FORMATS]
     ).first()
     for name, _ in LINE_FORMATS:

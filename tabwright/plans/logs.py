@@ -79,7 +79,7 @@ _SYSLOG = "concat('Jan ', cast(event_id % 28 + 1 as varchar(3)), ' 10:00:00 host
 )
 def _(spark, sf):
     lines = table(spark, sf, "events").select("event_id", F.expr(_SYSLOG).alias("line"))
-    kind = L.detect_format(lines.limit(L.DETECTION_LINES), "line")
+    kind = L.detect_format(lines, "line")
     return L.parse_lines(lines, "line", kind, ["event_id"]).withColumn("format", F.lit(kind))
 
 

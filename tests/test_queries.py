@@ -71,3 +71,13 @@ def test_repartitioned_input_gives_the_same_rows(spark, sf):
     df = spark.read.parquet(f"{sf}/orders.parquet").withColumn("k", F.col("o_custkey") % 5)
     op = DropDuplicates(("k",), "last", ("o_orderkey",))
     assert sorted(cleaning.clean_one(df, op).collect()) == sorted(cleaning.clean_one(df.repartition(13), op).collect())
+
+
+def test_log_format_comes_from_all_lines(spark, tmp_path):
+    # the first 150 lines are null, the others in the known format
+    df = spark.range(1000, numPartitions=1).select(
+        F.col("id").alias("event_id"), F.lit(7).cast("long").alias("user_id"), F.when(F.col("id") >= 150, F.lit("click")).alias("event_type")
+    )
+    df.write.parquet(f"{tmp_path}/events.parquet")
+    out = QUERIES["log_detect"](spark, str(tmp_path))
+    assert {r["format"] for r in out.collect()} == {"syslog"} and out.count() == 850
