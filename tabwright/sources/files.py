@@ -177,14 +177,20 @@ def read_jsonl(spark: SparkSession, path: str, options: ReadOptions) -> DataFram
 
 
 def read_feather(spark: SparkSession, path: str, options: ReadOptions) -> DataFrame:
-    """Arrow IPC files, one task per file batch; the schema comes from the first file."""
+    """Arrow IPC files, each one row of a task (2 GB at most); a task reads the schema of the first file."""
     found = spark.read.format("binaryFile").load(path)
     if options.schema is None:
-        first = found.select("content").limit(1).first()
+
+        def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for content in batch.column("content"):
+                    with _ipc(content.as_py()) as reader:
+                        yield pa.RecordBatch.from_arrays([pa.array([reader.schema.serialize().to_pybytes()])], ["schema"])
+
+        first = found.select("content").limit(1).mapInArrow(describe, "schema binary").first()
         if first is None:
             raise ValueError(f"no files in {path}")
-        with _ipc(first[0]) as reader:
-            schema = from_arrow_schema(reader.schema)
+        schema = from_arrow_schema(pa.ipc.read_schema(pa.py_buffer(bytes(first[0]))))
     else:
         schema = options.schema
 

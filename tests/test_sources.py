@@ -1,4 +1,5 @@
 import datetime
+import os
 
 import pyarrow as pa
 import pyarrow.feather as feather
@@ -102,6 +103,19 @@ def test_feather(spark, tmp_path):
     assert rows(S.read_any(spark, str(folder))) == rows(spark.createDataFrame([(0, "x"), (10, None), (1, "x"), (11, None)], "a long, b string"))
 
 
+def test_feather_schema_is_read_in_a_task(spark, tmp_path, monkeypatch):
+    path, driver, opened = tmp_path / "a.feather", os.getpid(), S._ipc
+    feather.write_feather(pa.table({"a": [1, 2], "b": ["x", None]}), str(path))
+
+    def ipc(content):
+        assert os.getpid() != driver
+        return opened(content)
+
+    monkeypatch.setattr(S, "_ipc", ipc)
+    df = S.read_any(spark, str(path))
+    assert df.dtypes == [("a", "bigint"), ("b", "string")] and rows(df) == [(1, "x"), (2, None)]
+
+
 def test_feather_writer_replaces_only_with_a_whole_table(spark, tmp_path):
     path = str(tmp_path / "t.arrow")
     S.write_any(spark.range(10), path)
