@@ -49,6 +49,7 @@ class WordEncoder:
 
     Byte-level pre-tokenizers cut before a space that a visible character follows, so what stands between two
     such cuts has the same ids wherever it stands. New words are encoded together.
+    Markers such as ``<|endoftext|>`` in a text are ordinary text, unlike the library's default.
     """
 
     def __init__(self, spec: str, dtype: str):
