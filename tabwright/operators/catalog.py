@@ -62,6 +62,24 @@ def tag_coverage(workers: DataFrame, tags: str = "tags") -> DataFrame:
     return workers.select(F.explode(parsed).alias("tag")).groupBy("tag").agg(F.count(F.lit(1)).alias("workers"))
 
 
+def fleet_totals(workers: DataFrame) -> DataFrame:
+    """One row: workers by liveness, and what the live ones have together."""
+    live = F.col("online")
+
+    def total(name: str, kind: str) -> Column:
+        return F.coalesce(F.sum(F.when(live, F.col(name))), F.lit(0)).cast(kind)
+
+    return workers.agg(
+        F.count(F.lit(1)).alias("total_workers"),
+        F.count_if(live).alias("online_workers"),
+        F.count_if(~live).alias("offline_workers"),
+        total("cpu_count", "long").alias("total_cpus"),
+        total("total_ram_gb", "double").alias("total_ram_gb"),
+        total("gpu_count", "long").alias("total_gpus"),
+        total("total_vram_gb", "double").alias("total_vram_gb"),
+    )
+
+
 def queue_coverage(queues: DataFrame, coverage: DataFrame) -> DataFrame:
     """Every queue that has tasks or workers, with 0 for the missing side."""
     joined = queues.select(F.col("queue").alias("name"), "pending").join(

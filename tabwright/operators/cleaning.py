@@ -22,6 +22,7 @@ from tabwright.operators import layout, order_stats
 from tabwright.session import cut_lineage
 
 
+# Names of strategies and methods, as requests give them.
 FILL_STRATEGIES = ("mean", "median", "mode", "forward", "backward", "constant", "interpolate")
 OUTLIER_METHODS = ("iqr", "zscore", "percentile")
 
@@ -35,7 +36,7 @@ class CleaningError(ValueError):
 
 @dataclass(frozen=True)
 class Need:
-    """One statistic: ``kind`` of ``column``; ``q`` only for quantiles."""
+    """One statistic: ``kind`` of ``column``; ``q`` is the share of a quantile, or the most categories."""
 
     column: str
     kind: str
@@ -88,7 +89,10 @@ def collect_needs(df: DataFrame, needs: Sequence[Need]) -> dict[Need, Any]:
             found[n] = order_stats.modes(df, [n.column])[n.column]
         elif n.kind == "categories":
             # every category becomes a column of the schema, which the driver has to know
-            rows = df.select(n.column).distinct().collect()
+            values = df.select(n.column).distinct()
+            rows = (values if n.q is None else values.limit(n.q + 1)).collect()
+            if n.q is not None and len(rows) > n.q:
+                raise CleaningError(f"{n.column} has more than {n.q} values")
             found[n] = sorted((r[0] for r in rows), key=lambda v: (v is not None, v))
         elif n.kind == "dictionary":
             found[n] = category_index(df, n.column)
@@ -157,6 +161,10 @@ class CleaningOp:
     def needs(self, df: DataFrame) -> list[Need]:
         return []
 
+    def reshuffles(self) -> bool:
+        """Whether ``apply`` moves rows, so that several passes above it should start from a written table."""
+        return False
+
     def apply(self, df: DataFrame, stats: dict[Need, Any]) -> DataFrame:
         raise NotImplementedError
 
@@ -198,6 +206,9 @@ class FillMissing(CleaningOp):
             return [Need(self.column, self.strategy)]
         return []
 
+    def reshuffles(self) -> bool:
+        return self.strategy in ("forward", "backward", "interpolate")
+
     def apply(self, df: DataFrame, stats: dict[Need, Any]) -> DataFrame:
         c, dtype = F.col(self.column), df.schema[self.column].dataType
         if self.strategy in ("mean", "median"):
@@ -275,6 +286,9 @@ class DropDuplicates(CleaningOp):
         if self.columns and self.keep != "none" and not self.order_by:
             raise CleaningError(f"keep={self.keep!r} on some columns depends on row order: pass order_by")
 
+    def reshuffles(self) -> bool:
+        return True
+
     def apply(self, df: DataFrame, stats: dict[Need, Any]) -> DataFrame:
         by = list(self.columns) or df.columns
         if set(by) == set(df.columns):
@@ -431,8 +445,11 @@ class DropColumn(CleaningOp):
 
 @dataclass(frozen=True)
 class EncodeCategorical(CleaningOp):
+    """``most`` refuses a one-hot encoding of more values; every one of them becomes a column."""
+
     column: str
     method: str = "label"
+    most: int | None = None
 
     operation = "encode_categorical"
 
@@ -441,13 +458,19 @@ class EncodeCategorical(CleaningOp):
             raise CleaningError("method must be 'label' or 'onehot'")
 
     def needs(self, df: DataFrame) -> list[Need]:
-        return [Need(self.column, "dictionary" if self.method == "label" else "categories")]
+        return [Need(self.column, "dictionary")] if self.method == "label" else [self._categories()]
+
+    def reshuffles(self) -> bool:
+        return self.method == "label"
+
+    def _categories(self) -> Need:
+        return Need(self.column, "categories", self.most)
 
     def apply(self, df: DataFrame, stats: dict[Need, Any]) -> DataFrame:
         if self.method == "label":
             return look_up(df, self.column, stats[Need(self.column, "dictionary")], self.column)
         flags = []
-        for value in stats[Need(self.column, "categories")]:
+        for value in stats[self._categories()]:
             same = F.col(self.column).eqNullSafe(F.lit(value))
             flags.append(same.cast("int").alias(f"{self.column}_{'null' if value is None else value}"))
         at = df.columns.index(self.column)
@@ -549,7 +572,7 @@ def op_from_record(record: dict[str, Any]) -> CleaningOp | None:
 
 @dataclass(frozen=True)
 class Fitted:
-    """Operations with what they learned; ``apply`` is lazy and needs no further pass."""
+    """Operations with what they learned. ``apply`` is lazy; fills in row order count large tables and write them in ranges."""
 
     steps: tuple[tuple[CleaningOp, dict[Need, Any]], ...]
 
@@ -587,7 +610,7 @@ def _run(df: DataFrame, ops: Sequence[CleaningOp]) -> tuple[Fitted, DataFrame]:
             mine = {n: stats[n] for n in op.needs(df)}
             steps.append((op, mine))
             df = op.apply(df, mine)
-            shuffled = shuffled or isinstance(op, DropDuplicates)
+            shuffled = shuffled or op.reshuffles()
         pending = pending[len(batch) :]
     return Fitted(tuple(steps)), df
 
@@ -663,6 +686,9 @@ def apply_records(
                 continue
             if on_error == "skip":
                 current = clean_one(current, op)
+                if op.reshuffles():
+                    # the next operation learns from a table, not from a plan that grows
+                    current = cut_lineage(current)
                 current.schema
                 applied.append(_label(name, record))
             else:

@@ -7,15 +7,17 @@ from __future__ import annotations
 
 import json
 import math
+from collections.abc import Callable
 from typing import Any
 
-from pyspark.ml.classification import DecisionTreeClassificationModel, DecisionTreeClassifier
+from pyspark.ml.classification import DecisionTreeClassifier
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import DecisionTreeRegressionModel, DecisionTreeRegressor
+from pyspark.ml.regression import DecisionTreeRegressor
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tabwright.operators.neighbors import knn_classify, knn_regress, nearest
+from tabwright.operators.neighbors import knn_classify, knn_regress, nearest, nearest_hashed
+from tabwright.operators.tree_columns import SPARK, Tree, number, read_spark_tree, total_sql, tree_sql, weighted_vote_sql
 from tabwright.session import cut_lineage
 
 CUT_EVERY = 10
@@ -41,32 +43,35 @@ def _spread(df: DataFrame, width: int) -> tuple[DataFrame, list[str]]:
 
 
 class KnnEstimator:
-    def __init__(self, k: int, weights: str, classify: bool) -> None:
-        self.k, self.weights, self.classify = k, weights, classify
+    """Neighbours are exact; ``hashed`` trades that for buckets, which many columns need to be fast."""
+
+    def __init__(self, k: int, weights: str, classify: bool, hashed: bool = False) -> None:
+        self.k, self.weights, self.classify, self.hashed = k, weights, classify, hashed
 
     def fit(self, df: DataFrame) -> KnnModel:
         rows = _numbered(df.select("features", "label"), "__t")
         first = rows.first()
         if first is None:
             raise ValueError("no training rows")
-        return KnnModel(rows, len(first["features"]), self.k, self.weights, self.classify)
+        return KnnModel(rows, len(first["features"]), self.k, self.weights, self.classify, self.hashed)
 
 
 class KnnModel:
-    def __init__(self, rows: DataFrame, width: int, k: int, weights: str, classify: bool) -> None:
-        self.rows, self.width, self.k, self.weights, self.classify = rows, width, k, weights, classify
+    def __init__(self, rows: DataFrame, width: int, k: int, weights: str, classify: bool, hashed: bool = False) -> None:
+        self.rows, self.width, self.k, self.weights, self.classify, self.hashed = rows, width, k, weights, classify, hashed
 
     def transform(self, df: DataFrame) -> DataFrame:
         asked = _numbered(df, "__q")
         queries, names = _spread(asked.select("features", "__q"), self.width)
         train, _ = _spread(self.rows, self.width)
-        found = nearest(queries, train, names, self.k, "__q", "__t", "label")
+        search = nearest_hashed if self.hashed else nearest
+        found = search(queries, train, names, self.k, "__q", "__t", "label")
         decided = knn_classify(found, self.weights) if self.classify else knn_regress(found, self.weights)
         return asked.join(decided.withColumnRenamed("query_id", "__q"), "__q", "left").drop("__q")
 
     def save(self, path: str) -> None:
         self.rows.write.mode("overwrite").parquet(f"{path}/rows")
-        meta = {"width": self.width, "k": self.k, "weights": self.weights, "classify": self.classify}
+        meta = {"width": self.width, "k": self.k, "weights": self.weights, "classify": self.classify, "hashed": self.hashed}
         _meta(self.rows.sparkSession, path, meta)
 
     @staticmethod
@@ -95,92 +100,96 @@ class AdaBoost:
                 if not trees:
                     trees, alphas = [tree], [1.0]
                 break
-            alpha, weight, last = step
+            alpha, weight, average = step
             trees.append(tree)
             alphas.append(alpha)
-            if last:
+            if average is None:
                 break
-            total = scored.agg(F.sum(weight), F.count(F.lit(1))).first()
             # weights keep an average of one
-            rows = scored.select("features", "label", (weight * F.lit(total[1] / total[0])).alias("weight"))
+            rows = scored.select("features", "label", (weight / F.lit(average)).alias("weight"))
             if (i + 1) % CUT_EVERY == 0:
                 rows = cut_lineage(rows)
-        return AdaBoostModel(trees, alphas, self.classify, classes)
+        gains = [t.featureImportances.toArray().tolist() for t in trees]
+        return AdaBoostModel([read_spark_tree(t) for t in trees], alphas, self.classify, classes, gains)
 
-    def _classify(self, scored: DataFrame, classes: int) -> tuple[float, Column, bool] | None:
+    def _classify(self, scored: DataFrame, classes: int) -> tuple[float, Column, float | None] | None:
+        """The tree's weight, the rows' new weights and their average; no average where the tree is the last."""
         wrong = F.col("prediction") != F.col("label")
-        row = scored.agg(F.sum(F.when(wrong, F.col("weight")).otherwise(0.0)), F.sum("weight")).first()
+        row = scored.agg(F.sum(F.when(wrong, F.col("weight")).otherwise(0.0)), F.sum("weight"), F.count(F.lit(1))).first()
         error = row[0] / row[1]
         if error <= 0:
-            return 1.0, F.col("weight"), True
+            return 1.0, F.col("weight"), None
         if error >= 1 - 1 / classes:
             return None
         alpha = self.rate * (math.log((1 - error) / error) + math.log(classes - 1))
-        return alpha, F.when(wrong, F.col("weight") * F.lit(math.exp(alpha))).otherwise(F.col("weight")), False
+        average = (row[1] - row[0] + row[0] * math.exp(alpha)) / row[2]
+        return alpha, F.when(wrong, F.col("weight") * F.lit(math.exp(alpha))).otherwise(F.col("weight")), average
 
-    def _regress(self, scored: DataFrame) -> tuple[float, Column, bool] | None:
+    def _regress(self, scored: DataFrame) -> tuple[float, Column, float | None] | None:
         off = F.abs(F.col("prediction") - F.col("label"))
         largest = scored.agg(F.max(off)).first()[0]
         if not largest:
-            return 1.0, F.col("weight"), True
+            return 1.0, F.col("weight"), None
         loss = off / F.lit(largest)
         row = scored.agg(F.sum(F.col("weight") * loss), F.sum("weight")).first()
         error = row[0] / row[1]
         if error >= 0.5:
             return None
         beta = error / (1 - error)
-        return self.rate * math.log(1 / beta), F.col("weight") * F.pow(F.lit(beta), (1 - loss) * F.lit(self.rate)), False
+        weight = F.col("weight") * F.pow(F.lit(beta), (1 - loss) * F.lit(self.rate))
+        return self.rate * math.log(1 / beta), weight, scored.agg(F.avg(weight)).first()[0]
 
 
 class AdaBoostModel:
-    def __init__(self, trees: list, alphas: list[float], classify: bool, classes: int) -> None:
-        self.trees, self.alphas, self.classify, self.classes = trees, alphas, classify, classes
+    """Trees and their weights; all of them score in one projection, on streams too."""
+
+    def __init__(self, trees: list[Tree], alphas: list[float], classify: bool, classes: int, gains: list[list[float]]) -> None:
+        self.trees, self.alphas, self.classify, self.classes, self.gains = trees, alphas, classify, classes, gains
+
+    def sql(self, column: Callable[[int], str], dialect: str = SPARK) -> str:
+        """The class as one expression over features that ``column`` names, for Spark or another engine."""
+        if not self.classify:
+            raise ValueError("a weighted median is no plain expression")
+        return weighted_vote_sql(self.trees, self.alphas, self.classes, column, dialect)
 
     def transform(self, df: DataFrame) -> DataFrame:
-        out = df.withColumn("__votes", F.array().cast("array<struct<p:double,w:double>>"))
-        keep = [F.col(c) for c in df.columns]
-        for tree, alpha in zip(self.trees, self.alphas):
-            vote = F.struct(F.col("prediction").alias("p"), F.lit(float(alpha)).alias("w"))
-            out = tree.transform(out).select(*keep, F.array_append("__votes", vote).alias("__votes"))
-        votes = F.col("__votes")
+        keep = [F.col(c) for c in df.columns if c != "prediction"]
+        out = df.select(*keep, vector_to_array("features").alias("__x"))
+        column = "__x[{}]".format
         if self.classify:
-            totals = [
-                F.aggregate(votes, F.lit(0.0), _add_vote(float(c))) for c in range(self.classes)
-            ]
-            scores = F.array(*totals)
-            return out.withColumn("prediction", (F.array_position(scores, F.array_max(scores)) - 1).cast("double")).drop("__votes")
+            totals = []
+            for c in range(self.classes):
+                votes = [tree_sql(t, column, leaf=lambda v, a=a, c=c: number(a if v == c else 0.0)) for t, a in zip(self.trees, self.alphas, strict=True)]
+                totals.append(total_sql(votes))
+            out = out.withColumn("__scores", F.expr(f"array({', '.join(totals)})"))
+            best = (F.array_position("__scores", F.array_max("__scores")) - 1).cast("double")
+            return out.select(*keep, best.alias("prediction"))
+        pairs = [f"struct({tree_sql(t, column)} AS p, {number(a)} AS w)" for t, a in zip(self.trees, self.alphas, strict=True)]
         half = F.lit(sum(self.alphas) / 2)
         start = F.struct(F.lit(0.0).alias("s"), F.lit(None).cast("double").alias("p"))
         # the weighted median: the first prediction at which half of the weight is reached
-        middle = F.aggregate(F.array_sort(votes), start, _add_median(half))
-        return out.withColumn("prediction", middle["p"]).drop("__votes")
+        middle = F.aggregate(F.array_sort(F.expr(f"array({', '.join(pairs)})")), start, _add_median(half))
+        return out.select(*keep, middle["p"].alias("prediction"))
 
     @property
     def featureImportances(self):
         from pyspark.ml.linalg import Vectors
 
         total = sum(self.alphas) or 1.0
-        parts = [t.featureImportances.toArray() * (a / total) for t, a in zip(self.trees, self.alphas)]
-        return Vectors.dense(sum(parts))
+        return Vectors.dense([sum(g[i] * a for g, a in zip(self.gains, self.alphas, strict=True)) / total for i in range(len(self.gains[0]))])
 
     def save(self, path: str) -> None:
-        for i, tree in enumerate(self.trees):
-            tree.write().overwrite().save(f"{path}/tree-{i}")
         from pyspark.sql import SparkSession
 
-        meta = {"alphas": self.alphas, "classify": self.classify, "classes": self.classes}
+        meta = {
+            "trees": [t.record() for t in self.trees], "alphas": self.alphas, "classify": self.classify, "classes": self.classes, "gains": self.gains,
+        }
         _meta(SparkSession.active(), path, meta)
 
     @staticmethod
     def load(spark, path: str) -> AdaBoostModel:
         meta = _read_meta(spark, path)
-        kind = DecisionTreeClassificationModel if meta["classify"] else DecisionTreeRegressionModel
-        trees = [kind.load(f"{path}/tree-{i}") for i in range(len(meta["alphas"]))]
-        return AdaBoostModel(trees, meta["alphas"], meta["classify"], meta["classes"])
-
-
-def _add_vote(c: float):
-    return lambda total, v: total + F.when(v["p"] == F.lit(c), v["w"]).otherwise(F.lit(0.0))
+        return AdaBoostModel(**{**meta, "trees": [Tree.read(r) for r in meta["trees"]]})
 
 
 def _add_median(half: Column):

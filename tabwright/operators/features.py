@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import json
 from collections.abc import Sequence
-from dataclasses import asdict, dataclass, field
+from dataclasses import dataclass, field
 from typing import Any
 
 from pyspark.sql import Column, DataFrame, Window
@@ -17,6 +17,8 @@ from tabwright.operators.cleaning import Dictionary, category_index, look_up
 MAX_ONEHOT = 50
 MISSING = "MISSING"
 FOLDS = 5
+#: Rows of one label that a fold bucket holds.
+BUCKET_ROWS = 50_000
 TEST_PERCENT = 20
 
 
@@ -262,7 +264,7 @@ def stratified_folds(
     and a table of bucket sizes gives the offsets, so a label with most rows stays parallel.
     """
     h = hash_text(key, seed)
-    digits = _bucket_digits(df)
+    digits = _bucket_digits(df.count())
     tagged = df.withColumn("__h", h).withColumn("__p", F.substring("__h", 1, digits))
     # a key without nulls lets the join use the partitioning of the window
     text = F.concat(F.lit("="), F.col(label).cast("string")) if label else F.lit("")
@@ -278,14 +280,9 @@ def stratified_folds(
     return joined.select(*df.columns, fold.alias(into))
 
 
-def _bucket_digits(df: DataFrame) -> int:
-    """Enough hash digits for about four buckets per shuffle partition."""
-    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+def _bucket_digits(rows: int) -> int:
+    """So many hash digits that even a label with all rows has at most ``BUCKET_ROWS`` in a bucket, on average."""
     digits = 1
-    while 16**digits < 4 * parts and digits < 4:
+    while rows > BUCKET_ROWS * 16**digits:
         digits += 1
     return digits
-
-
-def roles_dict(roles: Roles) -> dict[str, Any]:
-    return asdict(roles)

@@ -23,6 +23,7 @@ from tabwright.session import cut_lineage
 
 #: Rows of a group, or of a range of a larger group, that one task puts in order.
 TARGET_ROWS = 2_000_000
+_ROW = "__row"
 BUCKET = "__b0"
 
 
@@ -105,6 +106,11 @@ def build(
     """One count job; tables with a group above the target are written once in ranges."""
     order, groups = keys(order_by), list(partition_by)
     target = target_rows or TARGET_ROWS
+
+    def counted(df: DataFrame) -> DataFrame:
+        """Rows with a number that a repeated task finds again: it counts the rows of a written table."""
+        return cut_lineage(df).withColumn(_ROW, F.monotonically_increasing_id())
+
     if groups:
         counts = df.groupBy(*groups).agg(F.count(F.lit(1)).alias("__rows"))
         large = counts.filter(F.col("__rows") > target)
@@ -117,18 +123,18 @@ def build(
         for g in groups:
             part = F.col(g).eqNullSafe(F.col(f"__h_{g}"))
             cond = part if cond is None else cond & part
-        df = df.join(large, cond, "left").drop(*[f"__h_{g}" for g in groups])
+        df = counted(df).join(large, cond, "left").drop(*[f"__h_{g}" for g in groups])
         hot = F.coalesce(F.col("__hot"), F.lit(False))
     else:
         size = df.count()
         if size <= target:
             return Layout(df, groups, order)
-        hot = F.lit(True)
+        df, hot = counted(df), F.lit(True)
     # rows with the same keys may be parted anywhere, so a value that fills many ranges is no hot spot
     by = [*[F.when(hot, F.col(g)) for g in groups], *[k.sort() for k in order]]
-    ranged = df.repartitionByRange(max(2, math.ceil(size / target)), *by, F.monotonically_increasing_id())
+    ranged = df.repartitionByRange(max(2, math.ceil(size / target)), *by, _ROW)
     ranged = ranged.withColumn(BUCKET, F.when(hot, F.spark_partition_id()).otherwise(F.lit(-1)))
-    return Layout(cut_lineage(ranged.drop("__hot")), groups, order, [BUCKET])
+    return Layout(cut_lineage(ranged.drop("__hot", _ROW)), groups, order, [BUCKET])
 
 
 def row_numbers(

@@ -13,10 +13,7 @@ from tabwright.operators.catalog import moment
 
 # The line formats that are recognised, in the order they are tried.
 APP_LINE = r"(\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2}\.\d+)\s*\|\s*(\w+)\s*\|\s*([^|]+)\s*-\s*(.*)"
-ACCESS_LINE = (
-    r'(?P<ip>[\d.]+)\s+-\s+(?P<user>\S+)\s+\[(?P<timestamp>[^\]]+)\]\s+"(?P<method>\w+)\s+(?P<path>\S+)\s+'
-    r'(?P<protocol>[^"]+)"\s+(?P<status>\d+)\s+(?P<size>\d+)'
-)
+ACCESS_LINE = r'(?P<ip>[\d.]+)\s+-\s+(?P<user>\S+)\s+\[(?P<timestamp>[^\]]+)\]\s+"(?P<method>\w+)\s+(?P<path>\S+)\s+(?P<protocol>[^"]+)"\s+(?P<status>\d+)\s+(?P<size>\d+)'
 SYSTEM_LINE = r"(?P<timestamp>\w+\s+\d+\s+[\d:]+)\s+(?P<host>\S+)\s+(?P<process>\S+):\s+(?P<message>.+)"
 GENERIC_LINE = r"(?P<timestamp>[\d\-T:\.]+)\s*[\|\-]?\s*(?P<level>\w+)?\s*[\|\-]?\s*(?P<message>.+)"
 LINE_FORMATS = (("apache", ACCESS_LINE), ("syslog", SYSTEM_LINE), ("generic", GENERIC_LINE))

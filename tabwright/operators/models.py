@@ -14,6 +14,9 @@ from pyspark.ml import regression as MR
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tabwright.operators.boosting import Booster
+from tabwright.operators.kernel import KernelSvm
+
 CLASSIFICATION, REGRESSION = "classification", "regression"
 MAX_BUDGET_MINUTES = 60
 
@@ -34,6 +37,13 @@ class Space:
             return math.exp(rng.uniform(math.log(self.low), math.log(self.high)))
         return rng.uniform(self.low, self.high)
 
+    def at(self, share: float) -> Any:
+        """The value at a place between 0 and 1."""
+        if self.kind == "log":
+            return math.exp(math.log(self.low) + share * (math.log(self.high) - math.log(self.low)))
+        value = self.low + share * (self.high - self.low)
+        return int(round(value)) if self.kind == "int" else value
+
 
 def _int(low, high):
     return Space("int", low, high)
@@ -58,6 +68,8 @@ class Shape:
     rows: int
     classes: int = 0
     seed: int = 42
+    #: places of features that are numbers of categories
+    categories: tuple[int, ...] = ()
 
 
 @dataclass(frozen=True)
@@ -78,24 +90,40 @@ def _tree_args(p: dict, shape: Shape) -> dict:
 
 
 def _boosted(p: dict, shape: Shape, classify: bool):
-    args = {
-        "maxIter": p.get("n_estimators") or p.get("iterations"),
-        "stepSize": p["learning_rate"],
-        "maxDepth": p.get("max_depth") or p.get("depth"),
-        "subsamplingRate": p.get("subsample", 1.0),
-        "seed": shape.seed,
-    }
-    if "colsample_bytree" in p:
-        args["featureSubsetStrategy"] = str(round(p["colsample_bytree"], 3))
+    args = {"maxIter": p["n_estimators"], "stepSize": p["learning_rate"], "maxDepth": p["max_depth"], "seed": shape.seed}
     if not classify:
         return MR.GBTRegressor(**args)
     one = MC.GBTClassifier(**args)
     return one if shape.classes <= 2 else MC.OneVsRest(classifier=one)
 
 
-def _svm(p: dict, shape: Shape):
-    one = MC.LinearSVC(regParam=1.0 / (p["C"] * max(shape.rows, 1)), maxIter=100, standardization=False)
-    return one if shape.classes <= 2 else MC.OneVsRest(classifier=one)
+def _shared(p: dict, shape: Shape, classify: bool) -> dict:
+    return {
+        "trees": p.get("n_estimators") or p.get("iterations"), "rate": p["learning_rate"], "row_share": p.get("subsample", 1.0),
+        "feature_share": p.get("colsample_bytree", 1.0), "classes": max(shape.classes, 2) if classify else 0, "seed": shape.seed,
+    }
+
+
+def _xgboost(p: dict, shape: Shape, classify: bool) -> Booster:
+    """All leaves of a depth, Newton leaves drawn to zero by an l2 of 1, shares of rows and columns."""
+    return Booster(**_shared(p, shape, classify), max_depth=p["max_depth"], l2=1.0, least_curvature=1.0)
+
+
+def _lightgbm(p: dict, shape: Shape, classify: bool) -> Booster:
+    """The best leaf first, up to a number of leaves."""
+    return Booster(**_shared(p, shape, classify), max_depth=p["max_depth"], max_leaves=p["num_leaves"], l2=0.0, least_rows=20)
+
+
+def _catboost(p: dict, shape: Shape, classify: bool) -> Booster:
+    """Symmetric trees, l2 in the leaves, shaken scores, and category numbers as ordered means of the label."""
+    return Booster(
+        **_shared(p, shape, classify), max_depth=p["depth"], l2=p["l2_leaf_reg"], symmetric=True, noise=p.get("random_strength", 0.0),
+        categories=shape.categories,
+    )
+
+
+def _svm(p: dict, shape: Shape) -> KernelSvm:
+    return KernelSvm(p["C"], shape)
 
 
 _BOOST_SPACE = {"n_estimators": _int(50, 200), "learning_rate": _log(0.01, 0.3), "max_depth": _int(3, 10)}
@@ -103,7 +131,10 @@ _XGB_SPACE = {
     "n_estimators": _int(50, 300), "learning_rate": _log(0.01, 0.3), "max_depth": _int(3, 12),
     "subsample": _float(0.6, 1.0), "colsample_bytree": _float(0.6, 1.0),
 }
-_CAT_SPACE = {"iterations": _int(100, 500), "learning_rate": _log(0.01, 0.3), "depth": _int(4, 10)}
+_LGB_SPACE = {**{k: _XGB_SPACE[k] for k in ("n_estimators", "learning_rate", "max_depth")}, "num_leaves": _int(20, 150)}
+_LGB_CLASS_SPACE = {**_XGB_SPACE, "num_leaves": _int(20, 150)}
+_CAT_SPACE = {"iterations": _int(100, 500), "learning_rate": _log(0.01, 0.3), "depth": _int(4, 10), "l2_leaf_reg": _float(1, 10)}
+_CAT_CLASS_SPACE = {**_CAT_SPACE, "random_strength": _float(0.5, 2.0)}
 _FOREST_SPACE = {"n_estimators": _int(50, 300), "max_depth": _int(3, 20), "min_samples_leaf": _int(1, 10)}
 _TREE_SPACE = {"max_depth": _int(3, 20), "min_samples_leaf": _int(1, 10)}
 _KNN_SPACE = {"n_neighbors": _int(3, 25), "weights": _choice("uniform", "distance")}
@@ -132,9 +163,7 @@ def _specs() -> dict[str, dict[str, ModelSpec]]:
         ("knn", "KNN", "instance", _KNN_SPACE, knn(True), knn(False)),
         ("adaboost", "AdaBoost", "boosting", _ADA_SPACE, ada(True), ada(False)),
         ("gradient_boosting", "Gradient Boosting", "boosting", _BOOST_SPACE, lambda p, s: _boosted(p, s, True), lambda p, s: _boosted(p, s, False)),
-        ("xgboost", "XGBoost", "boosting", _XGB_SPACE, lambda p, s: _boosted(p, s, True), lambda p, s: _boosted(p, s, False)),
-        ("lightgbm", "LightGBM", "boosting", _XGB_SPACE, lambda p, s: _boosted(p, s, True), lambda p, s: _boosted(p, s, False)),
-        ("catboost", "CatBoost", "boosting", _CAT_SPACE, lambda p, s: _boosted(p, s, True), lambda p, s: _boosted(p, s, False)),
+        ("xgboost", "XGBoost", "boosting", _XGB_SPACE, lambda p, s: _xgboost(p, s, True), lambda p, s: _xgboost(p, s, False)),
         (
             "random_forest", "Random Forest", "tree", _FOREST_SPACE,
             lambda p, s: MC.RandomForestClassifier(numTrees=p["n_estimators"], **_tree_args(p, s)),
@@ -143,6 +172,13 @@ def _specs() -> dict[str, dict[str, ModelSpec]]:
     ]
     classify = {n: ModelSpec(n, d, c, sp, b) for n, d, c, sp, b, _ in both}
     regress = {n: ModelSpec(n, d, c, sp, b) for n, d, c, sp, _, b in both}
+    for out, classes in ((classify, True), (regress, False)):
+        out["lightgbm"] = ModelSpec(
+            "lightgbm", "LightGBM", "boosting", _LGB_CLASS_SPACE if classes else _LGB_SPACE, lambda p, s, c=classes: _lightgbm(p, s, c)
+        )
+        out["catboost"] = ModelSpec(
+            "catboost", "CatBoost", "boosting", _CAT_CLASS_SPACE if classes else _CAT_SPACE, lambda p, s, c=classes: _catboost(p, s, c)
+        )
     for spec in (
         ModelSpec(
             "logistic_regression", "Logistic Regression", "linear", {"C": _log(1e-4, 10)},

@@ -1,4 +1,4 @@
-"""Exact k nearest neighbours without comparing every pair.
+"""Nearest neighbours without comparing every pair: exact ones by cells, and for many columns by hashed buckets.
 
 Training rows are assigned to the nearest of a bounded set of pivot points. For a query row the
 pivots and the k smallest pivot distances of each cell give an upper bound on its k-th
@@ -26,6 +26,8 @@ CELL_ROWS = 50_000
 BLOCK_ROWS = 20_000
 ASSIGN_ROWS = 1000
 MIN_PIVOTS, MAX_PIVOTS = 8, 4096
+#: Hashed search: tables, buckets visited in each, rows of a bucket, planes of a table and rows of the sample at most.
+TABLES, PROBES, BUCKET_ROWS, MAX_BITS, SAMPLE_ROWS = 6, 8, 2000, 40, 4096
 
 # functions of this module go to the workers by value: they need no copy of the package
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -159,6 +161,136 @@ def nearest(
     return found.withColumn("r", F.row_number().over(best)).filter(F.col("r") <= k).drop("r")
 
 
+def nearest_hashed(
+    queries: DataFrame,
+    train: DataFrame,
+    columns: Sequence[str],
+    k: int,
+    query_key: str,
+    train_key: str,
+    payload: str,
+    tables: int = TABLES,
+    probes: int = PROBES,
+    bucket_rows: int = BUCKET_ROWS,
+    block_rows: int = BLOCK_ROWS,
+    seed: int = 42,
+) -> DataFrame:
+    """The same columns as ``nearest`` for many columns, where no bound rules cells out: most of the k nearest, not surely all.
+
+    In each of ``tables`` tables a row's bucket is the sides of random planes on which it lies; the planes of a table are
+    as many as leave about ``bucket_rows`` rows in a bucket, and each parts a bounded sample of ``SAMPLE_ROWS`` rows in
+    halves. All rows are indexed. A query visits ``probes`` buckets of a table: its own and those across the planes that
+    it is closest to. Distances inside a bucket are exact, and so is their order. A query for which the buckets hold fewer
+    than k rows goes through ``nearest``.
+    """
+    key_kind = train.schema[train_key].dataType.simpleString()
+    query_kind = queries.schema[query_key].dataType.simpleString()
+    load_kind = train.schema[payload].dataType.simpleString()
+    points = train.select(F.col(train_key).alias("train_id"), F.col(payload).alias("payload"), _vector(columns).alias("v"))
+    same = Window.partitionBy("v").orderBy("train_id")
+    points = cut_lineage(points.withColumn("r", F.row_number().over(same)).filter(F.col("r") <= k).drop("r"))
+    total = points.count()
+    if not total:
+        raise ValueError("no training rows")
+    bits = min(MAX_BITS, max(0, (total // bucket_rows).bit_length() - 1))
+    sample = points.select("v", hash_text(["train_id"], seed).alias("h")).orderBy("h").limit(SAMPLE_ROWS).toArrow()
+    sample = np.array(sample.column("v").to_pylist(), dtype=float)
+    rng = np.random.default_rng(seed)
+    planes = rng.normal(size=(tables, bits, len(columns)))
+    middle = np.median(np.einsum("nd,tbd->ntb", sample, planes), axis=0)
+    flips = _flip_sets(bits, probes)
+
+    def sides(part: np.ndarray) -> np.ndarray:
+        """Distances from the planes, (rows, tables, bits)."""
+        return np.einsum("nd,tbd->ntb", part, planes) - middle
+
+    weight = 1 << np.arange(bits, dtype=np.int64)
+
+    def index(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for lo in range(0, len(pdf), ASSIGN_ROWS):
+                part = pdf.iloc[lo : lo + ASSIGN_ROWS]
+                code = ((sides(np.stack(part["v"].to_numpy())) > 0) * weight).sum(2)
+                for t in range(tables):
+                    yield part.assign(slot=np.int32(t), bucket=code[:, t])
+
+    def probe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for lo in range(0, len(pdf), ASSIGN_ROWS):
+                part = pdf.iloc[lo : lo + ASSIGN_ROWS]
+                d = sides(np.stack(part["v"].to_numpy()))
+                code = ((d > 0) * weight).sum(2)
+                # planes from the closest to the farthest; a set of them costs the sum of its squared distances
+                order = np.argsort(np.abs(d), axis=2, kind="stable")
+                cost = np.take_along_axis(d, order, 2) ** 2
+                for t in range(tables):
+                    price = cost[:, t] @ flips.T
+                    best = np.argsort(price, axis=1, kind="stable")[:, :probes]
+                    turned = (flips[best] * weight[order[:, t]][:, None, :]).sum(2).astype(np.int64)
+                    for j in range(best.shape[1]):
+                        yield part.assign(slot=np.int32(t), bucket=code[:, t] ^ turned[:, j])
+
+    asked = cut_lineage(queries.select(F.col(query_key).alias("query_id"), _vector(columns).alias("v")))
+    held = points.mapInPandas(index, f"train_id {key_kind}, payload {load_kind}, v array<double>, slot int, bucket long")
+    held = cut_lineage(held)
+    routed = cut_lineage(asked.mapInPandas(probe, f"query_id {query_kind}, v array<double>, slot int, bucket long"))
+    on = ["slot", "bucket"]
+    # buckets and their queries are cut into blocks, so that a full bucket is many small tasks
+    size = held.groupBy(*on).agg(F.ceil(F.count("*") / block_rows).cast("int").alias("train_blocks"))
+    want = routed.groupBy(*on).agg(F.ceil(F.count("*") / block_rows).cast("int").alias("query_blocks"))
+    grid = cut_lineage(size.join(want, on))
+    left = routed.join(grid, on).withColumn("qb", F.pmod(F.xxhash64("query_id"), F.col("query_blocks")).cast("int"))
+    left = left.select("query_id", "v", *on, "qb", F.explode(F.sequence(F.lit(0), F.col("train_blocks") - 1)).alias("tb"))
+    right = held.join(grid, on).withColumn("tb", F.pmod(F.xxhash64("train_id"), F.col("train_blocks")).cast("int"))
+    right = right.select("train_id", "payload", "v", *on, "tb", F.explode(F.sequence(F.lit(0), F.col("query_blocks") - 1)).alias("qb"))
+
+    def compare(q: pd.DataFrame, t: pd.DataFrame) -> pd.DataFrame:
+        if not len(q) or not len(t):
+            return pd.DataFrame({"query_id": [], "train_id": [], "payload": [], "distance": []})
+        t = t.sort_values("train_id")
+        points, ids, loads = np.stack(t["v"].to_numpy()), t["train_id"].to_numpy(), t["payload"].to_numpy()
+        out = []
+        for lo in range(0, len(q), 256):
+            part = q.iloc[lo : lo + 256]
+            d = _distances(np.stack(part["v"].to_numpy()), points)
+            best = np.argsort(d, axis=1, kind="stable")[:, :k]
+            flat = best.reshape(-1)
+            who = np.repeat(part["query_id"].to_numpy(), best.shape[1])
+            out.append(pd.DataFrame({"query_id": who, "train_id": ids[flat], "payload": loads[flat], "distance": np.take_along_axis(d, best, 1).reshape(-1)}))
+        return pd.concat(out)
+
+    by = [*on, "qb", "tb"]
+    found = left.groupBy(*by).cogroup(right.groupBy(*by)).applyInPandas(compare, f"query_id {query_kind}, train_id {key_kind}, payload {load_kind}, distance double")
+    # several tables can find the same row
+    found = found.dropDuplicates(["query_id", "train_id"])
+    best = Window.partitionBy("query_id").orderBy("distance", "train_id")
+    found = cut_lineage(found.withColumn("r", F.row_number().over(best)).filter(F.col("r") <= k).drop("r"))
+    enough = found.groupBy("query_id").count().filter(F.col("count") >= min(k, total)).select("query_id")
+    few = cut_lineage(asked.join(enough, "query_id", "left_anti"))
+    if few.isEmpty():
+        return found
+    rest = few.select("query_id", *[F.col("v")[i].alias(f"v{i}") for i in range(len(columns))])
+    stock = points.select("train_id", "payload", *[F.col("v")[i].alias(f"v{i}") for i in range(len(columns))])
+    exact = nearest(rest, stock, [f"v{i}" for i in range(len(columns))], k, "query_id", "train_id", "payload", block_rows)
+    return found.join(few.select("query_id"), "query_id", "left_anti").unionByName(exact)
+
+
+def _flip_sets(bits: int, probes: int) -> np.ndarray:
+    """Sets of planes to cross, as rows of 0 and 1 over the planes in order of closeness: all sets of the closest few."""
+    near = min(bits, max(1, probes).bit_length() + 4)
+    sets = (np.arange(1 << near)[:, None] >> np.arange(near)) & 1
+    out = np.zeros((len(sets), bits))
+    out[:, :near] = sets
+    return out
+
+
+def recall(found: DataFrame, exact: DataFrame) -> float:
+    """Share of the true (query_id, train_id) pairs that were found."""
+    true = exact.select("query_id", "train_id")
+    hit = true.join(found.select("query_id", "train_id"), ["query_id", "train_id"], "left_semi").count()
+    return hit / (true.count() or 1)
+
+
 def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Euclidean distances, column by column so that no cancellation hides equal points."""
     total = np.zeros((len(a), len(b)))

@@ -139,21 +139,19 @@ def _per_column(values: dict[str, float | None]) -> Column:
 
 
 def sample_values(df: DataFrame, order_by: Sequence[str], k: int = 5) -> DataFrame:
-    """The first ``k`` non-null values of each column: one bounded top-k per column."""
-    parts = None
-    for f in df.schema.fields:
-        value = _as_text(f)
-        head = (
-            df.filter(F.col(f.name).isNotNull())
-            .select(*[F.col(o).alias(f"__o{i}") for i, o in enumerate(order_by)], value.alias("value"))
-            .orderBy(*[f"__o{i}" for i in range(len(order_by))])
-            .limit(k)
-        )
-        at = F.struct(*[F.col(f"__o{i}") for i in range(len(order_by))], F.col("value"))
-        texts = F.transform(F.array_sort(F.collect_list(at)), lambda s: s["value"])
-        one = head.agg(texts.alias("samples")).select(F.lit(f.name).alias("__s"), "samples")
-        parts = one if parts is None else parts.unionByName(one)
-    return parts
+    """The first ``k`` non-null values of each column, by one scan of all columns."""
+    at = [F.col(o).alias(f"__o{i}") for i, o in enumerate(order_by)]
+    cells = [F.struct(F.lit(f.name).alias("__s"), _as_text(f).alias("value")) for f in df.schema.fields]
+    rows = df.select(*at, F.inline(F.array(*cells))).filter(F.col("value").isNotNull())
+    # one scan; the rank filter keeps k rows of each column in a task before the shuffle
+    place = [f"__o{i}" for i in range(len(order_by))]
+    rank = F.row_number().over(Window.partitionBy("__s").orderBy(*place, "value"))
+    head = rows.withColumn("__r", rank).filter(F.col("__r") <= k)
+    texts = F.transform(F.array_sort(F.collect_list(F.struct("__r", "value"))), lambda s: s["value"])
+    found = head.groupBy("__s").agg(texts.alias("samples"))
+    names = df.sparkSession.createDataFrame([(c,) for c in df.columns], "__s string")
+    none = F.array().cast("array<string>")
+    return names.join(found, "__s", "left").select("__s", F.coalesce("samples", none).alias("samples"))
 
 
 def profile(df: DataFrame, order_by: Sequence[str] | None = None) -> DataFrame:
@@ -190,6 +188,45 @@ def duplicate_count(df: DataFrame) -> DataFrame:
     return groups.agg(F.coalesce(F.sum(F.col("__n") - 1), F.lit(0)).alias("duplicate_rows"))
 
 
+#: Bytes of one value by type; texts and binaries add their length to 8 bytes of offset.
+WIDTHS = {"boolean": 1, "tinyint": 1, "smallint": 2, "int": 4, "float": 4, "date": 4}
+
+
+def table_size(df: DataFrame) -> DataFrame:
+    """One row per column and its size in memory as plain column buffers: column, bytes. Null values keep their place."""
+    sums = []
+    for f in df.schema.fields:
+        kind = f.dataType.simpleString()
+        if isinstance(f.dataType, (T.StringType, T.BinaryType)):
+            size = F.coalesce(F.octet_length(F.col(f"`{f.name}`")), F.lit(0)) + 8
+        elif _is_nested(f.dataType):
+            # as the text it is shown as
+            size = F.coalesce(F.octet_length(_as_text(f)), F.lit(0)) + 8
+        else:
+            size = F.lit(16 if kind.startswith("decimal") else WIDTHS.get(kind, 8))
+        sums.append(F.coalesce(F.sum(size.cast("long")), F.lit(0)).alias(f"s{len(sums)}"))
+    one = df.agg(*sums)
+    cells = [F.struct(F.lit(c).alias("column"), F.col(f"s{i}").alias("bytes")) for i, c in enumerate(df.columns)]
+    return one.select(F.inline(F.array(*cells)))
+
+
+def number_texts(df: DataFrame) -> DataFrame:
+    """Text columns whose every known value reads as a number: column, whole (no value has a fraction)."""
+    text = [f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType)]
+    if not text:
+        return df.sparkSession.createDataFrame([], "column string, whole boolean")
+    cells = []
+    sums = []
+    for i, c in enumerate(text):
+        value = F.trim(F.col(f"`{c}`"))
+        number = value.try_cast("double")
+        known = value.isNotNull() & (value != "")
+        plain = number.isNotNull() & ~F.isnan(number) & (F.abs(number) < float("inf"))
+        sums += [F.count_if(known).alias(f"k{i}"), F.count_if(known & plain).alias(f"n{i}"), F.count_if(known & plain & (number == F.floor(number))).alias(f"w{i}")]
+        cells.append(F.struct(F.lit(c).alias("column"), F.col(f"k{i}").alias("known"), F.col(f"n{i}").alias("numbers"), (F.col(f"w{i}") == F.col(f"k{i}")).alias("whole")))
+    return df.agg(*sums).select(F.inline(F.array(*cells))).filter("known > 0 and numbers = known").select("column", "whole")
+
+
 def dataset_totals(df: DataFrame) -> DataFrame:
     return df.agg(
         F.count(F.lit(1)).alias("total_rows"), F.lit(len(df.columns)).cast("long").alias("total_columns")

@@ -55,11 +55,13 @@ def reply_explanation(df: DataFrame, reply: str, keep: Sequence[str]) -> DataFra
     return df.select(*keep, summary.alias("summary"), *lists, parsed["threshold_suggestion"].alias("threshold_suggestion"))
 
 
-def suggest_operations(profile: DataFrame, duplicate_rows: int, outliers: DataFrame | None = None, most: int | None = None) -> DataFrame:
+def suggest_operations(
+    profile: DataFrame, duplicate_rows: int, outliers: DataFrame | None = None, most: int | None = None, numbers: DataFrame | None = None
+) -> DataFrame:
     """The operations the profile calls for, or the first ``most``, in the form the cleaning chain takes.
 
-    Rules: more than 5 % missing, duplicates present, text that is all numbers or padded, values
-    outside the fences. The profile has one row per column, so this stays small.
+    Rules: more than 5 % missing, duplicates present, text that is all numbers (as ``numbers`` found it), padded
+    text, values outside the fences. The profile has one row per column, so this stays small.
     """
     stats = profile
     if outliers is not None:
@@ -67,6 +69,11 @@ def suggest_operations(profile: DataFrame, duplicate_rows: int, outliers: DataFr
         stats = profile.join(F.broadcast(small), F.col("column") == F.col("__o"), "left")
     else:
         stats = profile.withColumn("outliers", F.lit(None).cast("long"))
+    if numbers is not None:
+        small = numbers.select(F.col("column").alias("__t"), "whole")
+        stats = stats.join(F.broadcast(small), F.col("column") == F.col("__t"), "left")
+    else:
+        stats = stats.withColumn("whole", F.lit(None).cast("boolean"))
     numeric = F.col("is_numeric")
     choices = F.array(
         F.when(
@@ -79,7 +86,16 @@ def suggest_operations(profile: DataFrame, duplicate_rows: int, outliers: DataFr
             ),
         ),
         F.when(
-            (F.col("dtype") == "string") & F.col("is_categorical"),
+            F.col("whole").isNotNull(),
+            F.struct(
+                F.lit(3).alias("rule"),
+                F.lit("cast_type").alias("operation"),
+                F.when(F.col("whole"), F.lit("int")).otherwise(F.lit("float")).alias("parameter"),
+                F.lit(0.0).alias("weight"),
+            ),
+        ),
+        F.when(
+            (F.col("dtype") == "string") & F.col("is_categorical") & F.col("whole").isNull(),
             F.struct(
                 F.lit(3).alias("rule"),
                 F.lit("string_clean").alias("operation"),

@@ -103,15 +103,16 @@ class Bundle:
     def load(spark: SparkSession, path: str) -> Bundle:
         meta = json.loads(spark.read.text(f"{path}/bundle").first()[0])
         module, name = meta["kind"].split(":")
-        if module not in _LOADABLE:
+        if module not in (*_SPARK_ML, *_OWN):
             raise ValueError(f"not a known model: {meta['kind']}")
         cls = getattr(importlib.import_module(module), name)
-        model = cls.load(spark, f"{path}/model") if module == _LOADABLE[-1] else cls.load(f"{path}/model")
+        model = cls.load(spark, f"{path}/model") if module in _OWN else cls.load(f"{path}/model")
         labels = TargetLabels(tuple(meta["labels"])) if meta["labels"] is not None else None
         return Bundle(FeaturePrep.load(spark, f"{path}/prep"), model, meta["problem"], labels, meta["algorithm"])
 
 
-_LOADABLE = ("pyspark.ml.classification", "pyspark.ml.regression", "tabwright.operators.ensembles")
+_SPARK_ML = ("pyspark.ml.classification", "pyspark.ml.regression")
+_OWN = ("tabwright.operators.ensembles", "tabwright.operators.boosting", "tabwright.operators.kernel")
 
 
 def _as_fitted(df: DataFrame, prep: FeaturePrep) -> DataFrame:

@@ -6,14 +6,18 @@ fitted again inside each fold, so no fold sees statistics of its own validation
 
 from __future__ import annotations
 
+import math
 import random
+import threading
 import time
-from collections.abc import Sequence
+import uuid
+from collections.abc import Iterator, Sequence
 from concurrent.futures import ThreadPoolExecutor
-from dataclasses import dataclass, field
+from contextlib import contextmanager
+from dataclasses import dataclass, field, replace
 from typing import Any
 
-from pyspark import inheritable_thread_target
+from pyspark import SparkContext, inheritable_thread_target
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -21,6 +25,7 @@ from pyspark.sql import functions as F
 from tabwright.operators import metrics
 from tabwright.operators.features import (
     FOLDS,
+    FeaturePrep,
     TargetLabels,
     fit_features,
     hash_percent,
@@ -29,12 +34,14 @@ from tabwright.operators.features import (
     target_labels,
     TEST_PERCENT,
 )
-from tabwright.operators.models import CLASSIFICATION, Shape, importances, registry, validate_request, without_summary
+from tabwright.operators.models import CLASSIFICATION, Shape, Space, importances, registry, validate_request, without_summary
 from tabwright.operators.scoring import Bundle, assemble
 from tabwright.session import cut_lineage
 
 TRIALS = 10
 MIN_SECONDS = 5.0
+#: Trials before the search is guided, and draws of which the best is tried.
+FIRST_TRIALS, CANDIDATES = 4, 24
 SEED = 42
 
 RESULT = (
@@ -51,6 +58,7 @@ class Outcome:
     params: dict[str, Any] = field(default_factory=dict)
     cv_score: float | None = None
     trials: int = 0
+    stopped: int = 0
     seconds: float = 0.0
     importance: dict[str, float] = field(default_factory=dict)
     bundle: Bundle | None = None
@@ -125,18 +133,24 @@ class Split:
 
     train: DataFrame
     valid: DataFrame
+    shape: Shape
+
+
+def _shape(data: TrainingSet, prep: FeaturePrep) -> Shape:
+    """Of the training data, with the features that hold numbers of categories."""
+    return replace(data.shape, categories=tuple(i for i, n in enumerate(prep.feature_names) if n in prep.dictionaries))
 
 
 def _split(data: TrainingSet, train: DataFrame, valid: DataFrame) -> Split:
     prep = fit_features(train, data.features)
-    return Split(*[assemble(prep.transform(d), prep).select("features", "label") for d in (train, valid)])
+    return Split(*[assemble(prep.transform(d), prep).select("features", "label") for d in (train, valid)], _shape(data, prep))
 
 
 def cv_score(data: TrainingSet, folds: Sequence[Split], name: str, params: dict[str, Any]) -> float:
     """Mean accuracy, or mean negative squared error, over the folds."""
     total = 0.0
     for fold in folds:
-        model = without_summary(registry(data.problem)[name].build(params, data.shape).fit(fold.train))
+        model = without_summary(registry(data.problem)[name].build(params, fold.shape).fit(fold.train))
         scored = model.transform(fold.valid)
         if data.problem == CLASSIFICATION:
             value = F.avg((F.col("prediction") == F.col("label")).cast("double"))
@@ -168,45 +182,142 @@ def train_single(data: TrainingSet, name: str, params: dict[str, Any], refit: bo
     spec = registry(data.problem)[name]
     test = data.df.filter("part = 'test'")
     split = _split(data, data.df.filter("part = 'train'"), test)
-    model = without_summary(spec.build(params, data.shape).fit(split.train))
+    model = without_summary(spec.build(params, split.shape).fit(split.train))
     scores = evaluate(model.transform(split.valid), data.problem, data.shape.classes)
     out = Outcome(name, scores, dict(params))
     if refit:
-        prep = fit_features(data.df, data.features)
-        ready = assemble(prep.transform(data.df), prep).select("features", "label")
-        final = without_summary(spec.build(params, data.shape).fit(ready))
-        out.bundle = Bundle(prep, final, data.problem, data.labels, name)
-        out.importance = importances(final, prep.feature_names)
+        out.bundle = fit_bundle(data, name, params)
+        out.importance = importances(out.bundle.model, out.bundle.prep.feature_names)
     out.seconds = time.time() - start
     return out
 
 
+def fit_bundle(data: TrainingSet, name: str, params: dict[str, Any]) -> Bundle:
+    """Preparation and model fitted on all rows."""
+    prep = fit_features(data.df, data.features)
+    ready = assemble(prep.transform(data.df), prep).select("features", "label")
+    final = without_summary(registry(data.problem)[name].build(params, _shape(data, prep)).fit(ready))
+    return Bundle(prep, final, data.problem, data.labels, name)
+
+
 def draw_params(problem: str, name: str, trial: int, seed: int = SEED, space: dict | None = None) -> dict[str, Any]:
     rng = random.Random(f"{seed}-{name}-{trial}")
     return {k: s.draw(rng) for k, s in (space or registry(problem)[name].space).items()}
 
 
-def _search_one(data: TrainingSet, folds: list[Split], name: str, trials: int, seconds: float, seed: int, space: dict | None) -> Outcome:
-    start, best, best_params, done, last_error = time.time(), float("-inf"), None, 0, None
-    spec = registry(data.problem)[name]
-    for trial in range(trials if (space or spec.space) else 1):
-        if done and time.time() - start >= seconds:
+class TimeUp(Exception):
+    """Spark work was cancelled because its time was over."""
+
+
+@contextmanager
+def time_limit(context: SparkContext, seconds: float) -> Iterator[None]:
+    """Cancel the Spark jobs of this thread once ``seconds`` are over, and raise ``TimeUp``.
+
+    Jobs carry a tag of their own, and the tag is cancelled until the block ends: a fit that goes on with another job
+    loses that too.
+    """
+    tag, ended, over = f"limit-{uuid.uuid4().hex}", threading.Event(), threading.Event()
+
+    def watch() -> None:
+        if ended.wait(max(seconds, 0.0)):
+            return
+        over.set()
+        while not ended.wait(0.2):
+            context.cancelJobsWithTag(tag)
+
+    watcher = threading.Thread(target=watch, daemon=True)
+    context.addJobTag(tag)
+    watcher.start()
+    try:
+        yield
+    except Exception as e:
+        if over.is_set():
+            raise TimeUp(f"stopped after {seconds:.1f} seconds") from e
+        raise
+    finally:
+        ended.set()
+        watcher.join()
+        context.removeJobTag(tag)
+
+
+def _search_one(
+    data: TrainingSet, folds: list[Split], name: str, trials: int, seconds: float, seed: int, space: dict | None, guided: bool, grace: float
+) -> Outcome:
+    start, done, stopped, last_error = time.time(), 0, 0, None
+    spec, context = registry(data.problem)[name], data.df.sparkSession.sparkContext
+    space = space or spec.space
+    seen: list[tuple[dict[str, Any], float]] = []
+    for trial in range(trials if space else 1):
+        left = seconds - (time.time() - start)
+        if done and left <= 0:
             break
-        params = draw_params(data.problem, name, trial, seed, space)
+        params = guided_params(space, seen, f"{seed}-{name}-{trial}") if guided else draw_params(data.problem, name, trial, seed, space)
         try:
-            score = cv_score(data, folds, name, params)
+            with time_limit(context, left):
+                seen.append((params, cv_score(data, folds, name, params)))
+        except TimeUp as e:
+            stopped, last_error = stopped + 1, e
         except Exception as e:  # noqa: BLE001
-            score, last_error = float("-inf"), e
+            last_error = e
         done += 1
-        if score > best:
-            best, best_params = score, params
-    if best_params is None:
-        return Outcome(name, trials=done, seconds=time.time() - start, error=str(last_error))
-    out = train_single(data, name, best_params)
-    out.cv_score, out.trials, out.seconds = best, done, time.time() - start
+    if not seen:
+        return Outcome(name, trials=done, stopped=stopped, seconds=time.time() - start, error=str(last_error))
+    # the first of equal scores
+    best_params, best = max(seen, key=lambda s: s[1])
+    try:
+        with time_limit(context, max(seconds + grace - (time.time() - start), MIN_SECONDS)):
+            out = train_single(data, name, best_params)
+    except TimeUp as e:
+        out = Outcome(name, params=dict(best_params), error=f"last fit {e}")
+    out.cv_score, out.trials, out.stopped, out.seconds = best, done, stopped, time.time() - start
     return out
 
 
+def _unit(space: Space, value: Any) -> float:
+    """A drawn value as a place between 0 and 1, evenly spread under random draws."""
+    if space.kind == "log":
+        return (math.log(value) - math.log(space.low)) / ((math.log(space.high) - math.log(space.low)) or 1.0)
+    return (value - space.low) / ((space.high - space.low) or 1.0)
+
+
+def guided_params(space: dict[str, Space], seen: Sequence[tuple[dict[str, Any], float]], seed: str) -> dict[str, Any]:
+    """Parameters that look more like those of good trials than like those of the others.
+
+    The first ``FIRST_TRIALS`` are random. Then the best quarter of the trials and the rest each give a density: bumps
+    around their values, over an even floor. Of ``CANDIDATES`` draws from the good density the one with the largest
+    ratio of the two is tried. Every parameter is drawn by itself, and reruns agree.
+    """
+    rng = random.Random(seed)
+    if len(seen) < FIRST_TRIALS:
+        return {k: s.draw(rng) for k, s in space.items()}
+    order = sorted(range(len(seen)), key=lambda i: (-seen[i][1], i))
+    split = max(1, math.ceil(len(seen) / 4))
+    good, rest = [seen[i][0] for i in order[:split]], [seen[i][0] for i in order[split:]]
+    return {k: _better(s, [p[k] for p in good], [p[k] for p in rest], rng) for k, s in space.items()}
+
+
+def _better(space: Space, good: list, rest: list, rng: random.Random) -> Any:
+    if space.kind == "choice":
+        def share(values: list, option: Any) -> float:
+            return (values.count(option) + 1.0) / (len(values) + len(space.options))
+
+        weights = [share(good, o) for o in space.options]
+        drawn = rng.choices(space.options, weights, k=CANDIDATES)
+        return max(drawn, key=lambda o: share(good, o) / share(rest, o))
+    near, far = [_unit(space, v) for v in good], [_unit(space, v) for v in rest]
+
+    def density(places: list[float], x: float) -> float:
+        width = max(0.05, 1.0 / (1 + len(places)))
+        return (1.0 + sum(math.exp(-0.5 * ((x - p) / width) ** 2) / width for p in places)) / (1 + len(places))
+
+    width = max(0.05, 1.0 / (1 + len(near)))
+    drawn = [space.draw(rng)]
+    for _ in range(CANDIDATES - 1):
+        x = min(1.0, max(0.0, rng.gauss(rng.choice(near), width)))
+        drawn.append(space.at(x))
+    return max(drawn, key=lambda v: density(near, _unit(space, v)) / density(far, _unit(space, v)))
+
+
 def search(
     df: DataFrame,
     target: str,
@@ -221,11 +332,15 @@ def search(
     seed: int = SEED,
     job_id: str = "job",
     spaces: dict[str, dict] | None = None,
+    guided: bool = True,
+    grace: float = 0.0,
 ) -> SearchResult:
     """Search all ``models``, ``parallel`` at a time; a failing model is listed with its error.
 
     Every model gets an equal share of the time that is left when it starts and is skipped when less
-    than five seconds remain. ``key`` names the columns that identify a row.
+    than five seconds remain. A trial that is still running at the end of its share is cancelled and counted as
+    stopped; the last fit of a model has what is left, ``grace`` seconds more, and five seconds at least. ``guided``
+    draws parameters by what earlier trials showed, else at random. ``key`` names the columns that identify a row.
     """
     start = time.time()
     deadline = start + budget_minutes * 60
@@ -234,7 +349,7 @@ def search(
     data = TrainingSet.prepare(df, target, key, features, problem, folds, seed)
     # every trial reads the folds: they are prepared once
     splits = [_split(data, data.df.filter(F.col("fold") != i), data.df.filter(F.col("fold") == i)) for i in range(folds)]
-    splits = [Split(cut_lineage(s.train), cut_lineage(s.valid)) for s in splits]
+    splits = [Split(cut_lineage(s.train), cut_lineage(s.valid), s.shape) for s in splits]
     context = df.sparkSession.sparkContext
     waiting = list(models)
 
@@ -246,7 +361,7 @@ def search(
             return Outcome(name, error="skipped: time budget used up")
         context.setLocalProperty("spark.scheduler.pool", name)
         try:
-            return _search_one(data, splits, name, trials, min(left, share), seed, (spaces or {}).get(name))
+            return _search_one(data, splits, name, trials, min(left, share), seed, (spaces or {}).get(name), guided, grace)
         except Exception as e:  # noqa: BLE001
             return Outcome(name, error=str(e))
 
