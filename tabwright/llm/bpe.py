@@ -13,23 +13,21 @@ from __future__ import annotations
 import base64
 import codecs
 import hashlib
-import re
+from array import array
 from collections.abc import Iterator
-from itertools import chain
 
+import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tabwright.llm.common import slices, table
+from tabwright.llm.pieces import SLICE_BYTES, Cutter, SliceEncoder, gather, rank_file_classes
 
-#: A memory of words is begun anew beyond so many entries, that of moves and seams beyond this many:
-#: about 430 MB in a worker. ``SMALL`` takes 160 MB where a worker also has other things to hold.
-WORDS, MOVES = 800_000, 300_000
-SMALL = (200_000, 100_000)
-#: A space before a visible character always begins a piece, so words can be looked up whole.
-BEFORE_WORD = re.compile(r" (?=\S)")
+#: A memory of pieces is begun anew beyond so many entries, that of moves and seams beyond this many: about 400 MB in
+#: a worker. ``SMALL`` takes 250 MB where a worker also has other things to hold.
+WORDS, MOVES = 400_000, 1_000_000
+SMALL = (200_000, 600_000)
 
 
 def read_ranks(raw: bytes) -> dict[bytes, int]:
@@ -57,19 +55,34 @@ def split_tokens(ranks: dict[bytes, int]) -> dict[bytes, tuple[bytes, bytes] | N
 class Transducer:
     def __init__(self, ranks: dict[bytes, int], made: dict[bytes, tuple[bytes, bytes] | None], most: int = MOVES):
         self.ranks, self.made, self.most = ranks, made, most
-        self.begun = {token[:i] for token in made for i in range(len(token))}
+        # a tree of the tokens' bytes: node and byte as one number to the next node, each node's token, whether more follows
+        self.steps: dict[int, int] = {}
+        self.token: list[bytes | None] = [None]
+        for token in made:
+            node = 0
+            for byte in token:
+                at = node << 8 | byte
+                after = self.steps.get(at)
+                if after is None:
+                    after = self.steps[at] = len(self.token)
+                    self.token.append(None)
+                node = after
+            self.token[node] = token
+        self.more = bytearray(len(self.token))
+        for at in self.steps:
+            self.more[at >> 8] = 1
         self.seams: dict[tuple[bytes, bytes], bool] = {}
         self.right: dict[bytes, list] = {}
         self.left: dict[bytes, list] = {}
         self._clear()
 
     def _clear(self) -> None:
-        #: a state: the last emitted token, and for each live prefix the bytes since and its tokens since
+        #: a state: the last emitted token, and for each live prefix the node of the bytes since and its tokens since
         self.states: dict[tuple, int] = {}
         self.keys: list[tuple] = []
         #: (state, byte) as one number to the next state and what is emitted
         self.moves: dict[int, tuple[int, tuple]] = {}
-        self._state((None, ((b"", ()),)))
+        self._state((None, ((0, ()),)))
 
     def _state(self, key: tuple) -> int:
         found = self.states.get(key)
@@ -112,26 +125,37 @@ class Transducer:
 
     def _move(self, state: int, byte: int) -> tuple[int, tuple]:
         last, live = self.keys[state]
-        step = bytes((byte,))
+        steps, token, more, seams = self.steps, self.token, self.more, self.seams
         going, done = [], None
-        for tail, tokens in live:
-            tail += step
-            if done is None and tail in self.made:
+        for node, tokens in live:
+            node = steps.get(node << 8 | byte)
+            if node is None:
+                continue
+            if done is None and (made := token[node]) is not None:
                 before = tokens[-1] if tokens else last
-                if before is None or self.apart(before, tail):
-                    done = (*tokens, tail)
-            if tail in self.begun:
-                going.append((tail, tokens))
-        going.append((b"", done))
-        n = min(len(tokens) for _, tokens in going)
-        for _, tokens in going if n else ():
+                if before is None or (seams[before, made] if (before, made) in seams else self.apart(before, made)):
+                    done = (*tokens, made)
+            if more[node]:
+                going.append((node, tokens))
+        # what all live prefixes and the new one have in common is certain
+        n = len(done)
+        for _, tokens in going:
+            n = min(n, len(tokens))
             while tokens[:n] != done[:n]:
                 n -= 1
+            if not n:
+                break
+        going.append((0, done))
         sure = done[:n]
         if n:
-            last, going = sure[-1], [(tail, tokens[n:]) for tail, tokens in going]
+            last, going = sure[-1], [(node, tokens[n:]) for node, tokens in going]
         # the last token matters only to a prefix that ends with it
-        return self._state((last if any(not tokens for _, tokens in going) else None, tuple(going))), sure
+        for _, tokens in going:
+            if not tokens:
+                break
+        else:
+            last = None
+        return self._state((last, tuple(going))), sure
 
     def encode(self, piece: bytes) -> list[bytes]:
         """Tokens of one piece, each emitted as soon as it is certain."""
@@ -150,41 +174,27 @@ class Transducer:
         return out
 
 
-class Memory(dict):
-    """Ids of words by the text between two word breaks; a word that is missing is encoded."""
-
-    def __init__(self, encoder: Encoder, lead: str):
-        self.encoder, self.lead = encoder, lead
-
-    def __missing__(self, word: str) -> tuple[int, ...]:
-        encoder, found = self.encoder, []
-        for piece in encoder.pattern.findall(self.lead + word):
-            raw = piece.encode()
-            whole = encoder.ranks.get(raw)
-            if whole is not None:
-                found.append(whole)
-            else:
-                found += [encoder.ranks[t] for t in encoder.transducer.encode(raw)]
-        found = tuple(found)
-        if len(word) < 100:
-            if len(self) > encoder.most:
-                self.clear()
-            self[word] = found
-        return found
-
-
-class Encoder:
-    """Texts to ids. Words met before are looked up, new ones go piece by piece through the transducer."""
+class Encoder(SliceEncoder):
+    """Texts to ids. Pieces met before are looked up, new ones go through the transducer unless they are a token."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str, made: dict | None = None, memory: tuple[int, int] = (WORDS, MOVES)):
-        self.ranks, self.most = ranks, memory[0]
-        self.pattern = regex.compile(pattern)
+    def __init__(self, ranks: dict[bytes, int], pattern: str, made: dict | None = None, memory: tuple[int, int] = (WORDS, MOVES), classes: np.ndarray | None = None):
+        self.ranks = ranks
         self.transducer = Transducer(ranks, made or split_tokens(ranks), memory[1])
-        self.begin, self.after_space = Memory(self, ""), Memory(self, " ")
+        classes = rank_file_classes() if classes is None else classes
+        super().__init__(Cutter(pattern, classes), self._learn, memory[0])
+        #: what is remembered; nearly all of it are words after a space
+        self.after_space = self.known
+
+    def _learn(self, pieces: list[bytes]) -> list[bytes]:
+        rank, encode, out = self.ranks, self.transducer.encode, []
+        for piece in pieces:
+            whole = rank.get(piece)
+            ids = [whole] if whole is not None else map(rank.__getitem__, encode(piece))
+            out.append(array("i", ids).tobytes())
+        return out
 
     def encode(self, text: str) -> list[int]:
-        first, *rest = BEFORE_WORD.split(text)
-        return [*self.begin[first], *chain.from_iterable(map(self.after_space.__getitem__, rest))]
+        return self.encode_column(pa.array([text]))[0].tolist()
 
 
 class Utf8Stream:
@@ -197,11 +207,11 @@ class Utf8Stream:
         return self.machine.decode(raw, end)
 
 
-def decode_stream(ids: list[int], tokens: dict[int, bytes], block: int = 4096) -> Iterator[str]:
-    """Text of a stream of ids, block by block."""
+def decode_stream(raw: memoryview, block: int = 1 << 16) -> Iterator[str]:
+    """Text of the bytes of a stream of tokens, block by block."""
     stream = Utf8Stream()
-    for at in range(0, len(ids), block):
-        yield stream.feed(b"".join(map(tokens.__getitem__, ids[at : at + block])))
+    for at in range(0, len(raw), block):
+        yield stream.feed(bytes(raw[at : at + block]))
     yield stream.feed(b"", True)
 
 
@@ -210,35 +220,39 @@ def _run(spark, path: str, pattern: str, with_ids: bool, memory: tuple[int, int]
     with open(path, "rb") as f:
         ranks = read_ranks(f.read())
     # a worker unpickles a broadcast value once and keeps it, so the encoder made from it serves all its tasks
-    shared = spark.sparkContext.broadcast({"ranks": ranks, "made": split_tokens(ranks)})
+    shared = spark.sparkContext.broadcast({"ranks": ranks, "made": split_tokens(ranks), "classes": rank_file_classes().tobytes()})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = shared.value
         if "encoder" not in held:
-            held["encoder"] = Encoder(held["ranks"], pattern, held["made"], memory)
-            held["tokens"] = {i: t for t, i in held["ranks"].items()}
-            held["decimal"] = {i: str(i) for i in held["tokens"]}
-        encoder, tokens, decimal = held["encoder"], held["tokens"], held["decimal"]
-        for batch in slices(batches, "text"):
-            counts, id_hash, text_hash, all_ids = [], [], [], []
-            for text in batch.column("text").to_pylist():
-                ids = encoder.encode(text or "")
+            ranks = held["ranks"]
+            held["encoder"] = Encoder(ranks, pattern, held["made"], memory, np.frombuffer(held["classes"], np.uint8))
+            tokens = [b""] * (max(ranks.values(), default=0) + 1)
+            for token, i in ranks.items():
+                tokens[i] = token
+            held["tokens"] = pa.array(tokens, pa.large_binary())
+            held["decimal"] = pa.array([b"%d," % i for i in range(len(tokens))], pa.large_binary())
+        encoder = held["encoder"]
+        for batch in slices(batches, "text", SLICE_BYTES):
+            ids, at = encoder.encode_column(batch.column("text"))
+            digits, digit_at = gather(held["decimal"], ids, at)
+            raw, raw_at = gather(held["tokens"], ids, at)
+            id_hash, text_hash = [], []
+            for i in range(batch.num_rows):
+                # no comma after the last
+                id_hash.append(hashlib.sha256(digits[digit_at[i] : max(digit_at[i], digit_at[i + 1] - 1)]).hexdigest())
                 decoded = hashlib.sha256()
-                for chars in decode_stream(ids, tokens):
+                for chars in decode_stream(raw[raw_at[i] : raw_at[i + 1]]):
                     decoded.update(chars.encode())
-                counts.append(len(ids))
-                id_hash.append(hashlib.sha256(",".join(map(decimal.__getitem__, ids)).encode()).hexdigest())
                 text_hash.append(decoded.hexdigest())
-                if with_ids:
-                    all_ids.append(ids)
             columns = {
                 "doc_id": batch.column("doc_id"),
-                "n_tokens": pa.array(counts, pa.int64()),
+                "n_tokens": pa.array(np.diff(at)),
                 "ids_sha256": pa.array(id_hash, pa.string()),
                 "decoded_sha256": pa.array(text_hash, pa.string()),
             }
             if with_ids:
-                columns["ids"] = pa.array(all_ids, pa.list_(pa.int32()))
+                columns["ids"] = pa.LargeListArray.from_arrays(at, pa.array(ids)).cast(pa.list_(pa.int32()))
             yield pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
 
     return run

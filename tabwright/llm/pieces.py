@@ -177,17 +177,17 @@ class SliceEncoder:
 
     def _ids(self, pieces: list[bytes]) -> list[bytes]:
         known = self.known
-        if len(known) > self.memory:
-            known.clear()
         found = list(map(known.get, pieces))
         new = [i for i, packed in enumerate(found) if packed is None]
+        if len(known) + len(new) > self.memory:
+            known.clear()
         for i, packed in zip(new, self.learn([pieces[i] for i in new]), strict=True):
             found[i] = packed
             if len(pieces[i]) <= LONG:
                 known[pieces[i]] = packed
         return found
 
-    def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    def encode_column(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids, offsets): all ids one after the other, and where those of each text begin. Null counts as empty."""
         data, offsets = text_bytes(column)
         if not len(data):

@@ -245,7 +245,7 @@ def _run(shared, with_ids: bool):
             held["encoder"] = make_encoder(held["spec"], np.frombuffer(held["classes"], np.uint8))
         encoder, tokens = held["encoder"]
         for batch in slices(batches, "text", SLICE_BYTES):
-            ids, at = encoder.encode(batch.column("text"))
+            ids, at = encoder.encode_column(batch.column("text"))
             raw, ends = gather(tokens, ids, at)
             packed = memoryview(ids.astype("<u4")).cast("B") if len(ids) else memoryview(b"")
             id_hash, text_hash = [], []

@@ -62,7 +62,7 @@ def test_borders_equal_the_pattern(classes):
 def test_ids_equal_the_library(library, encoder):
     encode, tokens = encoder
     texts = odd_texts(3, 5000)
-    ids, at = encode.encode(pa.array(texts))
+    ids, at = encode.encode_column(pa.array(texts))
     raw, ends = P.gather(tokens, ids, at)
     for i, text in enumerate(texts):
         mine = ids[at[i] : at[i + 1]].tolist()
@@ -73,7 +73,7 @@ def test_ids_equal_the_library(library, encoder):
 def test_a_small_memory_changes_nothing(library, classes, encoder):
     small = P.SliceEncoder(encoder[0].cutter, encoder[0].learn, memory=5)
     for text in odd_texts(4, 200):
-        ids, _ = small.encode(pa.array([text, None, text]))
+        ids, _ = small.encode_column(pa.array([text, None, text]))
         assert ids.tolist() == 2 * library.encode(text, add_special_tokens=False).ids
 
 
