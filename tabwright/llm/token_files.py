@@ -11,13 +11,13 @@ executor leaves an unlisted file at most.
 
 from __future__ import annotations
 
+import json
 import os
 import re
-import sys
 import uuid
 import zlib
-from array import array
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -26,14 +26,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tabwright.llm.common import slices, table
+from tabwright.llm.pieces import BYTE_LEVEL, SLICE_BYTES, Cutter, SliceEncoder, pre_tokenizer_classes
 from tabwright.session import cut_lineage, scratch_dir
 
 END_ID = 0
 PART_BYTES = 64 << 20
-#: A word memory is begun anew beyond so many entries.
-MEMORY = 800_000
 NO_ID = np.iinfo(np.int64).min
-BEFORE_WORD = re.compile(r" (?=\S)")
+VISIBLE = re.compile(r" ?\S+")
 
 _PART = "part int, folder string, name string, docs long, ids long"
 
@@ -44,56 +43,72 @@ def _filesystem(uri: str):
     return fs.FileSystem.from_uri(uri if "://" in uri or uri.startswith("file:") else f"file://{uri}")
 
 
+def cuts_apart(spec: dict) -> bool:
+    """Whether the pieces of a byte-level pre-tokenizer have the same ids wherever they stand."""
+    pre = spec.get("pre_tokenizer") or {}
+    plain = pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space") and not spec.get("normalizer")
+    limits = spec.get("truncation") or spec.get("padding")
+    return plain and not limits and not any(t[k] for t in spec.get("added_tokens") or [] for k in ("single_word", "lstrip", "rstrip"))
+
+
 class WordEncoder:
-    """Encodes with the tokenizers library; words met before are looked up.
+    """Encodes with the tokenizers library; pieces met before are looked up, new ones are encoded together.
 
-    Byte-level pre-tokenizers cut before a space that a visible character follows, so what stands between two
-    such cuts has the same ids wherever it stands. New words are encoded together.
-    Markers such as ``<|endoftext|>`` in a text are ordinary text, unlike the library's default.
+    Where the tokenizer does not cut texts into pieces that stand for themselves, whole texts are encoded.
+    Markers such as ``<|endoftext|>`` in a text have their own id, as is the library's default.
     """
 
-    def __init__(self, spec: str, dtype: str):
+    def __init__(self, spec: str, dtype: str, classes: np.ndarray | None = None):
         # a task has one core; threads of the library would only compete with other tasks
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_str(spec)
-        self.tokenizer.encode_special_tokens = True
-        self.dtype = dtype
-        self.end = np.array([END_ID], dtype).tobytes()
-        #: packed ids by word, of words that begin a text and of words after a space
-        self.begin: dict[str, bytes] = {}
-        self.after_space: dict[str, bytes] = {}
-
-    def _packed(self, ids: list[int]) -> bytes:
-        packed = array("H" if self.dtype == "<u2" else "I", ids)
-        if sys.byteorder == "big":
-            packed.byteswap()
-        return packed.tobytes()
-
-    def _learn(self, known: dict[str, bytes], words: set[str], lead: str) -> list[str]:
-        if len(known) > MEMORY:
-            known.clear()
-        new = list(words.difference(known))
-        for at in range(0, len(new), 2000):
-            some = new[at : at + 2000]
-            for word, found in zip(some, self.tokenizer.encode_batch_fast([lead + w for w in some], add_special_tokens=False), strict=True):
-                known[word] = self._packed(found.ids)
-        return [w for w in new if len(w) >= 100]
+        self.tokenizer, self.dtype, self.pieces = Tokenizer.from_str(spec), dtype, None
+        full = json.loads(spec)
+        if cuts_apart(full):
+            classes = pre_tokenizer_classes(self.tokenizer.pre_tokenizer) if classes is None else classes
+            markers = [t["content"] for t in full.get("added_tokens") or []]
+            self.pieces = SliceEncoder(Cutter(BYTE_LEVEL, classes, markers), self._learn)
+            #: a line end between two visible pieces is always a piece of its own
+            self.between = np.array(self._ids(["\n"])[0], np.int32)
+
+    def _ids(self, texts: list[str]) -> list[list[int]]:
+        return [found.ids for found in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _learn(self, pieces: list[bytes]) -> list[bytes]:
+        texts = [p.decode() for p in pieces]
+        out: list[bytes] = [b""] * len(texts)
+        visible = [i for i, t in enumerate(texts) if VISIBLE.fullmatch(t) and len(self.between) == 1 and pieces[i] not in self.pieces.cutter.whole]
+        for a in range(0, len(visible), 4000):
+            some = visible[a : a + 4000]
+            ids = np.array(self._ids(["\n".join(texts[i] for i in some)])[0], np.int32)
+            ends = np.append(np.flatnonzero(ids == self.between[0]), len(ids)).tolist()
+            begin = 0
+            for i, end in zip(some, ends, strict=True):
+                out[i] = ids[begin:end].tobytes()
+                begin = end + 1
+        rest = sorted(set(range(len(texts))).difference(visible))
+        for a in range(0, len(rest), 4000):
+            some = rest[a : a + 4000]
+            for i, found in zip(some, self._ids([texts[i] for i in some]), strict=True):
+                out[i] = np.array(found, np.int32).tobytes()
+        return out
+
+    def encode_column(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, offsets): the ids of all texts one after the other, the end id after each, and where each begins."""
+        if self.pieces is None:
+            found = self._ids([t or "" for t in column.to_pylist()])
+            at = np.cumsum([0, *map(len, found)])
+            ids = np.fromiter(chain.from_iterable(found), np.int64, at[-1])
+        else:
+            ids, at = self.pieces.encode_column(column)
+        ids = np.insert(ids, at[1:], END_ID).astype(self.dtype)
+        return ids, at + np.arange(len(at))
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each text as packed integers, the end id after each."""
-        split = [BEFORE_WORD.split(text or "") for text in texts]
-        # words of this slice are all in memory from here on
-        long = self._learn(self.begin, {parts[0] for parts in split}, "")
-        others = self._learn(self.after_space, set().union(*[parts[1:] for parts in split]), " ")
-        word = self.after_space.__getitem__
-        out = [b"".join([self.begin[parts[0]], *map(word, parts[1:]), self.end]) for parts in split]
-        for w in long:
-            del self.begin[w]
-        for w in others:
-            del self.after_space[w]
-        return out
+        ids, at = self.encode_column(pa.array(texts, pa.string()))
+        return [ids[a:b].tobytes() for a, b in zip(at[:-1], at[1:], strict=True)]
 
 
 def _writer(shared, folder: str, dtype: str):
@@ -101,17 +116,16 @@ def _writer(shared, folder: str, dtype: str):
         part = TaskContext.get().partitionId()
         fs, root = _filesystem(folder)
         name = f"{part:05d}-{uuid.uuid4().hex}.bin"
-        held, width = shared.value, np.dtype(dtype).itemsize
-        encoder = held.get("encoder") or held.setdefault("encoder", WordEncoder(held["spec"], dtype))
+        held = shared.value
+        encoder = held.get("encoder") or held.setdefault("encoder", WordEncoder(held["spec"], dtype, np.frombuffer(held["classes"], np.uint8)))
         offsets, docs, total = [np.zeros(1, "<u8")], [], 0
         with fs.open_output_stream(f"{root}/tokens-{name}") as out:
-            for batch in slices(batches, "text"):
-                packed = encoder.encode(batch.column("text").to_pylist())
-                sizes = np.array([len(p) // width for p in packed], np.int64)
-                out.write(b"".join(packed))
-                offsets.append((total + np.cumsum(sizes)).astype("<u8"))
+            for batch in slices(batches, "text", SLICE_BYTES):
+                ids, at = encoder.encode_column(batch.column("text"))
+                out.write(ids.tobytes())
+                offsets.append((total + at[1:]).astype("<u8"))
                 docs.append(batch.column("doc_id").fill_null(NO_ID).to_numpy().astype("<i8"))
-                total += int(sizes.sum())
+                total += len(ids)
         for kind, arrays in (("offsets", offsets), ("docs", docs)):
             with fs.open_output_stream(f"{root}/{kind}-{name}") as out:
                 for a in arrays:
@@ -130,7 +144,7 @@ def write(docs: DataFrame, tokenizer: str, folder: str | None = None, part_bytes
 
     Documents without an id come first, equal ids in the order of their texts' hashes. A null text has only the end id.
     """
-    import json
+    from tokenizers import Tokenizer
 
     spark = docs.sparkSession
     folder = folder or f"{scratch_dir(spark).rstrip('/')}/tokens-{uuid.uuid4().hex}"
@@ -146,7 +160,8 @@ def write(docs: DataFrame, tokenizer: str, folder: str | None = None, part_bytes
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("tie"))
     rows = rows.repartitionByRange(parts, F.col("doc_id").asc_nulls_first(), "tie").sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "tie")
     # the file of a vocabulary is a few MB; a worker unpickles it once and keeps the encoder for all its tasks
-    shared = spark.sparkContext.broadcast({"spec": spec})
+    classes = pre_tokenizer_classes(Tokenizer.from_str(spec).pre_tokenizer).tobytes() if cuts_apart(model) else b""
+    shared = spark.sparkContext.broadcast({"spec": spec, "classes": classes})
     written = cut_lineage(rows.select("doc_id", "text").mapInArrow(_writer(shared, folder, dtype), _PART))
     # one row for each part
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
