@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
+from copy import copy
 
 import numpy as np
 import pyarrow as pa
@@ -32,21 +34,11 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-class Powers:
-    """Powers of an odd base modulo 2**64 and of its inverse, grown as needed."""
-
-    def __init__(self, base: int):
-        self.base, self.inverse = np.uint64(base), np.uint64(pow(base, -1, 1 << 64))
-        self.up = self.down = np.ones(1, np.uint64)
-
-    def get(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        if len(self.up) < n:
-            full = np.full(n, self.base)
-            full[0] = 1
-            self.up = np.cumprod(full)
-            full[1:] = self.inverse
-            self.down = np.cumprod(full)
-        return self.up, self.down
+_FOLD = np.uint64(0x9FB21C651E98DF25)
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] = np.arange(97, 123)
+#: Words above this many bytes are hashed one by one.
+LONG_WORD = 64
 
 
 class Texts:
@@ -54,51 +46,76 @@ class Texts:
 
     ``wh`` holds one 64-bit hash for each word, ``doc`` the text it belongs to, ``first`` the index of
     each text's first word (one more entry at the end). Words are runs of bytes other than ASCII blanks.
-    """
 
-    letters = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-    byte_powers, word_powers = Powers(0xB492B66FBE98F273), Powers(0x9AE16A3B2F90404F)
+    Eight bytes at a time go through ``mix``, and so do the halves of every run of words. No step is a sum of
+    products, so no pattern of letters or words makes different runs meet. Another ``seed`` gives hashes that
+    have nothing to do with these.
+    """
 
-    def __init__(self, column: pa.Array, lower: bool = False):
-        self.data, self.offsets = text_bytes(column)
-        data, offsets = self.data, self.offsets
+    def __init__(self, column: pa.Array, lower: bool = False, seed: int = 0):
+        data, offsets = text_bytes(column)
+        self.data = data = _LOWER[data] if lower else data
         n = len(data)
         inside = np.ones(256, bool)
         inside[list(BLANKS)] = False
         inside = inside[data]
         edge = np.zeros(n + 1, bool)
         edge[offsets] = True
-        before = np.empty(n, bool)
-        before[:1] = False
-        before[1:] = inside[:-1]
-        self.start = np.flatnonzero(inside & (edge[:n] | ~before))
-        after = np.empty(n, bool)
-        after[-1:] = False
-        after[:-1] = inside[1:]
-        self.end = np.flatnonzero(inside & (edge[1:] | ~after)) + 1
-        letters = self.letters
-        if lower:
-            letters = letters.copy()
-            letters[65:91] = letters[97:123]
-        up, down = self.byte_powers.get(n + 1)
-        sums = np.zeros(n + 1, np.uint64)
-        np.cumsum(letters[data] * up[:n], out=sums[1:])
-        self.wh = mix((sums[self.end] - sums[self.start]) * down[self.start])
+        change = np.empty(n, bool)
+        change[:1] = True
+        np.not_equal(inside[1:], inside[:-1], out=change[1:])
+        begin = np.flatnonzero(inside & (edge[:n] | change))
+        change[:-1] = change[1:]
+        change[-1:] = True
+        self.start, self.end = begin, np.flatnonzero(inside & (edge[1:] | change)) + 1
         self.first = np.searchsorted(self.start, offsets)
         self.doc = np.repeat(np.arange(len(offsets) - 1), np.diff(self.first))
-
-    def sums(self) -> np.ndarray:
-        up, _ = self.word_powers.get(len(self.wh) + 1)
-        out = np.zeros(len(self.wh) + 1, np.uint64)
-        np.cumsum(self.wh * up[: len(self.wh)], out=out[1:])
+        self._hash(seed)
+
+    def _hash(self, seed: int) -> None:
+        size = self.end - self.start
+        out = mix((size.astype(np.uint64) + np.uint64(seed + 1)) * np.uint64(0x9E3779B97F4A7C15))
+        padded = np.append(self.data, np.zeros(8, np.uint8))
+        # the eight bytes from each place on
+        eight = np.ndarray(len(self.data) + 1, "<u8", buffer=padded, strides=(1,))
+        todo = np.flatnonzero(size <= LONG_WORD)
+        at, left = self.start[todo], size[todo]
+        while len(todo):
+            part = eight[at]
+            part &= np.uint64(2**64 - 1) >> (8 * np.maximum(8 - left, 0)).astype(np.uint64)
+            out[todo] = mix(out[todo] ^ part)
+            more = left > 8
+            todo, at, left = todo[more], at[more] + 8, left[more] - 8
+        for i in np.flatnonzero(size > LONG_WORD).tolist():
+            code = hashlib.blake2b(self.data[self.start[i] : self.end[i]], digest_size=8, salt=seed.to_bytes(8, "little"))
+            out[i] = int.from_bytes(code.digest(), "little")
+        self.wh = out
+        #: hashes of the 2**j words from each word on
+        self._levels = [out]
+
+    def seeded(self, seed: int) -> Texts:
+        """The same words under other hashes."""
+        other = copy(self)
+        other._hash(seed)
+        return other
+
+    def _level(self, j: int) -> np.ndarray:
+        while len(self._levels) <= j:
+            low, half = self._levels[-1], 1 << (len(self._levels) - 1)
+            self._levels.append(mix(low[:-half] * _FOLD + low[half:]) if len(low) > half else low[:0])
+        return self._levels[j]
+
+    def runs(self, begin: np.ndarray, stop: np.ndarray) -> np.ndarray:
+        """Hashes of the word sequences ``begin`` to ``stop`` (exclusive), from the two halves that cover each."""
+        size = stop - begin
+        out = np.zeros(len(begin), np.uint64)
+        for j in np.unique(np.frexp(size[size > 0])[1] - 1).tolist():
+            level = self._level(j)
+            some = np.flatnonzero((size >> j) == 1)
+            both = mix(level[begin[some]] * _FOLD + level[stop[some] - (1 << j)])
+            out[some] = mix(both + size[some].astype(np.uint64))
         return out
 
-    def runs(self, begin: np.ndarray, stop: np.ndarray, sums: np.ndarray | None = None) -> np.ndarray:
-        """Hashes of the word sequences ``begin`` to ``stop`` (exclusive)."""
-        sums = self.sums() if sums is None else sums
-        _, down = self.word_powers.get(len(self.wh) + 1)
-        return mix((sums[stop] - sums[begin]) * down[begin] + (stop - begin).astype(np.uint64))
-
     def grams(self, k: int) -> tuple[np.ndarray, np.ndarray]:
         """Positions at which ``k`` words of one text begin, and the hashes of these words."""
         at = np.arange(max(0, len(self.wh) - k + 1))
@@ -106,6 +123,17 @@ class Texts:
         return at, self.runs(at, at + k)
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Column names like ``names`` that ``df`` does not have."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name)
+        out.append(name)
+    return out
+
+
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of all texts one after the other, and where each begins. Null counts as empty."""
     column = pc.fill_null(column.cast(pa.large_binary()), b"")

@@ -3,12 +3,16 @@
 import random
 
 CLASHING = "bucket string, hash long, n long, a int, node string, size double, start int, kept string, rule string"
+#: names of helper columns, past and present
+CLASHING += ", __p string, __sha string, __keep long, __rows long, __n int, __id long, __hash long, __times int"
+CLASHING += ", prediction string, Text_SHA256 string, keep_id long, keep_rows long, mix_id long, mix_hash long, mix_times int, mix_n int"
+EXTRA = ("p", "q", 7, 8, 9, 10, 11, 12, "r", "s", 13, 14, 15, 16, 17, 18)
 
 
 def documents(spark, rows):
     """rows of (doc_id, text, lang, source); with columns whose names operators might use themselves."""
     schema = f"doc_id long, text string, lang string, source string, n_chars long, {CLASHING}"
-    full = [(i, t, lang, src, len(t or ""), "x", 1, 2, 3, "y", 0.5, 4, "z", None) for i, t, lang, src in rows]
+    full = [(i, t, lang, src, len(t or ""), "x", 1, 2, 3, "y", 0.5, 4, "z", None, *EXTRA) for i, t, lang, src in rows]
     return spark.createDataFrame(full, schema)
 
 
@@ -38,3 +42,11 @@ def awkward(seed=5):
     rows += [(83, "repeated row", "en", "s")] * 3
     rows.append((84, "+++ 123 --- 456", "en", "s"))
     return rows
+
+
+def thue_morse(steps):
+    """Two words of 2**steps letters that differ everywhere, yet agree in every sum of powers of an odd number mod 2**64."""
+    one = "a"
+    for _ in range(steps):
+        one += one.translate({97: 98, 98: 97})
+    return one, one.translate({97: 98, 98: 97})
