@@ -78,6 +78,23 @@ def _(spark, sf):
     return K.tag_coverage(live)
 
 
+_FLEET = f"""select worker_id, last_heartbeat, {_TAGS} as tags, cast(worker_id % 8 + 1 as integer) as cpu_count, cast(worker_id % 4 * 8 as double) as total_ram_gb,
+         cast(worker_id % 3 as integer) as gpu_count, cast(worker_id % 3 * 6 as double) as total_vram_gb from (select user_id as worker_id, max(ts) as last_heartbeat from events group by user_id)"""
+
+
+@query(
+    "fleet_totals",
+    """select count(*) as total_workers, count(*) filter (live) as online_workers, count(*) filter (not live) as offline_workers,
+         cast(coalesce(sum(cpu_count) filter (live), 0) as bigint) as total_cpus, coalesce(sum(total_ram_gb) filter (live), 0.0) as total_ram_gb,
+         cast(coalesce(sum(gpu_count) filter (live), 0) as bigint) as total_gpus, coalesce(sum(total_vram_gb) filter (live), 0.0) as total_vram_gb
+       from (select *, last_heartbeat >= (select max(ts) - interval 30 minutes * 20 from events) as live from fleet)""",
+    fleet=_FLEET,
+)
+def _(spark, sf):
+    now = table(spark, sf, "events").agg(F.max("ts")).first()[0]
+    return K.fleet_totals(K.online(view(spark, sf, _FLEET), now, 1800 * 20))
+
+
 @query(
     "full_outer_coverage",
     f"""with c as (select tag, count(*) as workers from (select unnest(from_json({_TAGS}, '["VARCHAR"]')) as tag from workers) group by tag),

@@ -402,6 +402,25 @@ def _(spark, sf):
     return knn_classify(_knn(spark, sf, F.col("s_nationkey") % 3))
 
 
+@query(
+    "knn_hashed",
+    """select query_id, train_id, label from (
+         select q.vec_id as query_id, t.vec_id as train_id, t.label, row_number() over (partition by q.vec_id order by list_distance(q.e, t.e), t.vec_id) as r
+         from v q join v t on q.vec_id % 20 = 0 and t.vec_id % 20 <> 0) where r <= 5""",
+    v="select vec_id, label, embedding::double[] as e from embeddings",
+)
+def _(spark, sf):
+    """Neighbours over all 64 columns; tables this small fit one bucket, so they are the exact ones."""
+    from tabwright.operators.neighbors import nearest_hashed
+
+    vectors = table(spark, sf, "embeddings")
+    names = [f"e{i}" for i in range(64)]
+    wide = vectors.select("vec_id", "label", *[F.col("embedding")[i].alias(n) for i, n in enumerate(names)])
+    asked, stock = wide.where("vec_id % 20 = 0"), wide.where("vec_id % 20 <> 0")
+    found = nearest_hashed(asked, stock, names, 5, "vec_id", "vec_id", "label")
+    return found.select("query_id", "train_id", F.col("payload").alias("label"))
+
+
 @query(
     "knn_regress",
     """select query_id, round(case when min(distance) = 0 then avg(amount) filter (distance = 0)

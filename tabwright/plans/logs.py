@@ -227,6 +227,19 @@ def _(spark, sf):
     return R.suggest_operations(P.profile(df), duplicates, P.outlier_counts(df, ["value"]))
 
 
+@query(
+    "suggest_casts",
+    """select 'price' as "column", 3 as rule, 'cast_type' as operation, 'float' as parameter, 0.0::double as weight
+       union all select 'size', 3, 'cast_type', 'int', 0.0 from (select count(*) as n from part) where n > 0
+       union all select 'kind', 3, 'string_clean', 'strip', 0.0 from part having count(distinct p_type) < count(*) * 0.05""",
+)
+def _(spark, sf):
+    df = table(spark, sf, "part").select(
+        F.format_string(" %.2f", F.col("p_retailprice") + 0.25).alias("price"), F.col("p_size").cast("string").alias("size"), F.col("p_type").alias("kind")
+    )
+    return R.suggest_operations(P.profile(df), 0, numbers=P.number_texts(df))
+
+
 @query(
     "profile_text",
     """select 0 as position, 'event_type' as "column", 'event_type:' || chr(10) || '  Type: string' || chr(10) || '  Missing: ' ||

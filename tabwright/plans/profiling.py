@@ -220,3 +220,29 @@ def _(spark, sf):
 @query("head_n", "select o_orderkey, o_totalprice from orders order by o_orderkey limit 100")
 def _(spark, sf):
     return table(spark, sf, "orders").select("o_orderkey", "o_totalprice").orderBy("o_orderkey").limit(100)
+
+
+@query(
+    "sketch_profile",
+    """select 'value' as "column", count(*) as rows, count(*) - count(value) as nulls, min(value) as low, max(value) as high, true as close_enough
+         from dirty where user_id % 4 in (1, 2)
+       union all select 'event_id', count(*), 0, cast(min(event_id) as double), cast(max(event_id) as double), true from dirty where user_id % 4 in (1, 2)""",
+    dirty=EVENTS_DIRTY,
+)
+def _(spark, sf):
+    """Two of four parts merged from their sketches; distinct counts and medians are held against the exact ones."""
+    from tabwright.operators import sketches as K
+
+    df = view(spark, sf, EVENTS_DIRTY).select((F.col("user_id") % 4).alias("part"), "event_id", "value")
+    some = df.where("part in (1, 2)")
+    found = K.merge(K.build(df, ["part"]).where("part in (1, 2)")).collect()  # one row for each column
+    aggs, cells = [], []
+    for r in found:
+        c, v = r["column"], F.col(r["column"])
+        aggs += [F.count_if(v < r["q0.5"]).alias(f"{c}_below"), F.count_if(v <= r["q0.5"]).alias(f"{c}_upto"), F.count(v).alias(f"{c}_n"), F.count_distinct(v).alias(f"{c}_d")]
+        below, upto, n, d = (F.col(f"{c}_{x}") for x in ("below", "upto", "n", "d"))
+        share = K.RANK_ERROR * n + 1
+        near = (below <= n / 2 + share) & (upto >= n / 2 - share) & (F.abs(F.lit(r["distinct"]) - d) <= K.DISTINCT_ERROR * d + 1)
+        values = [F.lit(r[x]).alias(x) for x in ("column", "rows", "nulls", "low", "high")]
+        cells.append(F.struct(*values, near.alias("close_enough")))
+    return some.agg(*aggs).select(F.inline(F.array(*cells)))

@@ -15,7 +15,8 @@ from pyspark.sql.pandas.types import from_arrow_schema
 
 from tabwright.functions import convert
 from tabwright.operators import logs
-from tabwright.sources import records
+from tabwright.session import cut_lineage
+from tabwright.sources import records, splits
 
 # File extensions of each format.
 EXTENSIONS = {
@@ -38,6 +39,8 @@ EXTENSIONS = {
 NOT_READ = ("excel", "yaml", "toml")
 DELIMITERS = (",", ";", "\t", "|")
 DETECTION_BYTES = 8192
+#: Bytes of Arrow record batches that one task reads, about.
+ARROW_BYTES = 64 << 20
 HEALTH_DATES = ("startDate", "endDate", "creationDate")
 
 
@@ -177,8 +180,66 @@ def read_jsonl(spark: SparkSession, path: str, options: ReadOptions) -> DataFram
 
 
 def read_feather(spark: SparkSession, path: str, options: ReadOptions) -> DataFrame:
-    """Arrow IPC files, each one row of a task (2 GB at most); a task reads the schema of the first file."""
+    """Arrow IPC files by record batch: runs of batches of about ``ARROW_BYTES`` are tasks of their own.
+
+    Tasks read the footers, and then only their batches. A file system that Arrow does not know is read by Spark, where
+    a file is one row of a task, 2 GB at most.
+    """
+    # the listing has the content only where it is asked for
     found = spark.read.format("binaryFile").load(path)
+    try:
+        for name in found.inputFiles()[:1]:
+            arrow_place(name)
+    except (ValueError, OSError, pa.ArrowException):
+        return _read_feather_whole(spark, found, path, options)
+    schema, most = options.schema, ARROW_BYTES
+
+    def footers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for name, length in zip(batch.column("path").to_pylist(), batch.column("length").to_pylist(), strict=True):
+                files, place = arrow_place(name)
+                with files.open_input_file(place) as source, pa.ipc.open_file(source) as reader:
+                    n = reader.num_record_batches
+                    step = max(1, n * most // max(length, 1))
+                    low = list(range(0, n, step)) or [0]
+                    high = [min(x + step, n) for x in low]
+                    described = [reader.schema.serialize().to_pybytes()] * len(low)
+                    arrays = [pa.array([name] * len(low)), pa.array(low, pa.int32()), pa.array(high, pa.int32()), pa.array(described, pa.binary())]
+                    yield pa.RecordBatch.from_arrays(arrays, ["path", "low", "high", "schema"])
+
+    parts = cut_lineage(found.select("path", "length").mapInArrow(footers, "path string, low int, high int, schema binary"))
+    if schema is None:
+        first = parts.orderBy("path", "low").select("schema").first()
+        if first is None:
+            raise ValueError(f"no files in {path}")
+        schema = from_arrow_schema(pa.ipc.read_schema(pa.py_buffer(bytes(first[0]))))
+    count = parts.where("high > low").count()
+
+    def batches_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for name, low, high in zip(*(batch.column(c).to_pylist() for c in ("path", "low", "high")), strict=True):
+                files, place = arrow_place(name)
+                with files.open_input_file(place) as source, pa.ipc.open_file(source) as reader:
+                    for i in range(low, high):
+                        yield reader.get_batch(i)
+
+    # one task for each run of batches
+    spread = parts.where("high > low").select("path", "low", "high").repartitionByRange(max(1, count), "path", "low")
+    return spread.mapInArrow(batches_of, schema)
+
+
+def arrow_place(uri: str):
+    """Arrow's file system of a qualified path, and the path in it."""
+    from pyarrow import fs
+
+    if uri.startswith("file:"):
+        return fs.LocalFileSystem(), "/" + uri[5:].lstrip("/")
+    if "://" not in uri:
+        raise ValueError(f"{uri} names no file system")
+    return fs.FileSystem.from_uri(uri)
+
+
+def _read_feather_whole(spark: SparkSession, found: DataFrame, path: str, options: ReadOptions) -> DataFrame:
     if options.schema is None:
 
         def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -296,9 +357,13 @@ def _documents(spark: SparkSession, path: str, options: ReadOptions) -> DataFram
     return spark.read.format("text").option("wholetext", True).option("encoding", options.encoding).load(path)
 
 
-def _record_reader(extract):
+def _record_reader(kind: str):
     def read(spark: SparkSession, path: str, options: ReadOptions) -> DataFrame:
-        return extract(_documents(spark, path, options), "value").drop("position")
+        if options.encoding.lower() in splits.SPLITTABLE:
+            documents = splits.record_documents(spark, path, kind, options.encoding)
+        else:
+            documents = _documents(spark, path, options)
+        return getattr(records, kind)(documents, "value").drop("position")
 
     return read
 
@@ -311,10 +376,14 @@ def read_log(spark: SparkSession, path: str, options: ReadOptions) -> DataFrame:
     kind = logs.detect_format(lines, "value")
     if kind:
         return logs.parse_lines(lines, "value", kind)
-    whole = _documents(spark, path, options)
-    # the line end of the last line starts no further line
-    numbered = whole.select(F.posexplode(F.split(F.regexp_replace("value", r"\n$", ""), "\n")).alias("pos", "line"))
-    return numbered.select((F.col("pos") + 1).cast("long").alias("line_number"), F.trim("line").alias("content"))
+    if options.encoding.lower() in splits.SPLITTABLE:
+        numbered = splits.numbered_lines(spark, path, options.encoding)
+    else:
+        whole = _documents(spark, path, options)
+        # the line end of the last line starts no further line
+        numbered = whole.select(F.posexplode(F.split(F.regexp_replace("value", r"\n$", ""), "\n")).alias("pos", "line"))
+        numbered = numbered.select((F.col("pos") + 1).cast("long").alias("line_number"), "line")
+    return numbered.select("line_number", F.trim("line").alias("content"))
 
 
 READERS = {
@@ -325,10 +394,10 @@ READERS = {
     "jsonl": read_jsonl,
     "feather": read_feather,
     "xml": read_xml,
-    "ofx": _record_reader(records.ofx),
-    "qif": _record_reader(records.qif),
-    "ical": _record_reader(records.ical),
-    "vcard": _record_reader(records.vcard),
+    "ofx": _record_reader("ofx"),
+    "qif": _record_reader("qif"),
+    "ical": _record_reader("ical"),
+    "vcard": _record_reader("vcard"),
     "log": read_log,
 }
 
@@ -474,15 +543,16 @@ def write_feather(df: DataFrame, path: str, options: WriteOptions) -> None:
 
     schema = to_arrow_schema(df.schema)
     # written aside: the old files go only when the new ones are whole, so a table may replace what it reads
-    folder = f"{path.rstrip('/')}.writing-{uuid.uuid4().hex}"
-    aside = jvm.org.apache.hadoop.fs.Path(folder)
+    aside = fs.makeQualified(jvm.org.apache.hadoop.fs.Path(f"{path.rstrip('/')}.writing-{uuid.uuid4().hex}"))
+    # driver and tasks write by one name, scheme included; one that Arrow cannot write to is refused here
+    folder = aside.toString()
+    arrow_place(folder)
     fs.mkdirs(aside)
 
     def save(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyarrow import fs as arrow_fs
         from pyspark import TaskContext
 
-        files, base = (arrow_fs.FileSystem.from_uri(folder) if "://" in folder else (arrow_fs.LocalFileSystem(), folder))
+        files, base = arrow_place(folder)
         context = TaskContext.get()
         part = context.partitionId()
         # attempts write apart and the finished file is moved into place

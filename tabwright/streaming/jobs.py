@@ -138,8 +138,10 @@ def change_relay(df: DataFrame, key: str, value: str, order: str, output: str) -
         has, last = (False, None) if known is None else (True, known[0])
         rows = pd.concat(list(batches)).sort_values(order, kind="stable")
         before = rows[value].shift()
-        changed = rows[value].ne(before)
-        changed.iloc[0] = not has or rows[value].iloc[0] != last
+        # null equals null
+        changed = rows[value].ne(before) & ~(rows[value].isna() & before.isna())
+        first = rows[value].iloc[0]
+        changed.iloc[0] = not has or not (first == last or (pd.isna(first) and pd.isna(last)))
         state.update((rows[value].iloc[-1],))
         out = rows[changed.to_numpy()]
         if len(out):

@@ -131,8 +131,10 @@ def test_encoders(spark):
     assert hot.columns == ["id", "c_null", "c_a", "c_b"]
     assert [tuple(r) for r in hot.orderBy("id").collect()] == [(1, 0, 0, 1), (2, 1, 0, 0), (3, 0, 1, 0), (4, 0, 0, 1)]
     wide = spark.range(51).select(F.col("id").cast("string").alias("c"))
+    assert len(C.clean_one(wide, C.EncodeCategorical("c", "onehot")).columns) == 51
+    assert len(C.clean_one(wide, C.EncodeCategorical("c", "onehot", 51)).columns) == 51
     with pytest.raises(C.CleaningError):
-        C.clean_one(wide, C.EncodeCategorical("c", "onehot"))
+        C.clean_one(wide, C.EncodeCategorical("c", "onehot", 50))
 
 
 def test_whitelist_and_validation():

@@ -139,3 +139,38 @@ def _same(df, column, ordered, want):
     got = {r["id"]: r[column] for r in df.select("id", column).collect()}
     expect = {i: (None if pd.isna(v) else v) for i, v in zip(ordered["id"], want.loc[ordered.index])}
     return got == expect and not any(isinstance(v, float) and math.isnan(v) for v in got.values() if v is not None)
+
+
+def test_ranges_follow_from_the_rows_alone(spark, monkeypatch):
+    """A map task that runs again deals its rows to the same ranges: the row number counts a written table."""
+    import re
+
+    df = spark.range(4000).repartition(7).withColumn("k", F.col("id") % 3).withColumn("v", F.lit(1))
+    seen = []
+    cut = layout.cut_lineage
+
+    def watched(d):
+        seen.append(d._jdf.queryExecution().optimizedPlan().toString())
+        return cut(d)
+
+    monkeypatch.setattr(layout, "cut_lineage", watched)
+    out = layout.running_sums(df, {"n": "v"}, ["k"], target_rows=500)
+    assert sorted(r["n"] for r in out.collect()) == list(range(1, 4001))
+    ranged = [p for p in seen if "RepartitionByExpression" in p and "__row" in p]
+    assert ranged and all("monotonically_increasing_id" in p and not re.search(r"Repartition 7", p) for p in ranged)
+
+
+def test_scratch_scope_deletes_what_it_wrote(spark):
+    import os
+
+    from tabwright import session
+
+    kept = session.cut_lineage(spark.range(3))
+    with session.scratch_scope(spark):
+        inner = session.cut_lineage(spark.range(5))
+        path = inner.inputFiles()[0].removeprefix("file://")
+        assert inner.count() == 5 and os.path.exists(path)
+        with session.scratch_scope(spark):
+            session.cut_lineage(spark.range(2))
+        assert os.path.exists(path)
+    assert not os.path.exists(path) and kept.count() == 3

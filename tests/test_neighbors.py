@@ -42,3 +42,63 @@ def test_every_query_gets_its_neighbours(spark):
     q = spark.range(200).select(F.col("id").alias("q"), (F.col("id") / 4).alias("x"))
     counts = nearest(q, t, ["x"], 3, "q", "t", "y").groupBy("query_id").count().select("count").distinct().collect()
     assert [r[0] for r in counts] == [3]
+
+
+def wide(seed, n, columns=50, inner=6):
+    """Points that vary in a few directions, as feature rows do, spread over many columns."""
+    rng = np.random.default_rng(7)
+    basis = rng.normal(size=(inner, columns))
+    rng = np.random.default_rng(seed)
+    return rng.normal(size=(n, inner)) @ basis + rng.normal(size=(n, columns)) * 0.1
+
+
+def vectors(spark, x, key):
+    rows = [(i, *map(float, v)) for i, v in enumerate(x)]
+    names = [f"c{i}" for i in range(x.shape[1])]
+    return spark.createDataFrame(rows, f"{key} long, " + ", ".join(f"{n} double" for n in names)), names
+
+
+def test_hashed_search_finds_most_neighbours_of_wide_rows(spark, monkeypatch):
+    from tabwright.operators import neighbors as N
+
+    t, names = vectors(spark, wide(1, 4000), "t")
+    q, _ = vectors(spark, wide(2, 150), "q")
+    t = t.withColumn("y", F.col("t") % 3)
+    routed = []
+    cut = N.cut_lineage
+
+    def seen(df):
+        out = cut(df)
+        if "query_id" in df.columns and "bucket" in df.columns:
+            routed.append(out.count())
+        return out
+
+    monkeypatch.setattr(N, "cut_lineage", seen)
+    out = N.nearest_hashed(q.repartition(3), t.repartition(4), names, 5, "q", "t", "y", bucket_rows=250, block_rows=200)
+    exact = nearest(q, t, names, 5, "q", "t", "y")
+    assert N.recall(out, exact) >= 0.9
+    assert routed[0] < 150 * 50
+    got = out.collect()
+    assert {(r["query_id"], r["train_id"]) for r in got} == {(r["query_id"], r["train_id"]) for r in N.nearest_hashed(q, t, names, 5, "q", "t", "y", bucket_rows=250).collect()}
+    # distances and their order are exact
+    true = {(r["query_id"], r["train_id"]): r["distance"] for r in exact.collect()}
+    assert all(true.get((r["query_id"], r["train_id"]), r["distance"]) == r["distance"] for r in got)
+    assert all(r["payload"] == r["train_id"] % 3 for r in got) and len(got) == 150 * 5
+
+
+def test_hashed_search_of_few_rows_and_hot_points_is_exact(spark):
+    from tabwright.operators.neighbors import nearest_hashed, recall
+
+    x = np.round(wide(3, 300, 12), 1)
+    x[:120] = x[0]
+    t, names = vectors(spark, x, "t")
+    asked = np.vstack([x[:1], x[200:220], wide(4, 20, 12) * 50])
+    q, _ = vectors(spark, asked, "q")
+    t = t.withColumn("y", F.lit(1))
+    exact = nearest(q, t, names, 7, "q", "t", "y")
+    # one bucket, then buckets that hold fewer than k rows and send their queries to the exact search
+    assert recall(nearest_hashed(q, t, names, 7, "q", "t", "y"), exact) == 1.0
+    small = nearest_hashed(q, t, names, 7, "q", "t", "y", tables=1, probes=1, bucket_rows=2)
+    assert small.groupBy("query_id").count().filter("count <> 7").isEmpty() and recall(small, exact) > 0.3
+    with pytest.raises(ValueError):
+        nearest_hashed(q, t.filter("false"), names, 1, "q", "t", "y")

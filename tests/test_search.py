@@ -109,3 +109,76 @@ def test_scoring_after_observed_metrics(spark, passengers, problem, name):
     data = S.TrainingSet.prepare(passengers, target, ["id"], ["sex", "alone"], problem, 2, 42)
     params = S.draw_params(problem, name, 0, space=spaces(problem, [name])[name])
     assert S.train_single(data, name, params).bundle.score(passengers).count() == 240
+
+
+def test_a_fit_longer_than_the_budget_is_cancelled(spark, passengers, monkeypatch):
+    import time
+
+    real, seen = S.cv_score, []
+
+    def slow(data, folds, name, params):
+        seen.append(name)
+        # a job of minutes, in many short tasks
+        wait = F.udf(lambda i: time.sleep(0.5) or i, "long")
+        spark.range(0, 2000, 1, 2000).select(wait("id").alias("i")).agg(F.sum("i")).collect()
+        return real(data, folds, name, params)
+
+    monkeypatch.setattr(S, "cv_score", slow)
+    data = S.TrainingSet.prepare(passengers, "survived", ["id"], FEATURES, CLASSIFICATION, 2, 42)
+    begin = time.time()
+    out = S._search_one(data, [], "decision_tree", 3, 3.0, 1, None, True, 0.0)
+    assert time.time() - begin < 30
+    assert out.stopped == 1 and out.trials == 1 and "stopped after" in out.error and seen == ["decision_tree"]
+    # the session goes on
+    assert spark.range(10).count() == 10
+
+
+def test_errors_inside_the_limit_stay_themselves(spark):
+    with pytest.raises(ZeroDivisionError), S.time_limit(spark.sparkContext, 100):
+        1 / 0  # noqa: B018
+
+
+def test_guided_search_is_seeded_and_no_worse_than_random():
+    space = {"rate": Space("log", 1e-4, 1.0), "depth": Space("int", 2, 20), "kind": Space("choice", options=("a", "b", "c")), "share": Space("float", 0, 1)}
+
+    def score(p):
+        import math
+
+        return -abs(math.log10(p["rate"]) + 2) - abs(p["depth"] - 15) / 6 - 2 * (p["kind"] != "b") - 2 * abs(p["share"] - 0.3)
+
+    def best(guided, seed, n=30):
+        seen = []
+        for t in range(n):
+            import random
+
+            p = S.guided_params(space, seen, f"{seed}-{t}") if guided else {k: s.draw(random.Random(f"{seed}-{t}-{k}")) for k, s in space.items()}
+            assert 1e-4 <= p["rate"] <= 1 and 2 <= p["depth"] <= 20 and isinstance(p["depth"], int) and 0 <= p["share"] <= 1
+            seen.append((p, score(p)))
+        return max(s for _, s in seen)
+
+    assert best(True, 3) == best(True, 3)
+    guided, blind = [best(True, s) for s in range(25)], [best(False, s) for s in range(25)]
+    assert sum(guided) / 25 > sum(blind) / 25 + 0.2
+    assert sum(g >= b for g, b in zip(guided, blind, strict=True)) >= 18
+
+
+def test_rings_need_the_kernel(spark, tmp_path):
+    import math
+
+    from pyspark.ml.classification import LinearSVC
+    from pyspark.ml.functions import array_to_vector
+
+    from tabwright.operators.kernel import KernelSvm, KernelSvmModel
+    from tabwright.operators.models import Shape
+
+    a = F.col("id") * (2 * math.pi / 97)
+    r = F.when(F.col("id") % 2 == 0, 1.0).otherwise(2.5) + F.col("id") % 7 / 20
+    df = spark.range(700).select("id", array_to_vector(F.array(r * F.cos(a), r * F.sin(a))).alias("features"), (F.col("id") % 2).cast("double").alias("label"))
+
+    def share(model):
+        return model.transform(df).agg(F.avg((F.col("prediction") == F.col("label")).cast("double"))).first()[0]
+
+    model = KernelSvm(1.0, Shape(700, 2)).fit(df)
+    assert share(model) >= 0.95 and share(LinearSVC().fit(df)) < 0.6
+    model.save(str(tmp_path / "k"))
+    assert share(KernelSvmModel.load(spark, str(tmp_path / "k"))) == share(model)
