@@ -180,7 +180,8 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, block: int
     v = F.col("v")
     fine = F.col("vec_id").isNotNull() & (F.size(v) > 0) & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(v, lambda x: x != 0)
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("v"))
-    marked = rows.select("vec_id", "v", F.coalesce(fine, F.lit(False)).alias("fine"), F.xxhash64("v").alias("h1"), F.xxhash64("v", F.lit(1)).alias("h2"))
+    # the number before the vector seeds its hash, so that the two have nothing to do with each other
+    marked = rows.select("vec_id", "v", F.coalesce(fine, F.lit(False)).alias("fine"), F.xxhash64("v").alias("h1"), F.xxhash64(F.lit(1), "v").alias("h2"))
     classes = marked.where("fine").groupBy("h1", "h2").agg(F.min("vec_id").alias("id"), F.count("*").alias("n"), F.first("v").alias("v"))
     classes = cut_lineage(classes)
     size = classes.agg(F.count("*").alias("n"), F.max(F.size("v")).alias("width")).first()

@@ -31,6 +31,8 @@ MOST_BITS = 40
 SHINGLE, PERCENT = 5, 80
 #: Buckets up to this size are joined to pairs; larger ones are cut into tiles of about ``TILE`` members.
 PAIR_BUCKET, TILE, COLUMNS = 24, 256, 4096
+#: Links are confirmed under other word hashes than those that proposed them.
+PROOF = 2
 
 _SEEDS = mix(np.arange(1, 2 * BINS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
@@ -55,6 +57,13 @@ def shingle_sets(texts: Texts, k: int) -> tuple[np.ndarray, np.ndarray]:
     return grams, np.searchsorted(doc, np.arange(len(n) + 1))
 
 
+def _set_sums(grams: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """One number for each set, whatever the order of its elements."""
+    sums = np.zeros(len(grams) + 1, np.uint64)
+    np.cumsum(mix(grams ^ np.uint64(0xA5A5)), out=sums[1:])
+    return (sums[first[1:]] - sums[first[:-1]]).view(np.int64)
+
+
 def sketches(grams: np.ndarray, first: np.ndarray) -> np.ndarray:
     """The sketch of each non-empty set: (sets, BINS) of 64-bit values."""
     sizes = np.diff(first)
@@ -83,12 +92,12 @@ def sketches(grams: np.ndarray, first: np.ndarray) -> np.ndarray:
 def _signatures(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
-            grams, first = shingle_sets(Texts(batch.column("text"), lower=True), k)
+            texts = Texts(batch.column("text"), lower=True)
+            grams, first = shingle_sets(texts, k)
             n = np.diff(first)
-            sums = np.zeros(len(grams) + 1, np.uint64)
-            np.cumsum(mix(grams ^ np.uint64(0xA5A5)), out=sums[1:])
-            more = np.zeros(len(grams) + 1, np.uint64)
-            np.cumsum(mix(grams ^ np.uint64(0x5A5A)), out=more[1:])
+            # a set's name is 128 bits from two sets of word hashes that have nothing to do with each other
+            sums = _set_sums(grams, first)
+            more = _set_sums(*shingle_sets(texts.seeded(1), k))
             sketch = sketches(grams, first)
             odd = (mix(sketch) & np.uint64(1)).astype(np.uint8)
             bits = np.packbits(odd, axis=1).view(np.int64).reshape(len(n), 2)
@@ -103,8 +112,8 @@ def _signatures(k: int):
                     batch.column("doc_id"),
                     batch.column("text_hash"),
                     pa.array(n.astype(np.int64)),
-                    pa.array((sums[first[1:]] - sums[first[:-1]]).view(np.int64)),
-                    pa.array((more[first[1:]] - more[first[:-1]]).view(np.int64)),
+                    pa.array(sums),
+                    pa.array(more),
                     pa.array(bits[:, 0].copy()),
                     pa.array(bits[:, 1].copy()),
                     pa.ListArray.from_arrays(at, rows),
@@ -125,8 +134,8 @@ def _verify(k: int, percent: int):
         for batch in slices(batches, "text"):
             hubs, ids = batch.column("a").to_numpy(), batch.column("b").to_numpy()
             turn = np.flatnonzero(np.r_[True, hubs[1:] != hubs[:-1]])
-            left, left_at = shingle_sets(Texts(batch.column("a_text").take(pa.array(turn)), lower=True), k)
-            right, right_at = shingle_sets(Texts(batch.column("text"), lower=True), k)
+            left, left_at = shingle_sets(Texts(batch.column("a_text").take(pa.array(turn)), lower=True, seed=PROOF), k)
+            right, right_at = shingle_sets(Texts(batch.column("text"), lower=True, seed=PROOF), k)
             of = np.repeat(np.arange(len(turn)), np.diff(np.r_[turn, len(hubs)]))
             good = np.zeros(len(ids), bool)
             for i in range(len(ids)):
@@ -181,7 +190,7 @@ def _tile_links(k: int, percent: int):
         sides = []
         for tile in (i, j):
             side = rows.filter(pa.array(tiles == tile))
-            sets = shingle_sets(Texts(side.column("text").combine_chunks(), lower=True), k)
+            sets = shingle_sets(Texts(side.column("text").combine_chunks(), lower=True, seed=PROOF), k)
             sides.append((side.column("g").to_numpy(), *sets))
         (gx, left, left_at), (gy, right, right_at) = sides
         both = _intersections(left, left_at, right, right_at).astype(np.int64)
@@ -227,7 +236,7 @@ def near_duplicates(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -
         F.min(F.struct("doc_id", "text_hash")).alias("least"), F.first("n_shingles").alias("n"), F.first("bits_a").alias("bits_a"), F.first("bits_b").alias("bits_b"), F.first("bands").alias("bands")
     )
     classes = cut_lineage(classes.select("*", "least.*").drop("least").withColumn("id", F.monotonically_increasing_id()))
-    members = classes.select("id", "n", "bits_a", "bits_b", F.explode("bands").alias("band")).distinct()
+    members = classes.select("id", "n", "bits_a", "bits_b", F.explode("bands").alias("band"))
     lead = members.groupBy("band").agg(F.min(F.struct("id", "n", "bits_a", "bits_b")).alias("x"), F.count("*").alias("c")).where("c > 1")
     buckets = cut_lineage(members.join(lead, "band").select("band", "x", F.struct("id", "n", "bits_a", "bits_b").alias("y")))
     # first every member against the smallest member of its buckets

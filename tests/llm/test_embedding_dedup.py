@@ -63,3 +63,15 @@ def test_error_bounds_hold_and_settle_most_pairs():
     rounded = q[0] * q[1][:, None]
     assert (np.abs(u @ u.T - rounded @ rounded.T) <= q[2][:, None] + (1 + q[2][:, None]) * q[2][None]).all()
     assert exact < 0.05 * len(u) ** 2
+
+
+def test_the_two_names_of_a_class_are_independent(spark):
+    """A hash that takes the other as its seed would be a function of it."""
+    import inspect
+
+    from pyspark.sql import functions as F
+
+    assert 'F.xxhash64(F.lit(1), "v")' in inspect.getsource(E.near_duplicates)
+    row = spark.createDataFrame([([1.0, 2.0],)], "v array<double>").select(F.xxhash64("v").alias("a"), F.xxhash64("v", F.lit(1)).alias("b"), F.xxhash64(F.lit(1), "v").alias("c")).first()
+    from_a = spark.range(1).select(F.xxhash64(F.lit(1)).alias("x")).first()
+    assert len({row.a, row.b, row.c, from_a.x}) == 4

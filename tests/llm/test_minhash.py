@@ -4,7 +4,7 @@ import re
 import numpy as np
 import pyarrow as pa
 import pytest
-from cases import awkward, documents
+from cases import awkward, documents, thue_morse
 
 from tabwright.llm import minhash as M
 from tabwright.llm.common import Texts
@@ -97,3 +97,13 @@ def test_texts_under_one_repeated_id_keep_their_links(spark):
         rows = [(5, shared, "en", "s"), (5, other, "en", "s"), (7, shared, "en", "s"), (9, shared + " end", "en", "s"), (11, other + " end", "en", "s")]
         got = {r.doc_id: r.component_id for r in M.near_duplicates(documents(spark, rows)).collect()}
         assert got == {5: 5, 7: 5, 9: 5, 11: 5}
+
+
+def test_patterned_words_do_not_meet(spark):
+    """Thue-Morse words, whose hashes by sums of powers are equal, and runs of words in that pattern."""
+    one, two = thue_morse(10)
+    rows = [(1, one, "en", "s"), (2, two, "en", "s"), (3, " ".join(one), "en", "s"), (4, " ".join(two), "en", "s")]
+    rows += [(5, f"{one} a b c", "en", "s"), (6, f"{two} a b c", "en", "s")]
+    got = M.near_duplicates(documents(spark, rows), 4).collect()
+    assert sorted(map(tuple, got), key=repr) == brute(rows, 4)
+    assert all(r.kept for r in got if r.doc_id in (1, 2, 5, 6))
