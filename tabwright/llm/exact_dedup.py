@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabwright.llm.common import slices, table
+from tabwright.llm.common import fresh, slices, table
 from tabwright.session import cut_lineage
 
 #: Bytes of distinct content that one table may hold.
@@ -147,8 +147,8 @@ def groups(docs: DataFrame, limit: int = TABLE_BYTES) -> DataFrame:
         shift += FAN.bit_length() - 1
 
 
-def _hashed(docs: DataFrame) -> DataFrame:
-    return docs.withColumn("__sha", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256))
+def _hashed(docs: DataFrame, name: str) -> DataFrame:
+    return docs.withColumn(name, F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256))
 
 
 def exact_dedup(docs: DataFrame, limit: int = TABLE_BYTES) -> DataFrame:
@@ -157,20 +157,20 @@ def exact_dedup(docs: DataFrame, limit: int = TABLE_BYTES) -> DataFrame:
     Null counts as the empty text. Of equal texts the largest doc_id stays; a group without any doc_id has
     a null keep_id and its rows stay. Further columns of ``docs`` play no part.
     """
-    found = groups(docs, limit).withColumnRenamed("text_sha256", "__sha")
-    joined = _hashed(docs.select("doc_id", "text")).drop("text").join(found, "__sha")
+    joined = _hashed(docs.select("doc_id", "text"), "text_sha256").drop("text").join(groups(docs, limit), "text_sha256")
     kept = F.col("doc_id").eqNullSafe(F.col("keep_id"))
-    return joined.select("doc_id", "keep_id", "group_size", kept.alias("kept"), F.col("__sha").alias("text_sha256"))
+    return joined.select("doc_id", "keep_id", "group_size", kept.alias("kept"), "text_sha256")
 
 
 def keep_one(docs: DataFrame, limit: int = TABLE_BYTES) -> DataFrame:
     """The documents that stay, with all their columns; of fully repeated (doc_id, text) rows one stays."""
-    found = groups(docs, limit).select(F.col("text_sha256").alias("__sha"), F.col("keep_id").alias("__keep"), F.col("keep_rows").alias("__rows"))
+    sha, keep, rows = fresh(docs, "text_sha256", "keep_id", "keep_rows")
+    found = groups(docs, limit).select(F.col("text_sha256").alias(sha), F.col("keep_id").alias(keep), F.col("keep_rows").alias(rows))
     found = cut_lineage(found)
-    joined = _hashed(docs).join(found, "__sha").where(F.col("doc_id").eqNullSafe(F.col("__keep")))
+    joined = _hashed(docs, sha).join(found, sha).where(F.col("doc_id").eqNullSafe(F.col(keep)))
     # only rows that are repeated in full are shuffled once more
-    many = joined.where(F.col("__rows") > 1).dropDuplicates(["doc_id", "__sha"])
-    return joined.where(F.col("__rows") == 1).unionByName(many).select(*docs.columns)
+    many = joined.where(F.col(rows) > 1).dropDuplicates(["doc_id", sha])
+    return joined.where(F.col(rows) == 1).unionByName(many).select(*docs.columns)
 
 
 def op3_exact_dedup(spark, sf_dir: str) -> DataFrame:

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
-from tabwright.llm.common import SLICE_BYTES, table, text_bytes
+from tabwright.llm.common import SLICE_BYTES, fresh, table, text_bytes
 
 WINDOW = 256
 WIDTHS, FILTERS, DIM = (2, 3, 4), 12, 8
@@ -283,8 +283,9 @@ def keep_known(docs: DataFrame, net: ByteNet | None = None, pairs: Pairs | None
         if net is not None:
             held = _windows_of(docs.where(held_out(F.col("doc_id"))), SAMPLE_TEXTS)
             pairs = Pairs(net.langs, rows).fence(net, held)
-    scored = docs.withColumn("__p", predict(F.col("text"), net, pairs))
-    return scored.where(F.col("__p.lang_pred") != UNKNOWN).select(*docs.columns)
+    (p,) = fresh(docs, "prediction")
+    scored = docs.withColumn(p, predict(F.col("text"), net, pairs))
+    return scored.where(F.col(p)["lang_pred"] != UNKNOWN).select(*docs.columns)
 
 
 def op1_language_id(spark, sf_dir: str) -> DataFrame:

@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tabwright.llm.common import WORD, table
+from tabwright.llm.common import WORD, fresh, table
 from tabwright.session import cut_lineage
 
 #: Fixed values of the mix: weights repeat along the ordered sources.
@@ -36,8 +36,8 @@ def _drawn(docs: DataFrame, labels: DataFrame | None, rows: int) -> DataFrame:
         rated = labels.where("quality is not null").groupBy(F.col("doc_id").alias("__id")).agg(F.max("quality").alias("__quality"))
         out = out.join(rated, out.doc_id == rated["__id"], "left")
         weight = F.when(F.col("__quality") == 1, GOOD).when(F.col("__quality") == 0, BAD).otherwise(PLAIN)
-    # 52 bits of the id's digest, never 0
-    digits = F.substring(F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), 1, 13)
+    # 52 bits of the id's digest, never 0; rows without an id draw by their text, so that no bucket holds them all
+    digits = F.substring(F.md5(F.coalesce("doc_id", "text_hash").cast("string")), 1, 13)
     u = (F.conv(digits, 16, 10).cast("double") + 0.5) / float(1 << 52)
     out = out.withColumn("key", -F.log(u) / weight)
     buckets = -(-rows // BUCKET_ROWS) or 1
@@ -80,7 +80,7 @@ def plan(docs: DataFrame, labels: DataFrame | None = None) -> DataFrame:
     """One row per document: doc_id, source, size, source_size, target, taken, text_hash.
 
     ``size`` counts words, null texts have none. ``taken`` counts the words the mix takes of the document,
-    repeats included. Rows without doc_id share one key. Rows repeated in full may be taken differently.
+    repeats included. Rows without doc_id draw by their text. Rows repeated in full may be taken differently.
     """
     drawn = cut_lineage(_drawn(docs, labels, docs.count()))
     sums = cut_lineage(drawn.groupBy("source", "bucket").agg(F.sum("size").alias("n")))
@@ -110,10 +110,11 @@ def mix(docs: DataFrame, labels: DataFrame | None = None) -> DataFrame:
 
     The document at the edge of a budget comes whole if half of it or more is taken, else not.
     """
-    chosen = plan(docs, labels).where("taken > 0").groupBy(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"))
-    chosen = chosen.agg(F.max(F.round(F.col("taken") / F.col("size"))).cast("int").alias("__times")).where("__times > 0")
-    same = docs.doc_id.cast("long").eqNullSafe(chosen["__id"]) & (F.xxhash64(docs.text, docs.source) == chosen["__hash"])
-    return docs.join(chosen, same).withColumn("__n", F.explode(F.sequence(F.lit(1), "__times"))).select(*docs.columns)
+    name, code, times, n = fresh(docs, "mix_id", "mix_hash", "mix_times", "mix_n")
+    chosen = plan(docs, labels).where("taken > 0").groupBy(F.col("doc_id").alias(name), F.col("text_hash").alias(code))
+    chosen = chosen.agg(F.max(F.round(F.col("taken") / F.col("size"))).cast("int").alias(times)).where(F.col(times) > 0)
+    same = docs.doc_id.cast("long").eqNullSafe(chosen[name]) & (F.xxhash64(docs.text, docs.source) == chosen[code])
+    return docs.join(chosen, same).withColumn(n, F.explode(F.sequence(F.lit(1), times))).select(*docs.columns)
 
 
 def op4_source_mix(spark, sf_dir: str) -> DataFrame:

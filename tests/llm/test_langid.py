@@ -93,3 +93,40 @@ def test_stage_rejects_what_is_in_no_learned_language(spark):
     for parts in (1, 5):
         kept = {r.doc_id for r in L.keep_known(documents(spark, rows).repartition(parts)).collect()}
         assert kept == set(range(600)) | {2000}
+
+
+def plain_prediction(net, text):
+    """One window, one filter and one place after the other."""
+    raw = text.encode()
+    total, weight = np.zeros(len(net.langs)), 0
+    for at in range(0, len(raw), L.WINDOW):
+        piece = raw[at : at + L.WINDOW]
+        symbols = [*piece, *[L.PAD] * (L.WINDOW - len(piece))]
+        h = []
+        for w in L.WIDTHS:
+            for f in range(L.FILTERS):
+                best = -np.inf
+                for place in range(L.WINDOW - w + 1):
+                    patch = np.concatenate([net.p["emb"][s] for s in symbols[place : place + w]])
+                    best = max(best, float(patch @ net.p[f"w{w}"][:, f]))
+                h.append(max(best, 0.0))
+        z = [sum(x * net.p["out"][i, k] for i, x in enumerate(h)) + net.p["bias"][k] for k in range(len(net.langs))]
+        top = max(z)
+        norm = top + np.log(sum(np.exp(v - top) for v in z))
+        total += np.array([v - norm for v in z]) * len(piece)
+        weight += len(piece)
+    mean = np.exp(total / weight)
+    mean /= mean.sum()
+    return net.langs[int(mean.argmax())], float(mean.max())
+
+
+def test_predictions_equal_plain_loops(spark, monkeypatch):
+    monkeypatch.setattr(L, "FILTERS", 5)
+    net = L.ByteNet(["aa", "bb", "cc"], seed=3)
+    net.p["out"] *= 20
+    rows = [(i, t, None, "s") for i, t in enumerate(["ka to", "x", "zö" * 200, "eau " * 70 + "q", "!" * 256 + "a", "b" * 256])] + [(90, "12 !", None, None), (91, None, None, None)]
+    got = {r.doc_id: (r.lang_pred, r.score) for r in L.identify(documents(spark, rows).repartition(3), net).collect()}
+    assert got.pop(90) == got.pop(91) == ("und", 0.0)
+    for i, t, *_ in rows[:6]:
+        lang, score = plain_prediction(net, t)
+        assert got[i][0] == lang and got[i][1] == pytest.approx(score, abs=1e-4)
