@@ -17,6 +17,7 @@ from tabwright.operators.cleaning import Dictionary, category_index, look_up
 MAX_ONEHOT = 50
 MISSING = "MISSING"
 FOLDS = 5
+FEW_LABELS = 32
 #: Rows of one label that a fold bucket holds.
 BUCKET_ROWS = 50_000
 TEST_PERCENT = 20
@@ -203,6 +204,11 @@ class TargetLabels:
     labels: tuple[Any, ...]
 
     def encode(self, df: DataFrame, column: str, into: str) -> DataFrame:
+        """Add the class number; many labels are looked up in a table, which Spark hashes, not searched in a list."""
+        if len(self.labels) > FEW_LABELS:
+            kind = T.StructType([T.StructField("__label", df.schema[column].dataType), T.StructField(into, T.DoubleType())])
+            book = df.sparkSession.createDataFrame([(v, float(i)) for i, v in enumerate(self.labels)], kind)
+            return df.join(book, F.col(column) == F.col("__label"), "left").select(*df.columns, into)
         at = F.array_position(F.array(*[F.lit(v) for v in self.labels]), F.col(column))
         return df.withColumn(into, F.when(at > 0, (at - 1).cast("double")))
 

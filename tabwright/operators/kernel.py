@@ -65,6 +65,8 @@ class KernelSvm:
         self.c, self.shape, self.features, self.gamma, self.iterations = c, shape, features, gamma, iterations
 
     def fit(self, df: DataFrame) -> KernelSvmModel:
+        from tabwright.operators.models import without_summary
+
         gamma = self.gamma or scale_gamma(df)
         width = len(df.select(vector_to_array("features").alias("x")).first()["x"])
         w, b = spectrum(width, gamma, self.features, self.shape.seed)
@@ -72,7 +74,7 @@ class KernelSvm:
         if self.shape.classes > 2:
             svc = MC.OneVsRest(classifier=svc, featuresCol=_MAPPED)
         mapped = df.select(array_to_vector(fourier(vector_to_array("features"), w, b)).alias(_MAPPED), "label")
-        return KernelSvmModel(w, b, svc.fit(mapped))
+        return KernelSvmModel(w, b, without_summary(svc.fit(mapped)))
 
 
 class KernelSvmModel:

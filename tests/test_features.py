@@ -97,3 +97,12 @@ def test_metric_edges(spark):
     assert got["r2"] is None and got["mae"] == 0.5
     with pytest.raises(ValueError):
         M.compare_models(one_class, [1], "y")
+
+
+def test_many_labels_are_looked_up(spark):
+    df = spark.range(300).select(F.col("id"), F.format_string("l%03d", F.col("id") % 150).alias("y"), F.lit(None).cast("string").alias("z"))
+    labels = X.target_labels(df, "y")
+    got = labels.encode(df, "y", "label")
+    assert got.columns == ["id", "y", "z", "label"] and got.filter(F.col("label") == F.col("id") % 150).count() == 300
+    assert labels.encode(df, "z", "label").filter("label is null").count() == 300
+    assert got.select(labels.decode(F.col("label")).alias("back"), "y").filter("back = y").count() == 300

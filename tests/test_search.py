@@ -169,7 +169,7 @@ def test_rings_need_the_kernel(spark, tmp_path):
     from pyspark.ml.functions import array_to_vector
 
     from tabwright.operators.kernel import KernelSvm, KernelSvmModel
-    from tabwright.operators.models import Shape
+    from tabwright.operators.models import Shape, without_summary
 
     a = F.col("id") * (2 * math.pi / 97)
     r = F.when(F.col("id") % 2 == 0, 1.0).otherwise(2.5) + F.col("id") % 7 / 20
@@ -179,6 +179,6 @@ def test_rings_need_the_kernel(spark, tmp_path):
         return model.transform(df).agg(F.avg((F.col("prediction") == F.col("label")).cast("double"))).first()[0]
 
     model = KernelSvm(1.0, Shape(700, 2)).fit(df)
-    assert share(model) >= 0.95 and share(LinearSVC().fit(df)) < 0.6
+    assert share(model) >= 0.95 and share(without_summary(LinearSVC().fit(df))) < 0.6
     model.save(str(tmp_path / "k"))
     assert share(KernelSvmModel.load(spark, str(tmp_path / "k"))) == share(model)
