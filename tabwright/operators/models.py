@@ -19,6 +19,8 @@ from tabwright.operators.kernel import KernelSvm
 
 CLASSIFICATION, REGRESSION = "classification", "regression"
 MAX_BUDGET_MINUTES = 60
+#: Splits between up to so many values of a feature are exact in Spark's trees.
+TREE_BINS = 128
 
 
 @dataclass(frozen=True)
@@ -83,14 +85,14 @@ class ModelSpec:
 
 
 def _tree_args(p: dict, shape: Shape) -> dict:
-    out = {"maxDepth": p["max_depth"], "seed": shape.seed}
+    out = {"maxDepth": p["max_depth"], "maxBins": TREE_BINS, "seed": shape.seed}
     if "min_samples_leaf" in p:
         out["minInstancesPerNode"] = p["min_samples_leaf"]
     return out
 
 
 def _boosted(p: dict, shape: Shape, classify: bool):
-    args = {"maxIter": p["n_estimators"], "stepSize": p["learning_rate"], "maxDepth": p["max_depth"], "seed": shape.seed}
+    args = {"maxIter": p["n_estimators"], "stepSize": p["learning_rate"], "maxDepth": p["max_depth"], "maxBins": TREE_BINS, "seed": shape.seed}
     if not classify:
         return MR.GBTRegressor(**args)
     one = MC.GBTClassifier(**args)
