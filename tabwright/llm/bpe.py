@@ -25,9 +25,9 @@ from tabwright.llm.common import slices, table
 from tabwright.llm.pieces import SLICE_BYTES, Cutter, SliceEncoder, gather, rank_file_classes
 
 #: A memory of pieces is begun anew beyond so many entries, that of moves and seams beyond this many: about 400 MB in
-#: a worker. ``SMALL`` takes 250 MB where a worker also has other things to hold.
+#: a worker. ``SMALL`` takes 150 MB where a worker also has other things to hold.
 WORDS, MOVES = 400_000, 1_000_000
-SMALL = (200_000, 600_000)
+SMALL = (100_000, 200_000)
 
 
 def read_ranks(raw: bytes) -> dict[bytes, int]:
@@ -233,7 +233,8 @@ def _run(spark, path: str, pattern: str, with_ids: bool, memory: tuple[int, int]
             held["tokens"] = pa.array(tokens, pa.large_binary())
             held["decimal"] = pa.array([b"%d," % i for i in range(len(tokens))], pa.large_binary())
         encoder = held["encoder"]
-        for batch in slices(batches, "text", SLICE_BYTES):
+        # with little memory slices are small too
+        for batch in slices(batches, "text", min(SLICE_BYTES, 10 * memory[0])):
             ids, at = encoder.encode_column(batch.column("text"))
             digits, digit_at = gather(held["decimal"], ids, at)
             raw, raw_at = gather(held["tokens"], ids, at)
@@ -254,6 +255,9 @@ def _run(spark, path: str, pattern: str, with_ids: bool, memory: tuple[int, int]
             if with_ids:
                 columns["ids"] = pa.LargeListArray.from_arrays(at, pa.array(ids)).cast(pa.list_(pa.int32()))
             yield pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
+            # give back what Arrow keeps of a slice, as workers of several stages share an executor's memory
+            del ids, digits, raw, columns
+            pa.default_memory_pool().release_unused()
 
     return run
 
