@@ -102,3 +102,36 @@ def test_hashed_search_of_few_rows_and_hot_points_is_exact(spark):
     assert small.groupBy("query_id").count().filter("count <> 7").isEmpty() and recall(small, exact) > 0.3
     with pytest.raises(ValueError):
         nearest_hashed(q, t.filter("false"), names, 1, "q", "t", "y")
+
+
+def test_cells_grow_in_number_not_in_size(spark):
+    """A query is compared with a few cells, and a cell does not grow with the table."""
+    from tabwright.operators import neighbors as N
+
+    assert N.CELL_ROWS <= 2000
+    n = 12 * N.CELL_ROWS
+    t = spark.range(n).select("id", (F.rand(3) * 10).alias("a"), (F.rand(4) * 10).alias("b"), (F.col("id") % 3).alias("y"))
+    met = spark.sparkContext.accumulator(0)
+    by_value = N._closest
+
+    def counted(d, k):
+        met.add(d.size)
+        return by_value(d, k)
+
+    N._closest = counted
+    try:
+        found = nearest(t.where("id % 20 = 0"), t, ["a", "b"], 3, "id", "id", "y")
+        rows = found.groupBy("query_id").count().collect()
+    finally:
+        N._closest = by_value
+    assert len(rows) == n // 20 and {r["count"] for r in rows} == {3}
+    # not the whole table for each query
+    assert 0 < met.value < (n // 20) * n / 2
+
+
+def test_closest_keeps_the_lower_column_on_ties():
+    from tabwright.operators.neighbors import _closest
+
+    d = np.array([[3.0, 1.0, 1.0, 1.0, 2.0], [np.inf, 5.0, np.inf, np.inf, 4.0]])
+    row, column = _closest(d, 2)
+    assert row.tolist() == [0, 0, 1, 1] and column.tolist() == [1, 2, 4, 1]
