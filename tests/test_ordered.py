@@ -100,3 +100,94 @@ def test_state_store_setting_is_put_back(spark):
         raise KeyError
     assert spark.conf.get(name, None) == before
     assert spark.range(1).select(F.lit(1)).count() == 1
+
+
+class _Store:
+    """State of one key, with a count of the calls."""
+
+    def __init__(self):
+        self.map, self.value, self.timers, self.calls = {}, None, set(), 0
+
+    def getMapState(self, *a):
+        return self
+
+    def getValueState(self, *a):
+        store = self
+
+        class Value:
+            def get(self):
+                store.calls += 1
+                return store.value
+
+            def update(self, v):
+                store.calls += 1
+                store.value = v
+
+        return Value()
+
+    def updateValue(self, k, v):
+        self.calls += 1
+        self.map[k] = v
+
+    def getValue(self, k):
+        self.calls += 1
+        return self.map[k]
+
+    def removeKey(self, k):
+        self.calls += 1
+        del self.map[k]
+
+    def registerTimer(self, t):
+        self.calls += 1
+        self.timers.add(t)
+
+
+class _At:
+    def __init__(self, t):
+        self.getExpiryTimeInMs = self.getCurrentWatermarkInMs = lambda: t
+
+
+@pytest.mark.parametrize("chunk,batches", [(20_000, 1), (7, 1), (7, 4), (1, 2)])
+def test_calls_to_the_state_follow_keys_not_buckets(chunk, batches):
+    import random
+
+    import pandas as pd
+
+    from tabwright.streaming.ordered import Changes, Presence
+
+    rng = random.Random(5)
+    rows = [(rng.randrange(300_000) * 1000, i, rng.choice("ab")) for i in range(200)]
+    whole = sorted(r for r in rows if r[0] < 290_000_000)
+    for kind in (Changes(["k"], 1000), Presence(["k"], 1000, 3_000_000)):
+        kind.chunk_rows = chunk
+        store = _Store()
+        kind.init(store)
+        got = []
+        for b in range(batches):
+            kind.handleInputRows((1,), iter([pd.DataFrame(rows[b::batches], columns=["at", "tie", "code"])]), None)
+        for mark in (100_500, 290_000):
+            while due := [t for t in store.timers if t <= mark]:
+                store.timers.remove(min(due))
+
+                class Now(_At):
+                    pass
+
+                for out in kind.handleExpiredTimer((1,), _At(mark), Now(min(due))):
+                    got += out.drop(columns="k").itertuples(index=False, name=None)
+        expected, before, value = [], None, None
+        for at, tie, code in whole:
+            if isinstance(kind, Changes):
+                if before is None or code != value:
+                    expected.append((at, tie, code))
+            else:
+                if before is not None and at - before > 3_000_000:
+                    expected.append(("offline", before + 3_000_000))
+                if before is None or at - before > 3_000_000:
+                    expected.append(("online", at))
+            before, value = at, code
+        if isinstance(kind, Presence) and before + 3_000_000 < 290_000_000 - 1_000_000:
+            expected.append(("offline", before + 3_000_000))
+        assert got == expected
+        if chunk == 20_000:
+            # about 150 buckets hold rows
+            assert store.calls < 20
