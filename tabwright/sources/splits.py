@@ -1,7 +1,7 @@
 """Text files whose records span lines, read in blocks: one large file is many tasks.
 
-Spark hands out the lines of each file block. A task joins them again and cuts them where a record ends; what lies between
-the first and the last cut of a block is whole records. The text before the first cut and after the last one is set
+Spark hands out the lines of each file block. A task joins them again, some lines at a time, and cuts them where a record
+ends, so it holds a chunk and no block; what lies between the first and the last cut of a block is whole records. The text before the first cut and after the last one is set
 together with that of the neighbouring blocks: one or two short pieces for each block.
 """
 
@@ -55,35 +55,65 @@ def _pieces(ends: dict[str, str], chunk: int):
     names = ["file", "block", "part", "closed", "text"]
     types = [pa.string(), pa.int64(), pa.int32(), pa.bool_(), pa.string()]
 
-    def cut(file: str, block: int, kind: str, lines: list[str]) -> list[tuple]:
-        text = "\n".join(lines) + "\n"
-        at = [m.end() for m in patterns[kind].finditer(text)]
-        if not at:
-            # nothing ends here: the whole block lies between two neighbours
-            return [(file, block, 2, False, text)]
-        out, begin = [(file, block, 0, True, text[: at[0]])], at[0]
-        for i, end in enumerate(at[1:]):
-            if end - begin >= chunk or i == len(at) - 2:
-                out.append((file, block, 1, True, text[begin:end]))
-                begin = end
-        return [*out, (file, block, 2, True, text[at[-1] :])]
+    class Block:
+        """The text of a block as it comes in: whole records leave once they fill a chunk."""
+
+        def __init__(self, file: str, block: int, kind: str) -> None:
+            self.place, self.kind, self.head, self.rest, self.closed = (file, block), kind, [], "", None
+
+        def add(self, text: str) -> Iterator[tuple]:
+            """Of some more whole lines; ``rest`` is what follows the last piece, ``closed`` how much of it is whole records."""
+            begin, base = 0, 0
+            if self.closed is not None:
+                base = len(self.rest)
+            ends = [base + m.end() for m in patterns[self.kind].finditer(text)]
+            if self.closed is None:
+                if not ends:
+                    self.head.append(text)
+                    return
+                yield (*self.place, 0, True, "".join(self.head) + text[: ends[0]])
+                self.head, self.closed, begin, ends = [], 0, ends[0], ends[1:]
+                whole, last = text, begin
+            else:
+                whole, last = self.rest + text, self.closed
+            for end in ends:
+                last = end
+                if end - begin >= chunk:
+                    yield (*self.place, 1, True, whole[begin:end])
+                    begin = end
+            self.rest, self.closed = whole[begin:], last - begin
+
+        def end(self) -> Iterator[tuple]:
+            if self.closed is None:
+                # nothing ends here: the whole block lies between two neighbours
+                yield (*self.place, 2, False, "".join(self.head))
+                return
+            if self.closed:
+                yield (*self.place, 1, True, self.rest[: self.closed])
+            yield (*self.place, 2, True, self.rest[self.closed :])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        here, lines = None, []
+        here = None
 
-        def rows():
-            out = cut(*here, lines)
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names)
+        def rows(found: Iterator[tuple]) -> Iterator[pa.RecordBatch]:
+            for row in found:
+                yield pa.RecordBatch.from_arrays([pa.array([c], t) for c, t in zip(row, types, strict=True)], names)
 
         for batch in batches:
-            for line, *place in zip(*(batch.column(c).to_pylist() for c in ("line", "file", "block", "kind")), strict=True):
-                if place != here:
+            lines, lo = batch.column("line").to_pylist(), 0
+            places = list(zip(*(batch.column(c).to_pylist() for c in ("file", "block", "kind")), strict=True))
+            while lo < len(lines):
+                hi = lo + 1
+                while hi < len(lines) and places[hi] == places[lo]:
+                    hi += 1
+                if here is None or (*here.place, here.kind) != places[lo]:
                     if here is not None:
-                        yield rows()
-                    here, lines = place, []
-                lines.append(line)
+                        yield from rows(here.end())
+                    here = Block(*places[lo])
+                yield from rows(here.add("\n".join(lines[lo:hi]) + "\n"))
+                lo = hi
         if here is not None:
-            yield rows()
+            yield from rows(here.end())
 
     return run
 
@@ -92,10 +122,9 @@ def record_documents(spark: SparkSession, path: str, kind: str, encoding: str =
     """``value``: texts of whole records, in which every record of the files stands once."""
     lines = file_lines(spark, path, encoding)
     if kind == "ofx":
-        # a file with closing tags ends its records by them; the join may move lines, so blocks are put in order again
+        # a file with closing tags ends its records by them; one row for each file is sent to the lines, which stay in order
         closed = lines.where(F.lower("line").contains("</stmttrn>")).select("file").distinct().withColumn("kind", F.lit("ofx"))
-        lines = lines.join(closed, "file", "left").withColumn("kind", F.coalesce("kind", F.lit("ofx_open")))
-        lines = lines.repartition("file", "block").sortWithinPartitions("file", "block", "at")
+        lines = lines.join(F.broadcast(closed), "file", "left").withColumn("kind", F.coalesce("kind", F.lit("ofx_open")))
     else:
         lines = lines.withColumn("kind", F.lit(kind))
     pieces = lines.select("line", "file", "block", "kind").mapInArrow(_pieces(ENDS, chunk), "file string, block long, part int, closed boolean, text string")

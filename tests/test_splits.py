@@ -1,6 +1,7 @@
 """Readers that cut files into blocks give the rows of the readers of whole texts."""
 
 import random
+import re
 
 import pyarrow as pa
 import pytest
@@ -128,3 +129,34 @@ def test_arrow_round_trip_by_qualified_name(spark, tmp_path):
         assert sorted(S.read_any(spark, f"{tmp_path}/{name}.arrow", "feather").collect()) == sorted(df.collect())
     with pytest.raises(Exception, match="(?i)no file|scheme|unrecognized"):
         S.write_any(df, "nosuch://x/y.arrow", "feather")
+
+
+@pytest.mark.parametrize("kind,record", [("ofx", "<STMTTRN>\n<FITID>{}\n</STMTTRN>"), ("ofx_open", "<STMTTRN>\n<FITID>{}"), ("qif", "D{}\n^"), ("ical", "BEGIN:VEVENT\nUID:{}\nEND:VEVENT")])
+@pytest.mark.parametrize("step", [1, 3, 1000])
+def test_blocks_leave_in_chunks(kind, record, step):
+    """Pieces go out while the lines of a block still come in, and do not depend on how they come in."""
+    import pyarrow as pa
+
+    from tabwright.sources import splits as X
+
+    lines = ["head", *[x for i in range(40) for x in record.format(i).split("\n")], "tail"]
+    asked = []
+
+    def batches():
+        for at in range(0, len(lines), step):
+            some = lines[at : at + step]
+            asked.append(at)
+            yield pa.RecordBatch.from_pydict({"line": some, "file": ["f"] * len(some), "block": [0] * len(some), "kind": [kind] * len(some)})
+
+    found, seen = [], []
+    for batch in X._pieces(X.ENDS, 60)(batches()):
+        found += batch.to_pylist()
+        seen.append(len(asked))
+    text = "\n".join(lines) + "\n"
+    assert "".join(r["text"] for r in found) == text
+    assert [r["part"] for r in found] == [0, *[1] * (len(found) - 2), 2] and len(found) > 4
+    cuts = [m.end() for m in re.finditer(X.ENDS[kind], text)]
+    assert found[0]["text"] == text[: cuts[0]] and found[-1]["text"] == text[cuts[-1] :]
+    assert max(len(r["text"]) for r in found[1:-1]) < 60 + 60
+    if step == 1:
+        assert seen[1] < len(asked)
