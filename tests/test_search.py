@@ -182,3 +182,33 @@ def test_rings_need_the_kernel(spark, tmp_path):
     assert share(model) >= 0.95 and share(without_summary(LinearSVC().fit(df))) < 0.6
     model.save(str(tmp_path / "k"))
     assert share(KernelSvmModel.load(spark, str(tmp_path / "k"))) == share(model)
+
+
+def test_an_estimator_gets_its_rows_in_parts(spark, monkeypatch):
+    """Few bytes in a file are many rows: parts follow the rows."""
+    from tabwright import session
+    from tabwright.operators import search as S
+    from tabwright.operators.models import registry
+
+    df = cut_lineage_of_one_file(spark)
+    assert df.rdd.getNumPartitions() == 1
+    parts = session.by_rows(df, 5000, 1000)
+    assert parts.rdd.getNumPartitions() == 5 and sorted(r[0] for r in parts.collect()) == list(range(5000))
+    assert session.by_rows(df, 900, 1000) is df
+    monkeypatch.setattr(session.by_rows, "__defaults__", (1000,))
+    got = []
+
+    class Seen:
+        def fit(self, rows):
+            got.append(rows.rdd.getNumPartitions())
+            return self
+
+    spec = registry("classification")["decision_tree"]
+    S._fit(type(spec)("x", "x", "x", {}, lambda p, s: Seen()), {}, S.Shape(5000, 2), df)
+    assert got == [5]
+
+
+def cut_lineage_of_one_file(spark):
+    from tabwright.session import cut_lineage
+
+    return cut_lineage(spark.range(0, 5000, 1, 1))
