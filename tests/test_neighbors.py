@@ -135,3 +135,10 @@ def test_closest_keeps_the_lower_column_on_ties():
     d = np.array([[3.0, 1.0, 1.0, 1.0, 2.0], [np.inf, 5.0, np.inf, np.inf, 4.0]])
     row, column = _closest(d, 2)
     assert row.tolist() == [0, 0, 1, 1] and column.tolist() == [1, 2, 4, 1]
+    nan = np.array([[np.nan, 2.0, np.nan, np.nan], [np.nan, np.inf, np.nan, np.nan]])
+    assert [a.tolist() for a in _closest(nan, 2)] == [[0], [1]]
+    assert [a.tolist() for a in _closest(nan, 2, finite=False)] == [[0, 0, 1, 1], [1, 0, 1, 0]]
+    with np.errstate(invalid="ignore"):
+        some = np.random.default_rng(2).choice([np.nan, 1.0, 2.0, 3.0], (40, 30))
+        best = np.argsort(some, axis=1, kind="stable")[:, :4]
+    assert _closest(some, 4, finite=False)[1].tolist() == best.reshape(-1).tolist()
