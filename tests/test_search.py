@@ -212,3 +212,42 @@ def cut_lineage_of_one_file(spark):
     from tabwright.session import cut_lineage
 
     return cut_lineage(spark.range(0, 5000, 1, 1))
+
+
+def test_kernel_fit_keeps_no_mapped_rows(spark, monkeypatch):
+    """Mapped rows are a hundred times as wide as the data: every step maps them anew and gets sums of tasks."""
+    import math
+
+    import numpy as np
+    import pytest
+    from pyspark.ml import classification as MC
+    from pyspark.ml.functions import array_to_vector
+
+    from tabwright.operators import kernel as K
+    from tabwright.operators.models import Shape
+
+    a, r = F.col("id") * (2 * math.pi / 97), 1.0 + F.col("id") % 3 + F.col("id") % 7 / 20
+    rows = spark.range(0, 900, 1, 5).select(array_to_vector(F.array(r * F.cos(a), r * F.sin(a))).alias("features"), (F.col("id") % 3).cast("double").alias("label"))
+    rows = rows.unionByName(rows.limit(100))  # some rows twice
+    local = rows.collect()
+    x, y = np.array([r.features.toArray() for r in local]), np.array([r.label for r in local])
+    w, b = K.spectrum(2, 0.7, K.FEATURES, 42)
+    z = K.fourier(x, w, b)
+    assert np.allclose(z, math.sqrt(2 / K.FEATURES) * np.cos(x @ w + b), atol=1e-6)
+
+    def loss(plane, shift, side):
+        return np.maximum(0, 1 - side * (z @ plane + shift)).mean() + plane @ plane / 2000
+
+    frame = spark.createDataFrame([(v.tolist(), float(k == 1)) for v, k in zip(z, y, strict=True)], "z array<double>, label double")
+    svc = MC.LinearSVC(regParam=1 / 1000, maxIter=25, standardization=False).fit(frame.select(array_to_vector("z").alias("features"), "label"))
+    fitted = []
+    for kind in (MC.LinearSVC, MC.OneVsRest):
+        monkeypatch.setattr(kind, "fit", lambda self, df, *more: fitted.append(df.columns))
+    model = K.KernelSvm(1.0, Shape(1000, 3), gamma=0.7, iterations=25).fit(rows)
+    assert not fitted and model.coefficients.shape == (3, K.FEATURES)
+    side = np.where(y == 1, 1.0, -1.0)
+    assert loss(model.coefficients[1], model.intercepts[1], side) <= 1.05 * loss(svc.coefficients.toArray(), svc.intercept, side)
+    got = [r.prediction for r in model.transform(rows).collect()]
+    assert got == (z @ model.coefficients.T + model.intercepts).argmax(1).tolist() and np.mean(np.array(got) == y) > 0.9
+    with pytest.raises(ValueError, match="finite"):
+        K.KernelSvm(1.0, Shape(1000, 2), gamma=0.7).fit(rows)
