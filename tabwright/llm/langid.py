@@ -1,9 +1,10 @@
 """Language identification by a byte convolutional network.
 
-Byte embeddings, filters of several widths, max pooling over a fixed-length window and a softmax layer are
-trained in numpy on a bounded sample of labelled texts. Every window of every text is then scored in batches
+Byte embeddings, filters of several widths, max pooling over a fixed-length window and a softmax layer start from
+weights that a bounded sample of labelled texts gives in many small steps. Then every window of every labelled text
+takes part in ``ROUNDS`` large steps, whose gradients Spark adds up. Every window of every text is scored in batches
 and a text's windows are averaged by their length. The softmax always names one of the learned languages; byte
-pairs of that language decide whether the text is in it (``Pairs``).
+pairs of that language, counted in all its texts, decide whether the text is in it (``Pairs``).
 """
 
 from __future__ import annotations
@@ -16,13 +17,17 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
-from tabwright.llm.common import SLICE_BYTES, fresh, table, text_bytes
+from tabwright.llm.common import SLICE_BYTES, fresh, slices, table, text_bytes
+from tabwright.operators.order_stats import order_statistics
+from tabwright.session import cut_lineage
 
 WINDOW = 256
 WIDTHS, FILTERS, DIM = (2, 3, 4), 12, 8
-#: At most so many texts of each language are learned from, and so many windows of each.
+#: The first weights come from at most so many texts of each language, and so many windows of each.
 SAMPLE_TEXTS, SAMPLE_WINDOWS = 600, 2
 EPOCHS, BATCH, RATE, SMOOTH = 8, 64, 0.004, 0.02
+#: Large steps over all labelled texts, each text in one of them; gradients far below ``CALM`` hardly count.
+ROUNDS, CALM = 16, 1e-4
 PAD = 256
 UNKNOWN = "und"
 #: A language with fewer held-out windows than this rejects nothing: too few to tell what is usual.
@@ -49,17 +54,19 @@ class ByteNet:
 
     def pooled(self, x: np.ndarray, where: bool = False):
         """Filter maxima of each window (never below 0), and where they are if asked."""
-        e = self.p["emb"][x]
+        # places come first, so that sums and maxima run over long rows
+        place, (k, size) = np.ascontiguousarray(x.T), x.shape
         tops, at = [], []
         for w in WIDTHS:
-            n = x.shape[1] - w + 1
-            out = e[:, :n].reshape(-1, DIM) @ self.p[f"w{w}"][:DIM]
+            n = size - w + 1
+            tables = [self.p["emb"] @ self.p[f"w{w}"][j * DIM : (j + 1) * DIM] for j in range(w)]
+            out = np.take(tables[0], place[:n], axis=0)
             for j in range(1, w):
-                out += e[:, j : j + n].reshape(-1, DIM) @ self.p[f"w{w}"][j * DIM : (j + 1) * DIM]
-            out = out.reshape(len(x), n, FILTERS)
-            tops.append(out.max(1))
+                out += np.take(tables[j], place[j : j + n], axis=0)
+            out = out.reshape(n, -1)
+            tops.append(out.max(0).reshape(k, FILTERS))
             if where:
-                at.append(out.argmax(1))
+                at.append(out.argmax(0).reshape(k, FILTERS))
         return np.maximum(np.concatenate(tops, 1), 0), at
 
     def log_probs(self, x: np.ndarray) -> np.ndarray:
@@ -124,15 +131,13 @@ def windows(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
 class Pairs:
     """Byte pairs of each language: the mean log probability of a text's bytes, and the least that is usual."""
 
-    def __init__(self, langs: list[str], rows: list[tuple[str, bytes]]):
-        counts = np.zeros((len(langs), 256, 256))
-        for lang, window in rows:
-            a = np.frombuffer(window, np.uint8)
-            np.add.at(counts[langs.index(lang)], (a[:-1], a[1:]), 1)
+    def __init__(self, counts: np.ndarray):
+        """``counts`` of each byte pair in each language."""
+        langs = len(counts)
         single = (counts.sum(1) + 0.5) / (counts.sum((1, 2)) + 128)[:, None]
         pairs = (counts + PRIOR * single[:, None]) / (counts.sum(2) + PRIOR)[:, :, None]
         self.first, self.next = np.log(single), np.log(pairs)
-        self.middle, self.least = np.zeros(len(langs)), np.full(len(langs), -np.inf)
+        self.middle, self.least = np.zeros(langs), np.full(langs, -np.inf)
 
     def familiarity(self, data: np.ndarray, offsets: np.ndarray, lang: np.ndarray) -> np.ndarray:
         """Of each text in the language given for it; texts hold a byte at least."""
@@ -150,23 +155,132 @@ class Pairs:
         found = self.familiarity(data, offsets, lang)
         return (sizes * found + USUAL * self.middle[lang]) / (sizes + USUAL) < self.least[lang]
 
-    def fence(self, net: ByteNet, rows: list[tuple[str, bytes]]) -> Pairs:
-        """Take the least familiarity from held-out windows whose language the network finds.
-
-        It lies far below the lowest hundredth, so usual texts stay however many there are.
-        """
-        if not rows:
-            return self
-        data = np.frombuffer(b"".join(w for _, w in rows), np.uint8)
-        offsets = np.cumsum([0] + [len(w) for _, w in rows])
-        best, _ = _score_slice(net, data, offsets)
-        found = self.familiarity(data, offsets, best)
-        for i, lang in enumerate(net.langs):
-            usual = found[[b == i and row[0] == lang for b, row in zip(best, rows, strict=True)]]
-            if len(usual) >= LEAST_HELD:
-                low, self.middle[i] = np.quantile(usual, [0.01, 0.5])
-                self.least[i] = low - FENCE * (self.middle[i] - low)
-        return self
+
+def fence(pairs: Pairs, net: ByteNet, held: DataFrame) -> Pairs:
+    """Take the least familiarity from all held-out windows whose language the network finds.
+
+    It lies far below the lowest hundredth, so usual texts stay however many there are.
+    """
+    found = cut_lineage(_indexed(held, net.langs).mapInArrow(_window_familiarity(net, pairs), "lang int, found double"))
+    names = [f"found{i}" for i in range(len(net.langs))]
+    wide = found.select(*[F.when(F.col("lang") == i, F.col("found")).alias(n) for i, n in enumerate(names)])
+    places = lambda n: sorted({at for q in (0.01, 0.5) for at in _around(n, q)[:2]}) if n else []
+    stats = order_statistics(wide, dict.fromkeys(names, places))
+    for i, name in enumerate(names):
+        n, values = stats[name]
+        if n >= LEAST_HELD:
+            low, pairs.middle[i] = (values[a] + share * (values[b] - values[a]) for a, b, share in (_around(n, q) for q in (0.01, 0.5)))
+            pairs.least[i] = low - FENCE * (pairs.middle[i] - low)
+    return pairs
+
+
+def _around(n: int, q: float) -> tuple[int, int, float]:
+    """The ranks around a quantile of ``n`` values, and how far it lies between them."""
+    place = q * (n - 1)
+    return int(place), min(int(place) + 1, n - 1), place - int(place)
+
+
+def labelled(docs: DataFrame) -> DataFrame:
+    """Documents with a language and letters."""
+    return docs.where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
+
+
+def _indexed(docs: DataFrame, langs: list[str]) -> DataFrame:
+    """(lang, text) of the labelled documents, the language by its number."""
+    numbers = docs.sparkSession.createDataFrame(list(enumerate(langs)), "y int, lang string")
+    return labelled(docs.select("lang", "text")).join(F.broadcast(numbers), "lang").select(F.col("y").alias("lang"), "text")
+
+
+def _window_familiarity(net: ByteNet, pairs: Pairs):
+    """Rows (lang, text) to the familiarity of each window whose language the network finds."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "text"):
+            data, offsets = text_bytes(batch.column("text"))
+            x, doc, filled = windows(data, offsets)
+            lang = batch.column("lang").to_numpy()[doc]
+            best = np.concatenate([net.log_probs(x[at : at + BATCH]).argmax(1) for at in range(0, len(x), BATCH)])
+            found = pairs.familiarity(data, np.append(0, np.cumsum(filled)), best)
+            good = best == lang
+            yield pa.RecordBatch.from_arrays([pa.array(lang[good], pa.int32()), pa.array(found[good])], ["lang", "found"])
+
+    return run
+
+
+def _pair_sums(langs: int):
+    """Rows (lang, text) of a task to the counts of the byte pairs in them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros((langs, 1 << 16), np.int64)
+        for batch in slices(batches, "text"):
+            data, offsets = text_bytes(batch.column("text"))
+            code = data[:-1].astype(np.int64) * 256 + data[1:]
+            within = np.ones(len(code), bool)
+            # a pair does not reach into the next text
+            within[offsets[1:-1] - 1] = False
+            of = np.repeat(batch.column("lang").to_numpy(), np.diff(offsets))[:-1]
+            for k in np.unique(of).tolist():
+                counts[k] += np.bincount(code[within & (of == k)], minlength=1 << 16)
+        lang, code = np.nonzero(counts)
+        yield pa.RecordBatch.from_arrays([pa.array(lang, pa.int32()), pa.array(code, pa.int32()), pa.array(counts[lang, code])], ["lang", "code", "n"])
+
+    return run
+
+
+def count_pairs(docs: DataFrame, langs: list[str]) -> np.ndarray:
+    """(languages, 256, 256): how often each byte pair stands in all texts of each language."""
+    parts = _indexed(docs, langs).mapInArrow(_pair_sums(len(langs)), "lang int, code int, n long")
+    # at most 65,536 rows for each language
+    found = parts.groupBy("lang", "code").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros((len(langs), 1 << 16))
+    out[found.column("lang").to_numpy(), found.column("code").to_numpy()] = found.column("n").to_numpy()
+    return out.reshape(-1, 256, 256)
+
+
+def _gradient_sums(net: ByteNet):
+    """Rows (lang, text) of a task to one row: its windows, and the sums of their gradients."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, n = np.zeros(sum(v.size for v in net.p.values())), 0
+        for batch in slices(batches, "text"):
+            data, offsets = text_bytes(batch.column("text"))
+            x, doc, _ = windows(data, offsets)
+            y = batch.column("lang").to_numpy()[doc]
+            n += len(x)
+            for at in range(0, len(x), BATCH):
+                grad = net.gradients(x[at : at + BATCH], y[at : at + BATCH])
+                total += np.concatenate([grad[k].reshape(-1) for k in net.p]) * len(x[at : at + BATCH])
+        yield pa.RecordBatch.from_arrays([pa.array([np.append(total, n)], pa.list_(pa.float64()))], ["sums"])
+
+    return run
+
+
+def refine(net: ByteNet, docs: DataFrame) -> ByteNet:
+    """``ROUNDS`` steps by the gradients of all labelled documents, each document in the round its hash names.
+
+    Sums do not depend on how rows lie in partitions, and nothing but one sum for each weight reaches the driver.
+    """
+    text_hash = F.xxhash64("doc_id", "text", F.lit("round"))
+    m, v = (np.zeros(sum(p.size for p in net.p.values())) for _ in range(2))
+    step = 0
+    for r in range(ROUNDS):
+        some = _indexed(docs.where(F.pmod(text_hash, F.lit(ROUNDS)) == r), net.langs)
+        parts = some.mapInArrow(_gradient_sums(net), "sums array<double>")
+        rows = parts.select(F.posexplode("sums").alias("at", "part")).groupBy("at").agg(F.sum("part").alias("total")).toArrow()
+        sums = np.zeros(len(m) + 1)
+        sums[rows.column("at").to_numpy()] = rows.column("total").to_numpy()
+        if not sums[-1]:
+            continue
+        step += 1
+        g = sums[:-1] / sums[-1]
+        m += 0.1 * (g - m)
+        v += 0.01 * (g * g - v)
+        move = RATE * (1 - r / ROUNDS) * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + CALM)
+        at = 0
+        for k, p in net.p.items():
+            net.p[k] = p - move[at : at + p.size].reshape(p.shape).astype(p.dtype)
+            at += p.size
+    return net
 
 
 def sample(docs: DataFrame, texts: int = SAMPLE_TEXTS, per_text: int = SAMPLE_WINDOWS) -> DataFrame:
@@ -181,7 +295,7 @@ def sample(docs: DataFrame, texts: int = SAMPLE_TEXTS, per_text: int = SAMPLE_WI
         F.expr(f"substring(cast(text as binary), cast(pmod(xxhash64(doc_id, {k}), ceil(octet_length(text) / {WINDOW})) as int) * {WINDOW} + 1, {WINDOW})")
         for k in range(per_text)
     ]
-    usable = docs.where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}") & (count > 0))
+    usable = labelled(docs).where(count > 0)
     usable = usable.select("lang", order.alias("o"), F.col("doc_id").alias("i"), F.array_distinct(F.array(*cut)).alias("w"), F.md5(body).alias("m"))
     rank = F.row_number().over(Window.partitionBy("lang").orderBy("o", "i", "m"))
     return usable.withColumn("r", rank).where(F.col("r") <= texts).select("lang", F.explode("w").alias("window"))
@@ -192,13 +306,16 @@ def held_out(doc_id) -> F.Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % 5 == 0, F.lit(False))
 
 
-def _windows_of(docs: DataFrame, texts: int) -> list[tuple[str, bytes]]:
-    return sorted((r.lang, bytes(r.window)) for r in sample(docs, texts).collect())
+def learned(docs: DataFrame) -> DataFrame:
+    """Documents outside the held-out fifth; those without an id are in neither part."""
+    return docs.where(F.crc32(F.col("doc_id").cast("string")) % 5 != 0)
 
 
 def train(docs: DataFrame, texts: int = SAMPLE_TEXTS) -> ByteNet | None:
-    """Fit on documents outside the held-out fifth; ``None`` if none of them has a language and letters."""
-    return _fit(_windows_of(docs.where(F.crc32(F.col("doc_id").cast("string")) % 5 != 0), texts))
+    """Fit on all documents outside the held-out fifth; ``None`` if none of them has a language and letters."""
+    known = learned(docs)
+    net = _fit(sorted((r.lang, bytes(r.window)) for r in sample(known, texts).collect()))
+    return net and refine(net, known)
 
 
 def _fit(rows: list[tuple[str, bytes]]) -> ByteNet | None:
@@ -278,11 +395,9 @@ def keep_known(docs: DataFrame, net: ByteNet | None = None, pairs: Pairs | None
     unfamiliar is learned from the held-out fifth; a language with under ``LEAST_HELD`` windows there rejects nothing.
     """
     if net is None:
-        rows = _windows_of(docs.where(F.crc32(F.col("doc_id").cast("string")) % 5 != 0), SAMPLE_TEXTS)
-        net = _fit(rows)
+        net = train(docs)
         if net is not None:
-            held = _windows_of(docs.where(held_out(F.col("doc_id"))), SAMPLE_TEXTS)
-            pairs = Pairs(net.langs, rows).fence(net, held)
+            pairs = fence(Pairs(count_pairs(learned(docs), net.langs)), net, docs.where(held_out(F.col("doc_id"))))
     (p,) = fresh(docs, "prediction")
     scored = docs.withColumn(p, predict(F.col("text"), net, pairs))
     return scored.where(F.col(p)["lang_pred"] != UNKNOWN).select(*docs.columns)

@@ -130,3 +130,37 @@ def test_predictions_equal_plain_loops(spark, monkeypatch):
     for i, t, *_ in rows[:6]:
         lang, score = plain_prediction(net, t)
         assert got[i][0] == lang and got[i][1] == pytest.approx(score, abs=1e-4)
+
+
+def test_pairs_and_fences_come_from_all_texts(spark, monkeypatch):
+    """More texts than the sample takes: counts, gradients and fences see every one of them."""
+    rows = [(i, t, lang if lang == "aa" else "bb", "s") for i, t, lang, _ in texts(200)] + [(900, None, "aa", "s"), (901, "12", "aa", "s"), (902, "ka", None, "s")]
+    docs = documents(spark, rows).repartition(3)
+    known = [r for r in rows if r[2] and r[1] and any(c.isalpha() for c in r[1])]
+    want = np.zeros((2, 256, 256))
+    for _, t, lang, _ in known:
+        raw = t.encode()
+        for a, b in zip(raw, raw[1:]):
+            want[["aa", "bb"].index(lang), a, b] += 1
+    assert (L.count_pairs(docs, ["aa", "bb"]) == want).all()
+    net, pairs = L.ByteNet(["aa", "bb"], seed=3), L.Pairs(want)
+    found = {0: [], 1: []}
+    for _, t, lang, _ in known:
+        for at in range(0, len(raw := t.encode()), L.WINDOW):
+            piece, y = np.frombuffer(raw[at : at + L.WINDOW], np.uint8), ["aa", "bb"].index(lang)
+            ends = np.array([0, len(piece)])
+            if net.log_probs(L.windows(piece, ends)[0]).argmax() == y:
+                found[y].append(pairs.familiarity(piece, ends, np.array([y]))[0])
+    L.fence(pairs, net, docs)
+    for y, values in found.items():
+        if len(values) >= L.LEAST_HELD:
+            low, middle = np.quantile(values, [0.01, 0.5])
+            assert np.allclose([pairs.middle[y], pairs.least[y]], [middle, low - L.FENCE * (middle - low)])
+    assert any(len(v) >= L.LEAST_HELD for v in found.values())
+    # every learned document is in one round, whatever the sample
+    seen = []
+    indexed = L._indexed
+    monkeypatch.setattr(L, "_indexed", lambda docs, langs: seen.extend(r.doc_id for r in docs.select("doc_id").collect()) or indexed(docs, langs))
+    before = L.ByteNet(["aa", "bb"], seed=3)
+    after = L.refine(L.ByteNet(["aa", "bb"], seed=3), docs)
+    assert sorted(seen) == sorted(r[0] for r in rows) and not np.allclose(before.p["out"], after.p["out"])
