@@ -197,3 +197,41 @@ def test_trees_as_text_score_like_spark(spark):
         for i, r in enumerate(model.transform(df).orderBy("id").collect()):
             votes[i, int(r["prediction"])] += w
     assert [r[0] for r in con.execute(f"select {text} from t order by id").fetchall()] == votes.argmax(1).tolist()
+
+
+def test_adaboost_takes_one_pass_for_a_stump(spark, monkeypatch):
+    """Stumps equal those of plain loops, and equal rows on bins are read as one."""
+    import math
+
+    from tabwright.operators import boosting, ensembles
+    from tabwright.operators.models import Shape
+
+    raw = [(i % 13, i * 7 % 11, (i % 13 > 6) + (i * 7 % 11 > 4 and i % 13 > 2)) for i in range(700)]
+    df = spark.createDataFrame([([float(a), float(b)], float(k)) for a, b, k in raw], "x array<double>, label double").repartition(3)
+    df = df.select(array_to_vector("x").alias("features"), "label")
+    written = []
+    monkeypatch.setattr(boosting, "cut_lineage", lambda t, cut=boosting.cut_lineage: written.append(out := cut(t)) or out)
+    model = ensembles.AdaBoost(12, 0.7, True, Shape(700, 3)).fit(df)
+    cells = len({(a, b, k) for a, b, k in raw})
+    assert [t.count() for t in written] == [700, cells] and len(model.trees) == 12
+    weights, alphas = [1.0] * 700, []
+    for tree in model.trees:
+        best, found = None, None
+        for feature in (0, 1):
+            for cut in sorted({r[feature] for r in raw})[1:]:
+                sides = [[0.0] * 3, [0.0] * 3]
+                for r, w in zip(raw, weights, strict=True):
+                    sides[r[feature] >= cut][r[2]] += w
+                pure = sum(sum(v * v for v in s) / sum(s) for s in sides)
+                if best is None or pure > best + 1e-9:
+                    best, found = pure, (feature, cut, [s.index(max(s)) for s in sides])
+        feature, cut, chosen = found
+        if chosen[0] == chosen[1]:
+            assert tree.feature < 0 and tree.value == chosen[0]
+        else:
+            assert (tree.feature, tree.threshold, tree.left.value, tree.right.value) == (feature, cut, *chosen)
+        wrong = [chosen[r[feature] >= cut] != r[2] for r in raw]
+        error = sum(w for w, bad in zip(weights, wrong, strict=True) if bad) / sum(weights)
+        alphas.append(0.7 * (math.log((1 - error) / error) + math.log(2)))
+        weights = [w * math.exp(alphas[-1]) if bad else w for w, bad in zip(weights, wrong, strict=True)]
+    assert np.allclose(model.alphas, alphas)
