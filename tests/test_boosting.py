@@ -235,3 +235,10 @@ def test_adaboost_takes_one_pass_for_a_stump(spark, monkeypatch):
         alphas.append(0.7 * (math.log((1 - error) / error) + math.log(2)))
         weights = [w * math.exp(alphas[-1]) if bad else w for w, bad in zip(weights, wrong, strict=True)]
     assert np.allclose(model.alphas, alphas)
+
+
+def test_stump_places_share_the_weight():
+    from tabwright.operators.ensembles import split_places
+
+    assert split_places(np.array([3.0, 0.0, 1.0, 2.0, 0.0])) == [0, 2]
+    assert split_places(np.ones(8), 3) == [1, 3, 5]
