@@ -27,6 +27,8 @@ THRESHOLD = 0.95
 BLOCK, PIVOTS = 4096, 1024
 #: Rows of a tile product at once; columns whose int8 products are exact in float32.
 ROWS, EXACT = 512, 1000
+#: Pairs that are looked at closely at once, and slack for single precision.
+PAIRS, SINGLE = 100_000, 1e-5
 #: Slack for rounding in double arithmetic.
 SLACK = 1e-9
 
@@ -58,20 +60,26 @@ def linked(ux, qx, uy, qy, threshold: float) -> tuple[np.ndarray, int]:
     """Which rows of x and y have a cosine of ``threshold`` or more, and how many pairs took full precision."""
     (ix, sx, ex), (iy, sy, ey) = qx, qy
     out, exact = np.zeros((len(ux), len(uy)), bool), 0
+    columns = [iy[:, c : c + EXACT].astype(np.float32).T for c in range(0, ux.shape[1], EXACT)]
+    # what a product times the column's scale has to reach in a row, whatever the column; single precision gets some slack
+    least = ((threshold - ex - (1 + ex) * ey.max()) / sx - SINGLE / sx).astype(np.float32)
+    scale = sy.astype(np.float32)
     for at in range(0, len(ux), ROWS):
         rows = slice(at, at + ROWS)
         product = 0.0
-        for c in range(0, ux.shape[1], EXACT):
-            part = ix[rows, c : c + EXACT].astype(np.float32) @ iy[:, c : c + EXACT].astype(np.float32).T
+        for c, column in enumerate(columns):
+            part = ix[rows, c * EXACT : (c + 1) * EXACT].astype(np.float32) @ column
             product = part if c == 0 else product.astype(np.float64) + part
-        cosine = product * sx[rows, None].astype(np.float64) * sy[None]
-        # |xy - x'y'| <= |x - x'| |y| + |x'| |y - y'|
-        bound = ex[rows, None] + (1 + ex[rows, None]) * ey[None]
-        out[rows] = cosine - bound >= threshold
-        a, b = np.nonzero(~out[rows] & (cosine + bound >= threshold))
-        exact += len(a)
-        for k in range(0, len(a), 100_000):
-            i, j = a[k : k + 100_000] + at, b[k : k + 100_000]
+        a, b = np.nonzero(product * scale >= least[rows, None])
+        for k in range(0, len(a), PAIRS):
+            i, j = a[k : k + PAIRS], b[k : k + PAIRS]
+            cosine = product[i, j] * sx[at + i].astype(np.float64) * sy[j]
+            # |xy - x'y'| <= |x - x'| |y| + |x'| |y - y'|
+            bound = ex[at + i] + (1 + ex[at + i]) * ey[j]
+            sure = cosine - bound >= threshold
+            out[at + i[sure], j[sure]] = True
+            i, j = i[open_ := ~sure & (cosine + bound >= threshold)] + at, j[open_]
+            exact += len(i)
             out[i, j] = (ux[i] * uy[j]).sum(1) >= threshold
     return out, exact
 

@@ -75,3 +75,21 @@ def test_the_two_names_of_a_class_are_independent(spark):
     row = spark.createDataFrame([([1.0, 2.0],)], "v array<double>").select(F.xxhash64("v").alias("a"), F.xxhash64("v", F.lit(1)).alias("b"), F.xxhash64(F.lit(1), "v").alias("c")).first()
     from_a = spark.range(1).select(F.xxhash64(F.lit(1)).alias("x")).first()
     assert len({row.a, row.b, row.c, from_a.x}) == 4
+
+
+def test_only_pairs_near_the_threshold_are_looked_at_closely(monkeypatch):
+    import numpy as np
+
+    from tabwright.llm import embedding_dedup as E
+
+    rng = np.random.default_rng(1)
+    x = np.concatenate([rng.normal(size=(600, 64)), np.repeat(rng.normal(size=(40, 64)), 5, 0) + rng.normal(size=(200, 64)) * 0.15])
+    u = E.unit(x)
+    q = E.quantise(u)
+    sizes, nonzero = [], np.nonzero
+    monkeypatch.setattr(E.np, "nonzero", lambda a: sizes.append(len((found := nonzero(a))[0])) or found)
+    monkeypatch.setattr(E, "PAIRS", 7)
+    links, _ = E.linked(u, q, u, q, 0.95)
+    monkeypatch.undo()
+    assert (links == (u @ u.T >= 0.95)).all() and links.sum() > 1000
+    assert sum(sizes) < 0.02 * len(u) ** 2
