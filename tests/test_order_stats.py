@@ -37,6 +37,20 @@ def test_nan_sorts_last(spark):
     assert found[0] == 1.0 and found[19] == 2.0 and np.isnan(found[20])
 
 
+def test_many_ranks_share_one_search_of_each_row(spark):
+    """An expression for each rank and row would make the plan, and the work on a row, grow with the ranks."""
+    rng = random.Random(5)
+    special = [float("inf")] * 90 + [float("-inf")] * 70 + [float("nan")] * 80 + [0.0, -0.0] * 60
+    values = [*special, *(round(rng.gauss(0, 10), 2) for _ in range(9640))]
+    df = spark.createDataFrame([(v, i, None) for i, v in enumerate(values)] + [(None, None, None)], "x double, y long, z int").repartition(3)
+    ranks = list(range(0, 10_000, 9))
+    found = O.order_statistics(df, {"x": lambda n: ranks, "y": lambda n: ranks, "z": lambda n: [0]}, small_rows=40)
+    ordered = sorted(values, key=lambda v: (np.isnan(v), v))
+    assert found["x"][0] == 10_000 and list(found["x"][1]) == ranks
+    assert np.array_equal([found["x"][1][r] for r in ranks], [ordered[r] for r in ranks], equal_nan=True)
+    assert found["y"] == (10_000, {r: float(r) for r in ranks}) and found["z"] == (0, {})
+
+
 @settings(max_examples=8, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
 @given(st.lists(st.integers(-5, 5), min_size=1, max_size=40), st.floats(0, 1))
 def test_nearest_quantile(spark, values, q):
