@@ -19,6 +19,8 @@ BLANKS = b" \t\n\v\f\r"
 #: The same as a pattern for SQL.
 WORD = r"[^\x20\x09-\x0D]+"
 SLICE_BYTES = 1 << 20
+#: The most bits that ``perhaps_in`` sets.
+FILTER_BITS = 1 << 26
 
 
 def table(spark, sf_dir: str, name: str) -> DataFrame:
@@ -156,6 +158,22 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = SLICE_BY
             at = to
 
 
+def perhaps_in(rows: DataFrame, known: DataFrame, keys: list[str]) -> DataFrame:
+    """``rows`` without nearly all that have no partner of equal ``keys`` in ``known``, before a join moves them.
+
+    One bit for each hash that occurs in ``known``, a written table. All bits take at most 8 MB; where more rows are
+    known than these tell apart, more rows pass than needed, and none is lost.
+    """
+    (page, bits, at) = fresh(rows, "page", "bits", "at")
+    size = min(FILTER_BITS, 1 << (8 * known.count()).bit_length())
+    place = F.pmod(F.xxhash64(*keys), F.lit(size)) + 1
+    pages = known.select(place.alias(at)).groupBy(F.bitmap_bucket_number(at).alias(page)).agg(F.bitmap_construct_agg(F.bitmap_bit_position(at)).alias(bits))
+    spot = F.bitmap_bit_position(place)
+    byte = F.conv(F.hex(F.substring(F.col(bits), F.floor(spot / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    found = F.getbit(byte, (spot % 8).cast("int")) == 1
+    return rows.join(F.broadcast(pages), (F.bitmap_bucket_number(place) == F.col(page)) & found, "left_semi")
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, component) for every node of ``edges`` (a, b): the smallest node reachable by links.
 

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabwright.llm.common import Texts, components, mix, slices, table
+from tabwright.llm.common import Texts, components, mix, perhaps_in, slices, table
 from tabwright.session import cut_lineage
 
 #: A pair of similarity 0.8 shares none of 32 bands of 4 coordinates with a probability of 5e-8.
@@ -236,15 +236,22 @@ def near_duplicates(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -
         F.min(F.struct("doc_id", "text_hash")).alias("least"), F.first("n_shingles").alias("n"), F.first("bits_a").alias("bits_a"), F.first("bits_b").alias("bits_b"), F.first("bands").alias("bands")
     )
     classes = cut_lineage(classes.select("*", "least.*").drop("least").withColumn("id", F.monotonically_increasing_id()))
-    members = classes.select("id", "n", "bits_a", "bits_b", F.explode("bands").alias("band"))
-    lead = members.groupBy("band").agg(F.min(F.struct("id", "n", "bits_a", "bits_b")).alias("x"), F.count("*").alias("c")).where("c > 1")
-    buckets = cut_lineage(members.join(lead, "band").select("band", "x", F.struct("id", "n", "bits_a", "bits_b").alias("y")))
+    # most bands are of one class; only the others are moved again, and with what tells whether members are alike
+    members = classes.select("id", F.explode("bands").alias("band"))
+    lead = cut_lineage(members.groupBy("band").agg(F.min("id").alias("low"), F.count("*").alias("c")).where("c > 1").select("band", "low"))
+    shared = cut_lineage(perhaps_in(members, lead, ["band"]).join(lead, "band"))
+    alike = classes.select("id", F.struct("id", "n", "bits_a", "bits_b").alias("one"))
+    shared = shared.join(alike.select("id", F.col("one").alias("y")), "id").drop("id")
+    buckets = cut_lineage(shared.join(alike.select(F.col("id").alias("low"), F.col("one").alias("x")), "low").select("band", "x", "y"))
     # first every member against the smallest member of its buckets
     stars = buckets.where(F.col("x.id") != F.col("y.id")).where(_alike(percent))
     stars = stars.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
     stars = cut_lineage(stars)
     met = cut_lineage(classes.join(buckets.select(F.col("y.id").alias("id")), "id", "left_semi").select("id", "doc_id", "text_hash"))
-    texts = cut_lineage(source.join(met, ["doc_id", "text_hash"]).groupBy("id").agg(F.min("text").alias("text")))
+    keys = ["doc_id", "text_hash"]
+    # an id has one text, and with the keys of the join in its name no text moves twice
+    texts = perhaps_in(source, met, keys).join(met, keys).groupBy(*keys, "id").agg(F.min("text").alias("text"))
+    texts = cut_lineage(texts.select("id", "text"))
     links = _confirmed(stars, texts, k, percent)
     label = components(links)
     # then, in buckets that still hold several groups, every pair of different groups that has not been compared

@@ -8,7 +8,7 @@ from cases import thue_morse
 
 from tabwright.llm import minhash as M
 from tabwright.llm import substring_dedup as S
-from tabwright.llm.common import Texts, fresh
+from tabwright.llm.common import Texts, fresh, perhaps_in
 
 
 def test_words_are_found_and_hashed_by_content():
@@ -75,3 +75,15 @@ def test_a_very_long_text_in_little_memory():
 def test_fresh_names(spark):
     df = spark.range(1).selectExpr("id as a", "id as `A_`", "id as b_")
     assert fresh(df, "a", "b", "a") == ["a__", "b", "a___"]
+
+
+def test_rows_without_partner_stay_behind(spark, monkeypatch):
+    """None with a partner is lost, few others pass, and with fewer bits than rows only more of them do."""
+    rows = spark.range(20_000).selectExpr("id as a", "cast(id % 7 as string) as page", "'t' as bits")
+    known = spark.range(0, 20_000, 50).selectExpr("id as a", "cast(id % 7 as string) as page")
+    for most, passed in ((1 << 26, 4500), (1 << 8, 20_000)):
+        monkeypatch.setattr("tabwright.llm.common.FILTER_BITS", most)
+        got = perhaps_in(rows, known, ["a", "page"])
+        assert got.columns == rows.columns and got.count() <= passed
+        assert got.join(known, ["a", "page"]).count() == 400
+    assert perhaps_in(rows, known.where("false"), ["a"]).count() == 0
