@@ -187,8 +187,9 @@ def labelled(docs: DataFrame) -> DataFrame:
 
 def _indexed(docs: DataFrame, langs: list[str]) -> DataFrame:
     """(lang, text) of the labelled documents, the language by its number."""
-    numbers = docs.sparkSession.createDataFrame(list(enumerate(langs)), "y int, lang string")
-    return labelled(docs.select("lang", "text")).join(F.broadcast(numbers), "lang").select(F.col("y").alias("lang"), "text")
+    # an expression: a table made from a Python list would keep Python workers of its own in every executor
+    place = F.array_position(F.array(*map(F.lit, langs)), F.col("lang"))
+    return labelled(docs.select("lang", "text")).where(place > 0).select((place - 1).cast("int").alias("lang"), "text")
 
 
 def _window_familiarity(net: ByteNet, pairs: Pairs):

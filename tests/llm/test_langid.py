@@ -164,3 +164,13 @@ def test_pairs_and_fences_come_from_all_texts(spark, monkeypatch):
     before = L.ByteNet(["aa", "bb"], seed=3)
     after = L.refine(L.ByteNet(["aa", "bb"], seed=3), docs)
     assert sorted(seen) == sorted(r[0] for r in rows) and not np.allclose(before.p["out"], after.p["out"])
+
+
+def test_languages_are_numbered_without_python_workers(spark, sf):
+    """A table from a Python list starts Python workers of its own in every executor, beside those of the network."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text", "lang")
+    langs = sorted(r.lang for r in docs.where("lang is not null").select("lang").distinct().collect())
+    got = L._indexed(docs, langs[:2])
+    assert "ExistingRDD" not in got._jdf.queryExecution().toString()
+    want = sorted((langs.index(r.lang), r.text) for r in L.labelled(docs).collect() if r.lang in langs[:2])
+    assert got.dtypes == [("lang", "int"), ("text", "string")] and sorted(map(tuple, got.collect())) == want
