@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
 from tabwright.llm.common import SLICE_BYTES, fresh, slices, table, text_bytes
-from tabwright.operators.order_stats import order_statistics
+from tabwright.operators.order_stats import group_order_statistics
 from tabwright.session import cut_lineage
 
 WINDOW = 256
@@ -162,12 +162,9 @@ def fence(pairs: Pairs, net: ByteNet, held: DataFrame) -> Pairs:
     It lies far below the lowest hundredth, so usual texts stay however many there are.
     """
     found = cut_lineage(_indexed(held, net.langs).mapInArrow(_window_familiarity(net, pairs), "lang int, found double"))
-    names = [f"found{i}" for i in range(len(net.langs))]
-    wide = found.select(*[F.when(F.col("lang") == i, F.col("found")).alias(n) for i, n in enumerate(names)])
     places = lambda n: sorted({at for q in (0.01, 0.5) for at in _around(n, q)[:2]}) if n else []
-    stats = order_statistics(wide, dict.fromkeys(names, places))
-    for i, name in enumerate(names):
-        n, values = stats[name]
+    stats = group_order_statistics(found, "lang", "found", dict.fromkeys(range(len(net.langs)), places))
+    for i, (n, values) in stats.items():
         if n >= LEAST_HELD:
             low, pairs.middle[i] = (values[a] + share * (values[b] - values[a]) for a, b, share in (_around(n, q) for q in (0.01, 0.5)))
             pairs.least[i] = low - FENCE * (pairs.middle[i] - low)

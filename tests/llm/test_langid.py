@@ -5,6 +5,7 @@ import pytest
 from cases import awkward, documents
 
 from tabwright.llm import langid as L
+from tabwright.operators import order_stats
 
 
 def texts(n):
@@ -166,6 +167,18 @@ def test_pairs_and_fences_come_from_all_texts(spark, monkeypatch):
     assert sorted(seen) == sorted(r[0] for r in rows) and not np.allclose(before.p["out"], after.p["out"])
 
 
+def test_fences_take_each_window_once_in_a_pass(spark, monkeypatch):
+    """A row for each window and language in every pass would be mostly nulls."""
+    docs = documents(spark, texts(120)).repartition(3)
+    langs = ["aa", "bb", "cc"]
+    net, pairs = L.ByteNet(langs, seed=3), L.Pairs(L.count_pairs(docs, langs))
+    passes, placed = [], order_stats._placed
+    monkeypatch.setattr(order_stats, "_placed", lambda *args: passes.append(placed(*args)) or passes[-1])
+    L.fence(pairs, net, docs)
+    assert np.isfinite(pairs.least).any()
+    assert passes and not any("Generate" in p._jdf.queryExecution().toString() for p in passes)
+
+
 def test_languages_are_numbered_without_python_workers(spark, sf):
     """A table from a Python list starts Python workers of its own in every executor, beside those of the network."""
     docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text", "lang")

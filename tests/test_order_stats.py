@@ -51,6 +51,36 @@ def test_many_ranks_share_one_search_of_each_row(spark):
     assert found["y"] == (10_000, {r: float(r) for r in ranks}) and found["z"] == (0, {})
 
 
+def test_groups_share_passes_without_a_row_for_each_group(spark, monkeypatch):
+    """Each pass takes a row of the table once, however many groups there are."""
+    rng = random.Random(9)
+    special = [float("inf")] * 60 + [float("-inf")] * 50 + [float("nan")] * 70 + [0.0, -0.0] * 40
+    values = {
+        "a": [*special, *(round(rng.gauss(0, 10), 2) for _ in range(4000))],
+        "b": [rng.gauss(0, 1e6) for _ in range(40_000)],
+        "c": [4.0] * 300,
+        "d": [rng.random() for _ in range(20)],
+        "e": [],
+        "else": [1.0] * 100,
+    }
+    rows = [(k, v) for k, some in values.items() for v in some] + [("a", None), ("e", None), (None, 2.0)]
+    rng.shuffle(rows)
+    df = spark.createDataFrame(rows, "k string, v double").repartition(3)
+    passes, placed = [], O._placed
+    monkeypatch.setattr(O, "_placed", lambda *args: passes.append(placed(*args)) or passes[-1])
+    ranks = lambda n: sorted({0, n // 100, n // 2, n - 1}) if n else []
+    found = O.group_order_statistics(df, "k", "v", dict.fromkeys("abcde", ranks), small_rows=2)
+    for k in "abcde":
+        ordered = sorted(values[k], key=lambda v: (np.isnan(v), v))
+        assert found[k][0] == len(ordered) and list(found[k][1]) == ranks(len(ordered))
+        assert np.array_equal([*found[k][1].values()], [ordered[r] for r in found[k][1]], equal_nan=True)
+    assert len(passes) > 2 and all(p.count() <= sum(len(values[k]) for k in "abcde") for p in passes)
+    assert not any("Generate" in p._jdf.queryExecution().toString() for p in passes)
+    assert O.group_order_statistics(df, "k", "v", {}) == {}
+    with pytest.raises(TypeError):
+        O.group_order_statistics(df, "v", "k", {1.0: ranks})
+
+
 @settings(max_examples=8, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
 @given(st.lists(st.integers(-5, 5), min_size=1, max_size=40), st.floats(0, 1))
 def test_nearest_quantile(spark, values, q):
