@@ -129,12 +129,14 @@ def record_documents(spark: SparkSession, path: str, kind: str, encoding: str =
         lines = lines.withColumn("kind", F.lit(kind))
     pieces = lines.select("line", "file", "block", "kind").mapInArrow(_pieces(ENDS, chunk), "file string, block long, part int, closed boolean, text string")
     pieces = cut_lineage(pieces)
+    # nothing comes before the first piece of a file, so it is whole and stays in front of the records that follow it
+    whole = (F.col("part") == 1) | (F.col("part") == 0) & (F.col("block") == 0)
     # the text after a block's last cut belongs to the next block that has a cut, to which its first piece belongs too
-    ends = pieces.where("part <> 1")
+    ends = pieces.where(~whole)
     next_cut = F.first(F.when(F.col("part") == 0, F.col("block")), ignorenulls=True)
     later = Window.partitionBy("file").orderBy("block", "part").rowsBetween(1, Window.unboundedFollowing)
     goal = F.when(F.col("part") == 0, F.col("block")).otherwise(next_cut.over(later))
     # at most two rows for each block of a file
     joined = ends.withColumn("goal", goal).groupBy("file", "goal").agg(F.sort_array(F.collect_list(F.struct("block", "part", "text"))).alias("parts"))
     stitched = joined.select(F.array_join(F.col("parts.text"), "").alias("value"))
-    return pieces.where("part = 1").select(F.col("text").alias("value")).unionByName(stitched)
+    return pieces.where(whole).select(F.col("text").alias("value")).unionByName(stitched)

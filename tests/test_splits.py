@@ -91,6 +91,14 @@ def test_chunks_do_not_matter(spark, tmp_path):
     assert splits.record_documents(spark, path, "qif", chunk=1).count() > 50
 
 
+@pytest.mark.parametrize("chunk", [1, 200, 10_000])
+@pytest.mark.parametrize("kind,record,field", [("ofx", "<STMTTRN>\n<FITID>{}\n</STMTTRN>", "fitid"), ("qif", "N{}\n^", "number"), ("ical", "BEGIN:VEVENT\nUID:{}\nEND:VEVENT", "uid")])
+def test_records_of_a_file_in_one_block_keep_their_order(spark, tmp_path, kind, record, field, chunk):
+    path = write(tmp_path, "x", ["\n".join(["head", *[record.format(i) for i in range(30)], "tail"])])
+    docs = splits.record_documents(spark, path, kind, chunk=chunk)
+    assert [r[field] for r in getattr(records, kind)(docs, "value").collect()] == [str(i) for i in range(30)]
+
+
 def test_numbered_lines(spark, tmp_path, block):
     rng = random.Random(4)
     texts = ["\n".join("x" * rng.randrange(30) + f" {i} " for i in range(50)) + end for end in ("", "\n", "\n\n")]
